@@ -14,8 +14,8 @@ def _op2() -> str:
         tests.append(f"NOT (({lo} OR {hi}) AND n_words >= {r.min_words})")
     return f"""
     WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
-    s AS (SELECT k, doc_id, text, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w,
-                 list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
+    s AS (SELECT k, doc_id, text, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+                 list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
     win AS (SELECT k, i, w[i:i+4] AS g FROM (SELECT k, w, unnest(range(1, len(w) - 3)) AS i FROM s WHERE len(w) >= 5)),
     dup AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM win) WHERE n > 1),
     cover AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(range(i, i + 5)) AS p FROM dup) GROUP BY k),
@@ -24,7 +24,7 @@ def _op2() -> str:
                  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
                  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
                  coalesce(cover.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines,
-                 len(list_filter(w, x -> lower(x) IN ({stop}))) AS n_stop
+                 len(list_filter(w, lambda x: lower(x) IN ({stop}))) AS n_stop
           FROM s LEFT JOIN cover USING (k)),
     r AS (SELECT *, word_chars / greatest(n_words, 1) AS mean_word_chars, n_symbols / greatest(n_words, 1) AS symbol_ratio,
                  n_stop / greatest(n_words, 1) AS stop_ratio, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio,
@@ -34,6 +34,20 @@ def _op2() -> str:
            NOT base_failed AND {' AND '.join(tests)} AS kept FROM r"""
 
 
+_OP3 = r"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) t(i)),
+    e AS (SELECT *, replace(regexp_replace(replace(text, '\', '\\'), '<(/turn>|next/>)', '<\\\1', 'g'), '##', '#\#') AS esc,
+                 lag(role) OVER w AS prev FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+    SELECT conv_id, count(*)::BIGINT AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           sum(length(esc) + CASE WHEN prev = role THEN 7 ELSE 14 + length(url_encode(role)) END)::BIGINT AS formatted_chars
+    FROM e GROUP BY conv_id"""
+
+
 ORACLES = {
     "op2_quality_rules": _op2(),
+    "op3_chat_format": _OP3,
 }
