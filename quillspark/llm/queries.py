@@ -7,10 +7,14 @@ express have no entry in ``ORACLES``; tests/llm holds them against brute force.
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import chat_format as chat
+from quillspark.llm import packing, scratch, token_files
 from quillspark.llm import quality_rules as quality
 
 
@@ -42,7 +46,22 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into pieces of sequences of at most 2048 tokens."""
+    pieces = packing.pack(_read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to Simple-8b files and read back from them."""
+    path = f"{scratch.root(spark)}/quill-token-files-{uuid.uuid4().hex}"
+    token_files.write(_read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_chat_format": op3_chat_format,
+    "op4_packing": op4_packing,
+    "op6_token_files": op6_token_files,
 }
