@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -89,7 +89,7 @@ def decode(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bucket(docs: DataFrame, parts: int) -> F.Column:
+def _bucket(docs: DataFrame, parts: int) -> Column:
     """The range of a row's doc_id, by quantiles over all ids."""
     edges = docs.select(F.expr(f"percentile_approx(doc_id, array({', '.join(str(i / parts) for i in range(1, parts))}), 10000)").alias("e")).first()["e"] if parts > 1 else []
     edges = sorted(set(edges or []))
