@@ -47,7 +47,21 @@ _OP3 = r"""
     FROM e GROUP BY conv_id"""
 
 
+_OP5 = """
+    WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+    sound AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                                AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id
+              AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+    reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+    least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+    n AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+    SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+    FROM embeddings JOIN least ON least.x = vec_id LEFT JOIN n ON n.x = vec_id"""
+
+
 ORACLES = {
     "op2_quality_rules": _op2(),
     "op3_chat_format": _OP3,
+    "op5_embedding_dedup": _OP5,
 }

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import chat_format as chat
+from quillspark.llm import embedding_dedup as embedding
+from quillspark.llm import near_dedup as near
 from quillspark.llm import bpe, packing, scratch, token_files
 from quillspark.llm import quality_rules as quality
 from quillspark.llm import secret_scan as secrets
@@ -79,6 +81,16 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at a cosine of 0.98 or more within its label."""
+    return embedding.embedding_dedup(_read(spark, sf_dir, "embeddings"), 0.98)
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document: five words, a similarity of 0.8 or more."""
+    return near.near_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"), 0.8)
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_chat_format": op3_chat_format,
@@ -86,4 +98,6 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_secret_scan": op10_secret_scan,
+    "op5_embedding_dedup": op5_embedding_dedup,
+    "op7_near_dedup": op7_near_dedup,
 }

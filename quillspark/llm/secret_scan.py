@@ -36,7 +36,7 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 
-MIN_LENGTH, MIN_BITS, LEVEL = 20, 80.0, 0.01
+MIN_LENGTH, MIN_BITS, LEVEL = 20, 80.0, 0.05
 BINS = 3000  # of -log10(p), a hundredth each
 
 #: Alphabets in order of their symbols; the smallest that holds a run is its encoding.

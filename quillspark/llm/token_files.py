@@ -43,20 +43,20 @@ def encode(ids: np.ndarray) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     if int(ids.max()) >> 60:
         raise ValueError("an id needs more than 60 bits")
-    bits = np.zeros(n, dtype=np.int64)
-    for k in range(60):
-        wider = ids >> np.uint64(k) != 0
-        if not wider.any():
-            break
-        bits[wider] = k + 1
-    # fits[s][i]: selector s can start at i. The narrowest selector that fits wins.
-    selector = np.full(n, 15, dtype=np.int64)
+    high = (ids >> np.uint64(30)).astype(np.float64)
+    bits = np.where(high > 0, 30 + np.frexp(high)[1], np.frexp((ids & np.uint64((1 << 30) - 1)).astype(np.float64))[1]).astype(np.int8)
+    # The selector of most ids that can start at a place wins.
+    selector = np.full(n, 15, dtype=np.int8)
+    over = np.zeros(n + 1, dtype=np.int32)
     for s in range(14, -1, -1):
         count, width = COUNTS[s], (0 if s < 2 else 60 // COUNTS[s])
-        if count > n:
-            continue
-        over = np.concatenate(([0], np.cumsum(bits > width)))
-        ok = over[count:] - over[:-count] == 0
+        wide = bits > width
+        if count > n or n - np.count_nonzero(wide) < count:
+            break  # nor does any selector of more, narrower ids
+        np.cumsum(wide, dtype=np.int32, out=over[1:])
+        ok = over[count:] == over[:-count]
+        if not ok.any():
+            break
         selector[: n - count + 1][ok] = s
     step = np.array(COUNTS)[selector].tolist()
     starts, at = [], 0
@@ -64,7 +64,7 @@ def encode(ids: np.ndarray) -> np.ndarray:
         starts.append(at)
         at += step[at]
     at = np.array(starts)
-    chosen = selector[at]
+    chosen = selector[at].astype(np.int64)
     words = chosen.astype(np.uint64) << np.uint64(60)
     for s in range(2, 16):
         rows = np.flatnonzero(chosen == s)
@@ -122,14 +122,16 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, parts: in
             return pd.DataFrame([(bucket, block, start, list(doc_ids), list(lengths), len(flat), words)], columns=names)
 
         for batch in batches:
-            for b, doc_id, text in zip(batch["bucket"].tolist(), batch["doc_id"].tolist(), batch["text"].tolist()):
+            texts = batch["text"].tolist()
+            encoded = (x for lo, hi in tokens.groups(texts) for x in enc.encode_many(texts[lo:hi]))
+            for b, doc_id, (_, coded) in zip(batch["bucket"].tolist(), batch["doc_id"].tolist(), encoded):
                 if ids and (b != bucket or sum(lengths) >= BLOCK_IDS):
                     yield block_row()
                     block, start = block + 1, start + sum(lengths)
                     ids, doc_ids, lengths = [], [], []
                 if b != bucket:
                     bucket, block, start = b, 0, 0
-                got = b"".join(enc.encode(text)[1]) + tail
+                got = b"".join(coded) + tail
                 ids.append(got)
                 doc_ids.append(None if doc_id != doc_id else int(doc_id))
                 lengths.append(len(got) // 4)

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 
@@ -24,6 +25,9 @@ WORD_CHUNKS = "[^\t-\r ]+"
 
 CACHE_LIMIT = 400_000
 
+#: Marks that may part chunks in one call of the library: one token each, which no other text gives.
+_MARKS = ("\n", "¶", "§", "¬", "†", "‡", "♥", "●")
+
 
 class ChunkEncoder:
     """``encode`` gives a text's chunks and the id bytes of each."""
@@ -37,31 +41,69 @@ class ChunkEncoder:
         self.split = re.compile(chunks).findall
         self.cache: dict[str, bytes] = {}
         self.limit = limit
+        for mark in _MARKS:
+            ids = self._ids(mark)
+            self.mark, self.mark_id = mark, ids[0] if len(ids) == 1 else -1
+            if len(ids) == 1:
+                break
+        self.between = mark if mark == "\n" else f" {mark} "
 
-    def learn(self, chunks: set[str]) -> None:
-        """Make the cache hold all of ``chunks``."""
-        new = list(chunks.difference(self.cache))
-        if not new:
-            return
-        if len(self.cache) + len(new) > self.limit:
-            self.cache.clear()
-            new = list(chunks)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for chunk, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.cache[chunk] = np.array(e.ids, dtype="<u4").tobytes()
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def encode(self, text: str) -> tuple[list[str], list[bytes]]:
-        return self.encode_many([text])[0]
+    def _learn(self, new: list[str]) -> None:
+        """Encode new chunks, thousands in one call, and cut the ids at the marks."""
+        plain = []
+        for chunk in new:
+            if self.mark_id < 0 or self.mark in chunk or chunk[-1].isspace():
+                self.cache[chunk] = np.array(self._ids(chunk), dtype="<u4").tobytes()
+            else:
+                plain.append(chunk)
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            text = self.between.join(part)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == self.mark_id)
+            if len(cuts) != len(part) - 1:  # a chunk gives the mark's token after all
+                self.cache |= {c: np.array(self._ids(c), dtype="<u4").tobytes() for c in part}
+                continue
+            flat = ids.tobytes()
+            starts = [0, *(4 * (cuts + 1)).tolist()]
+            ends = [*(4 * cuts).tolist(), len(flat)]
+            self.cache.update((c, flat[a:b]) for c, a, b in zip(part, starts, ends))
 
     def encode_many(self, texts: list[str]) -> list[tuple[list[str], list[bytes]]]:
-        chunks = [self.split(t) for t in texts]
-        self.learn(set(chain.from_iterable(chunks)))
-        get = self.cache.__getitem__
-        return [(c, list(map(get, c))) for c in chunks]
+        split = [self.split(t) for t in texts]
+        cache = self.cache
+        new = {c for chunks in split for c in chunks if c not in cache}
+        if len(cache) + len(new) > self.limit:
+            # The chunks met first are the frequent ones: they stay, later ones go.
+            kept = dict(islice(cache.items(), self.limit // 2))
+            cache.clear()
+            cache.update(kept)
+            new = {c for chunks in split for c in chunks if c not in cache}
+        if new:
+            self._learn(list(new))
+        get = cache.__getitem__
+        return [(c, list(map(get, c))) for c in split]
+
+    def encode(self, text: str) -> tuple[list[str], list[bytes]]:
+        return self.encode_many([text])[0]
 
 
 @lru_cache(maxsize=4)
 def encoder(path: str, chunks: str) -> ChunkEncoder:
     """One encoder, and so one cache, for each worker process and file."""
     return ChunkEncoder(path, chunks)
+
+
+def groups(texts: list[str], size: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``size`` characters each."""
+    at = total = 0
+    for i, t in enumerate(texts):
+        total += len(t)
+        if total >= size:
+            yield at, i + 1
+            at, total = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
