@@ -153,8 +153,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1) ->
             doc_ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
             if stream is None and texts:
                 stream = Stream(size, int(batch["part"].iloc[0]) << 33)
-            encoded = (x for a, b in tokens.groups(texts) for x in enc.encode_many(texts[a:b]))
-            for doc_id, (words, ids) in zip(doc_ids, encoded):
+            for doc_id, (words, ids) in zip(doc_ids, map(enc.encode, texts)):
                 sizes = np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))) // 4
                 ended = np.fromiter((w[-1] in ".!?…" for w in words), dtype=bool, count=len(words))
                 stream.add(None if doc_id != doc_id else doc_id, b"".join(ids) + tail, sizes[ended])

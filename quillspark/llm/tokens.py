@@ -2,7 +2,8 @@
 
 Both tokenizer files split a text before any merge, and no split crosses the chunk borders
 used here, so a text's ids are its chunks' ids in a row. Chunks repeat; each distinct one goes
-through the tokenizers library once per worker while the bounded cache holds it.
+through the tokenizers library once per worker while the bounded cache holds it; one that
+is a single word to the tokenizer goes straight to the library's merge model.
 Ids travel as little-endian unsigned 32-bit bytes.
 """
 
@@ -10,85 +11,66 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 
 #: The code points with the Unicode property White_Space.
-_WS = "\t-\r \x85\xa0  -     　"
+_WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Latin letters that stay one letter in lower case and under normalisation.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_WORD = f"[{_LATIN}]++(?![^\\x00-\\x7f])"
 #: Chunks of a byte-level tokenizer keep their white space ...
-BYTE_CHUNKS = f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
+BYTE_CHUNKS = f" ?{_WORD}| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 #: ... a word tokenizer drops it, so ASCII white space alone is enough to cut at.
-WORD_CHUNKS = "[^\t-\r ]+"
+WORD_CHUNKS = f"{_WORD}|[^\t-\r ]+"
 
-CACHE_LIMIT = 400_000
+CACHE_LIMIT = 500_000
 
-#: Marks that may part chunks in one call of the library: one token each, which no other text gives.
-_MARKS = ("\n", "¶", "§", "¬", "†", "‡", "♥", "●")
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else one from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    table = {b: chr(b) for b in printable}
+    for n, b in enumerate(b for b in range(256) if b not in table):
+        table[b] = chr(256 + n)
+    return table
 
-class ChunkEncoder:
-    """``encode`` gives a text's chunks and the id bytes of each."""
+
+class ChunkEncoder(dict):
+    """The id bytes of chunks. A new chunk goes through the library; the chunks met first stay in the cache."""
 
     def __init__(self, path: str, chunks: str, limit: int = CACHE_LIMIT) -> None:
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.split = re.compile(chunks).findall
-        self.cache: dict[str, bytes] = {}
+        self.lower = chunks == WORD_CHUNKS
+        self.word = re.compile(f" ?[{_LATIN}]+" if not self.lower else f"[{_LATIN}]+").fullmatch
+        self.letters = _byte_letters()
         self.limit = limit
-        for mark in _MARKS:
-            ids = self._ids(mark)
-            self.mark, self.mark_id = mark, ids[0] if len(ids) == 1 else -1
-            if len(ids) == 1:
-                break
-        self.between = mark if mark == "\n" else f" {mark} "
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode new chunks, thousands in one call, and cut the ids at the marks."""
-        plain = []
-        for chunk in new:
-            if self.mark_id < 0 or self.mark in chunk or chunk[-1].isspace():
-                self.cache[chunk] = np.array(self._ids(chunk), dtype="<u4").tobytes()
-            else:
-                plain.append(chunk)
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            text = self.between.join(part)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.mark_id)
-            if len(cuts) != len(part) - 1:  # a chunk gives the mark's token after all
-                self.cache |= {c: np.array(self._ids(c), dtype="<u4").tobytes() for c in part}
-                continue
-            flat = ids.tobytes()
-            starts = [0, *(4 * (cuts + 1)).tolist()]
-            ends = [*(4 * cuts).tolist(), len(flat)]
-            self.cache.update((c, flat[a:b]) for c, a, b in zip(part, starts, ends))
-
-    def encode_many(self, texts: list[str]) -> list[tuple[list[str], list[bytes]]]:
-        split = [self.split(t) for t in texts]
-        cache = self.cache
-        new = {c for chunks in split for c in chunks if c not in cache}
-        if len(cache) + len(new) > self.limit:
-            # The chunks met first are the frequent ones: they stay, later ones go.
-            kept = dict(islice(cache.items(), self.limit // 2))
-            cache.clear()
-            cache.update(kept)
-            new = {c for chunks in split for c in chunks if c not in cache}
-        if new:
-            self._learn(list(new))
-        get = cache.__getitem__
-        return [(c, list(map(get, c))) for c in split]
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= self.limit:
+            kept = dict(islice(self.items(), self.limit // 2))
+            self.clear()
+            self.update(kept)
+        if self.word(chunk):  # one word before the merges: the model alone will do
+            word = chunk.lower() if self.lower else chunk
+            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        value = self[chunk] = np.array(ids, dtype="<u4").tobytes()
+        return value
 
     def encode(self, text: str) -> tuple[list[str], list[bytes]]:
-        return self.encode_many([text])[0]
+        chunks = self.split(text)
+        return chunks, list(map(self.__getitem__, chunks))
 
 
 @lru_cache(maxsize=4)
@@ -96,14 +78,3 @@ def encoder(path: str, chunks: str) -> ChunkEncoder:
     """One encoder, and so one cache, for each worker process and file."""
     return ChunkEncoder(path, chunks)
 
-
-def groups(texts: list[str], size: int = 1 << 18) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``size`` characters each."""
-    at = total = 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= size:
-            yield at, i + 1
-            at, total = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
