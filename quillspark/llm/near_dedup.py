@@ -12,8 +12,8 @@ most (a + b) / 9 from the diagonal, so only that band is searched, without loss.
 
 Documents of equal words are one row first. Within a bucket, candidates are not expanded into pairs:
 each round compares a bucket's members with its leader, joins what is linked, and goes on with
-buckets whose members still lie in several components, a further leader at a time, until none
-does. So a group of n copies costs about n comparisons, and every candidate pair is either
+buckets whose members still lie in several components, a further leader at a time (or at once
+when at most ``SMALL`` are left), until none does. So a group of n copies costs about n comparisons, and every candidate pair is either
 compared, or already linked. Leaders are minima by partial aggregation, returned by an
 equi-join that adaptive execution splits; no bucket is gathered into a task.
 
@@ -42,6 +42,8 @@ from quillspark.llm import scratch
 from quillspark.llm.components import components
 
 SHINGLE, BANDS, ROWS, KEPT = 5, 28, 2, 3
+#: What is left of a bucket after its first leader is compared in one round if it has so few members.
+SMALL = 32
 WORD_CACHE = 500_000
 
 _words = re.compile(r"[^\W_]+").findall
@@ -124,30 +126,55 @@ def bands(s: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def aligned(a: np.ndarray, b: np.ndarray, stray: int) -> int:
-    """Longest common subsequence of a and b that stays within ``stray`` of the diagonal."""
+def aligned(a: np.ndarray, b: np.ndarray, stray: int, need: float = 0.0) -> int:
+    """Longest common subsequence of a and b that stays within ``stray`` of the diagonal.
+
+    Less than ``need`` may be returned for any result below it.
+    """
     order = np.argsort(b, kind="stable")
     ranked = b[order]
     lo, hi = np.searchsorted(ranked, a, side="left"), np.searchsorted(ranked, a, side="right")
+    met = hi > lo
+    if np.count_nonzero(met) < need:
+        return 0
     if not (hi - lo > 1).any():
-        i = np.flatnonzero(hi > lo)
+        i = np.flatnonzero(met)
         j = order[lo[i]]
         j = j[np.abs(i - j) <= stray]
-        if len(j) < 2 or (np.diff(j) > 0).all():
+        if len(j) < max(2, need) or (np.diff(j) > 0).all():
             return len(j)
-        match = ((int(x),) for x in j)
-    else:
-        match = (sorted((int(x) for x in order[l:h] if abs(x - i) <= stray), reverse=True)
-                 for i, (l, h) in enumerate(zip(lo.tolist(), hi.tolist())) if h > l)
-    tails: list[int] = []
-    for places in match:
-        for p in places:
+        tails: list[int] = []
+        for p in j.tolist():
             at = bisect_left(tails, p)
             if at == len(tails):
                 tails.append(p)
             else:
                 tails[at] = p
-    return len(tails)
+        return len(tails)
+    values, many = np.unique(a, return_counts=True)
+    _, x, y = np.intersect1d(values, ranked, return_indices=True)
+    there = np.searchsorted(ranked, values[x], side="right") - np.searchsorted(ranked, values[x], side="left")
+    if np.minimum(many[x], there).sum() < need:
+        return 0
+    # Repeated shingles: bit-parallel, a bit for each place of b, places off the band masked out.
+    head = 0
+    for same in (a[: len(b)] == b[: len(a)]).tolist():
+        if not same:
+            break
+        head += 1
+    if head == min(len(a), len(b)):
+        return head
+    masks: dict[int, int] = {}
+    for j, v in enumerate(b[head:].tolist()):
+        masks[v] = masks.get(v, 0) | 1 << j
+    full = (1 << (len(b) - head)) - 1
+    row, band = full, (1 << (2 * stray + 1)) - 1
+    for i, v in enumerate(a[head:].tolist()):
+        if m := masks.get(v):
+            u = row & m & (band << i >> stray)
+            if u:
+                row = (row + u | row - u) & full
+    return head + len(b) - head - row.bit_count()
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = 0.8) -> bool:
@@ -155,7 +182,7 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = 0.8) -> bool:
     need = least / (1 + least) * n - 1e-9
     if min(len(a), len(b)) < need:
         return False
-    return aligned(a, b, int(n - 2 * need) + 1) >= need
+    return aligned(a, b, int(n - 2 * need) + 1, need) >= need
 
 
 @lru_cache(maxsize=64)
@@ -204,34 +231,37 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
     rows = chosen.select(F.col("doc_id").alias("doc"), "n", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
     active, active_path = scratch.table(rows.join(shared, "band").distinct(), "buckets")
-    edges: DataFrame | None = None
-    tried: DataFrame | None = None
     roots = spark.createDataFrame([], "id long, component long")
-    while True:
-        leaders = active.groupBy("band").agg(F.min(F.struct("doc", "n")).alias("l")).select("band", F.col("l.doc").alias("leader"), F.col("l.n").alias("ln"))
-        pairs = active.join(leaders, "band").where("doc <> leader AND least(n, ln) >= greatest(n, ln) * " + str(least - 1e-9))
-        pairs = pairs.select("doc", "leader").distinct()
-        # Pairs that share a component need no comparison, nor do those that were compared.
-        pairs = (pairs.join(roots.withColumnsRenamed({"id": "doc", "component": "x"}), "doc", "left")
-                 .join(roots.withColumnsRenamed({"id": "leader", "component": "y"}), "leader", "left")
-                 .where("coalesce(x, doc) <> coalesce(y, leader)").select("doc", "leader"))
+    tried: DataFrame | None = None
+    first = True
+    while not active.isEmpty():
+        named = active.join(roots.withColumnsRenamed({"id": "doc"}), "doc", "left").select("band", "doc", "n", F.coalesce("component", "doc").alias("c"))
+        leaders = active.groupBy("band").agg(F.min(F.struct("doc", "n")).alias("l"), F.count("*").alias("size"))
+        leaders = leaders.join(roots.withColumnRenamed("id", "leader"), F.col("l.doc") == F.col("leader"), "left").select(
+            "band", F.col("l.doc").alias("leader"), F.col("l.n").alias("ln"), F.coalesce("component", "l.doc").alias("lc"), "size")
+        fits = f"c <> lc AND least(n, ln) >= greatest(n, ln) * {least - 1e-9}"
+        pairs = named.join(leaders, "band").where("doc <> leader AND " + fits).select("doc", "leader")
+        small = leaders.where(F.col("size") <= (0 if first else SMALL)).select("band")
+        if not first:  # what is left of a small bucket is finished at once
+            members = named.join(small, "band")
+            others = members.select("band", F.col("doc").alias("leader"), F.col("n").alias("ln"), F.col("c").alias("lc"))
+            pairs = pairs.unionByName(members.join(others, "band").where("doc > leader AND " + fits).select("doc", "leader"))
+        pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["doc", "leader"], "left_anti")
         pairs, _ = scratch.table(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if not pairs.isEmpty():
-            found, _ = scratch.table(_verify(pairs, docs, least), "found")
-            edges = found if edges is None else edges.unionByName(found)
-            roots = components(edges.select(F.col("doc").alias("u"), F.col("leader").alias("v")))
-        # The leader has met all others. A bucket goes on while it spans several components.
-        rest = active.join(leaders.select("band", F.col("leader").alias("doc")), ["band", "doc"], "left_anti")
-        named = rest.join(roots.withColumnRenamed("id", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc"))
-        open_ = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-        active, path = scratch.table(rest.join(open_, "band", "left_semi"), "buckets")
+        found, _ = scratch.table(_verify(pairs, docs, least), "found")
+        if not found.isEmpty():
+            links = found.select(F.col("doc").alias("u"), F.col("leader").alias("v"))
+            roots = components(links.unionByName(roots.select(F.col("id").alias("u"), F.col("component").alias("v"))))
+        # A leader has met all others. A bucket goes on while it spans several components.
+        rest = active.join(small, "band", "left_anti").join(leaders.select("band", F.col("leader").alias("doc")), ["band", "doc"], "left_anti")
+        spans = rest.join(roots.withColumnsRenamed({"id": "doc"}), "doc", "left").groupBy("band").agg(
+            F.min(F.coalesce("component", "doc")).alias("lo"), F.max(F.coalesce("component", "doc")).alias("hi")).where("lo <> hi")
+        active, path = scratch.table(rest.join(spans.select("band"), "band", "left_semi"), "buckets")
         scratch.drop(spark, active_path)
-        active_path = path
-        if active.isEmpty():
-            break
+        active_path, first = path, False
     classes = reps.join(roots, reps["rep"] == roots["id"], "left").select("key", F.coalesce("component", "rep").alias("class_id"))
     out = all_docs.where("doc_id IS NOT NULL").select("doc_id", "key").join(classes, "key").select("doc_id", "class_id")
     alone = all_docs.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"))

@@ -32,6 +32,8 @@ from quillspark.llm import tokens
 #: Ids for each selector of Simple-8b. 0 and 1 are runs of zeros.
 COUNTS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BLOCK_IDS = 1 << 16
+#: The bits of small ids.
+_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.int8)
 FILE_SCHEMA = "bucket int, block long, start long, doc_ids array<long>, lengths array<long>, n_ids long, words binary"
 
 
@@ -43,8 +45,12 @@ def encode(ids: np.ndarray) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     if int(ids.max()) >> 60:
         raise ValueError("an id needs more than 60 bits")
-    high = (ids >> np.uint64(30)).astype(np.float64)
-    bits = np.where(high > 0, 30 + np.frexp(high)[1], np.frexp((ids & np.uint64((1 << 30) - 1)).astype(np.float64))[1]).astype(np.int8)
+    if int(ids.max()) < len(_BITS):
+        bits = _BITS[ids]
+    else:
+        high = (ids >> np.uint64(30)).astype(np.float64)
+        low = (ids & np.uint64((1 << 30) - 1)).astype(np.float64)
+        bits = np.where(high > 0, 30 + np.frexp(high)[1], np.frexp(low)[1]).astype(np.int8)
     # The selector of most ids that can start at a place wins.
     selector = np.full(n, 15, dtype=np.int8)
     over = np.zeros(n + 1, dtype=np.int32)
@@ -58,7 +64,7 @@ def encode(ids: np.ndarray) -> np.ndarray:
         if not ok.any():
             break
         selector[: n - count + 1][ok] = s
-    step = np.array(COUNTS)[selector].tolist()
+    step = np.array(COUNTS, dtype=np.uint8)[selector].tobytes()
     starts, at = [], 0
     while at < n:
         starts.append(at)
