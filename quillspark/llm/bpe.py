@@ -1,8 +1,8 @@
 """Byte-level BPE by DuckDB recursive queries, one database in each worker process.
 
 Encoding: a pattern splits a text into words. Words that are no token themselves become
-token-position rows (one byte a row at first); a recursive query joins neighbouring rows
-with the merge table and contracts, in every word at once, the leftmost pair of least rank,
+tokens with positions (one byte each at first); a recursive query joins the rows of neighbouring
+tokens with the merge table and contracts, in every word at once, the leftmost pair of least rank,
 until no pair of a word merges. Each distinct word is encoded once while the bounded cache
 holds it. Decoding: an ordered aggregation over a document's token rows concatenates bytes.
 
@@ -20,7 +20,7 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
-from itertools import chain
+from itertools import chain, islice
 
 import duckdb
 import numpy as np
@@ -34,16 +34,17 @@ CACHE_LIMIT, WORDS, TOKENS = 500_000, 20_000, 1_000_000
 
 CONTRACT = """
 WITH RECURSIVE t AS (
-  SELECT w, pos, tok, true AS live FROM bytes_of
+  SELECT w, list(tok ORDER BY pos) AS toks, true AS live FROM bytes_of GROUP BY w
   UNION ALL
-  SELECT w, pos, CASE WHEN k = best THEN rank ELSE tok END, best IS NOT NULL
-  FROM (SELECT *, lag(k = best) OVER (PARTITION BY w ORDER BY pos) AS merged_away
-        FROM (SELECT *, min(k) OVER (PARTITION BY w) AS best
-              FROM (SELECT p.w, p.pos, p.tok, m.rank, m.rank::BIGINT * 4294967296 + p.pos AS k
-                    FROM (SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS next FROM t WHERE live) p
-                    LEFT JOIN merges m ON m.l = p.tok AND m.r = p.next)))
-  WHERE merged_away IS NOT TRUE)
-SELECT w, list(tok ORDER BY pos) AS ids FROM t WHERE NOT live GROUP BY w
+  SELECT t.w,
+         CASE WHEN best IS NULL THEN toks ELSE toks[: best & 4294967295] || [(best >> 32)::INT] || toks[(best & 4294967295) + 3 :] END,
+         best IS NOT NULL
+  FROM t LEFT JOIN (
+    SELECT p.w, min((m.rank::BIGINT << 32) | p.pos) AS best
+    FROM (SELECT w, unnest(range(len(toks) - 1)) AS pos, unnest(toks[:-2]) AS l, unnest(toks[2:]) AS r FROM t WHERE live) p
+    JOIN merges m ON m.l = p.l AND m.r = p.r GROUP BY p.w) b ON b.w = t.w
+  WHERE t.live)
+SELECT w, toks AS ids, array_to_string(toks, ' ') AS text FROM t WHERE NOT live
 """
 
 CONCATENATE = """
@@ -67,19 +68,18 @@ class RankBPE:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
         self.cache: dict[str, tuple[bytes, str]] = {}
 
-    def _keep(self, word: str, ids: np.ndarray) -> None:
-        self.cache[word] = (ids.astype("<u4").tobytes(), " ".join(map(str, ids.tolist())))
-
     def learn(self, words: set[str]) -> None:
         new = words.difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_LIMIT:
+        if len(self.cache) + len(new) > CACHE_LIMIT:  # the words met first are the frequent ones
+            kept = list(islice(self.cache.items(), CACHE_LIMIT // 2))
             self.cache.clear()
-            new = words
+            self.cache.update(kept)
+            new = words.difference(self.cache)
         hard, raw, size = [], [], 0
         for word in new:
             b = word.encode()
             if (rank := self.ranks.get(b)) is not None:
-                self._keep(word, np.array([rank]))
+                self.cache[word] = (rank.to_bytes(4, "little"), str(rank))
                 continue
             hard.append(word)
             raw.append(b)
@@ -97,9 +97,12 @@ class RankBPE:
             "w": pa.array(np.repeat(np.arange(len(raw)), lengths), pa.int32()),
             "pos": pa.array(np.arange(lengths.sum()) - np.repeat(starts, lengths), pa.int32()),
             "tok": pa.array(self.single[np.frombuffer(b"".join(raw), dtype=np.uint8)])}))
-        found = self.db.execute(CONTRACT).fetchnumpy()
-        for w, ids in zip(found["w"].tolist(), found["ids"]):
-            self._keep(words[w], np.asarray(ids))
+        for batch in self.db.execute(CONTRACT).to_arrow_table().to_batches():
+            ids = batch.column("ids")
+            flat = ids.values.to_numpy().astype("<u4").tobytes()
+            ends = (4 * ids.offsets.to_numpy().astype(np.int64)).tolist()
+            for w, lo, hi, text in zip(batch.column("w").to_pylist(), ends, ends[1:], batch.column("text").to_pylist()):
+                self.cache[words[w]] = (flat[lo:hi], text)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each text its ids (little-endian unsigned 32-bit), and as decimal text."""
