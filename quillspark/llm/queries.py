@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import chat_format as chat
 from quillspark.llm import embedding_dedup as embedding
 from quillspark.llm import near_dedup as near
-from quillspark.llm import bpe, packing, scratch, token_files
+from quillspark.llm import bpe, packing, scratch, sharding, token_files, toxicity
 from quillspark.llm import quality_rules as quality
 from quillspark.llm import secret_scan as secrets
 
@@ -91,6 +91,20 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"), 0.8)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labelled rows that are not held out."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted", "evidence", "evidence_terms")
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of eight shards of equal row counts, equal texts together."""
+    return sharding.shard_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"), 8)
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_chat_format": op3_chat_format,
@@ -100,4 +114,6 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op7_near_dedup": op7_near_dedup,
+    "op1_toxicity": op1_toxicity,
+    "op8_sharding": op8_sharding,
 }
