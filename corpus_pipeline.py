@@ -19,7 +19,7 @@ from quillspark.llm import near_dedup, packing, quality_rules, scratch, secret_s
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the threshold table."""
-    return quality_rules.quality_rules(docs).where("kept").select(docs.columns)
+    return quality_rules.keep_good(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,7 +97,7 @@ class RankBPE:
             "w": pa.array(np.repeat(np.arange(len(raw)), lengths), pa.int32()),
             "pos": pa.array(np.arange(lengths.sum()) - np.repeat(starts, lengths), pa.int32()),
             "tok": pa.array(self.single[np.frombuffer(b"".join(raw), dtype=np.uint8)])}))
-        for batch in self.db.execute(CONTRACT).to_arrow_table().to_batches():
+        for batch in self.db.sql(CONTRACT).to_arrow_table().to_batches():
             ids = batch.column("ids")
             flat = ids.values.to_numpy().astype("<u4").tobytes()
             ends = (4 * ids.offsets.to_numpy().astype(np.int64)).tolist()

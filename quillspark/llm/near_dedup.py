@@ -13,7 +13,9 @@ most (a + b) / 9 from the diagonal, so only that band is searched, without loss.
 Documents of equal words are one row first. Within a bucket, candidates are not expanded into pairs:
 each round compares a bucket's members with its leader, joins what is linked, and goes on with
 buckets whose members still lie in several components, a further leader at a time (or at once
-when at most ``SMALL`` are left), until none does. So a group of n copies costs about n comparisons, and every candidate pair is either
+when at most ``SMALL`` are left), until none does. Between rounds, the shingles that only one of
+the remaining documents has are counted; they bound what it can share, and a document that
+could not reach 0.8 with any partner of its bucket leaves it. So a group of n copies costs about n comparisons, and every candidate pair is either
 compared, or already linked. Leaders are minima by partial aggregation, returned by an
 equi-join that adaptive execution splits; no bucket is gathered into a task.
 
@@ -221,6 +223,26 @@ def _verify(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     return joined.select("doc", "leader", "a", "b").mapInPandas(run, "doc long, leader long").distinct()
 
 
+def _unshared(active: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc, alone: the shingles that no other active document has. No partner can align with those."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"doc": batch["doc"], "s": [labelled(shingles(words(t))).view(np.int64) for t in batch["text"].tolist()]})
+
+    rows = texts.join(active.select("doc").distinct(), "doc", "left_semi").mapInPandas(run, "doc long, s array<long>")
+    seen = rows.select("doc", F.explode("s").alias("s")).groupBy("s").agg(F.min("doc").alias("doc"), F.max("doc").alias("other"))
+    return seen.where("doc = other").groupBy("doc").agg(F.count("*").alias("alone"))
+
+
+def _open(active: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of buckets that span several components."""
+    named = active.join(roots.withColumnRenamed("id", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc"))
+    spans = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
+    return active.join(spans, "band", "left_semi")
+
+
 def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, class_id (least doc_id of its class) and kept, for every row."""
     spark = docs.sparkSession
@@ -229,39 +251,49 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
     reps, _ = scratch.table(reps, "reps")
     chosen = all_docs.where("bands IS NOT NULL").join(reps, (all_docs["key"] == reps["key"]) & (all_docs["doc_id"] == reps["rep"]), "left_semi")
     rows = chosen.select(F.col("doc_id").alias("doc"), "n", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
-    active, active_path = scratch.table(rows.join(shared, "band").distinct(), "buckets")
+    met = rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
+    # free: the shingles of a document that a partner may have.
+    active, active_path = scratch.table(rows.join(met, "band").distinct().withColumn("free", F.col("n")), "buckets")
     roots = spark.createDataFrame([], "id long, component long")
-    tried: DataFrame | None = None
+    tried: list[str] = []
+    need = least / (1 + least)
+    fits = f"c <> lc AND doc <> leader AND least(n, ln) >= greatest(n, ln) * {least - 1e-9} AND least(free, lfree) >= {need} * (n + ln) - 1e-6"
     first = True
     while not active.isEmpty():
-        named = active.join(roots.withColumnsRenamed({"id": "doc"}), "doc", "left").select("band", "doc", "n", F.coalesce("component", "doc").alias("c"))
-        leaders = active.groupBy("band").agg(F.min(F.struct("doc", "n")).alias("l"), F.count("*").alias("size"))
-        leaders = leaders.join(roots.withColumnRenamed("id", "leader"), F.col("l.doc") == F.col("leader"), "left").select(
-            "band", F.col("l.doc").alias("leader"), F.col("l.n").alias("ln"), F.coalesce("component", "l.doc").alias("lc"), "size")
-        fits = f"c <> lc AND least(n, ln) >= greatest(n, ln) * {least - 1e-9}"
-        pairs = named.join(leaders, "band").where("doc <> leader AND " + fits).select("doc", "leader")
+        named = active.join(roots.withColumnRenamed("id", "doc"), "doc", "left").select("band", "doc", "n", "free", F.coalesce("component", "doc").alias("c"))
+        # The leader is the document with most of its shingles shared: the nearest to all others.
+        head = F.max(F.struct((F.col("free") / F.col("n")).alias("r"), (-F.col("doc")).alias("neg"), "doc", "n", "free", "c")).alias("l")
+        leaders = named.groupBy("band").agg(head, F.count("*").alias("size")).select(
+            "band", F.col("l.doc").alias("leader"), F.col("l.n").alias("ln"), F.col("l.free").alias("lfree"), F.col("l.c").alias("lc"), "size")
         small = leaders.where(F.col("size") <= (0 if first else SMALL)).select("band")
+        pairs = named.join(leaders, "band").where(fits).select("doc", "leader")
         if not first:  # what is left of a small bucket is finished at once
             members = named.join(small, "band")
-            others = members.select("band", F.col("doc").alias("leader"), F.col("n").alias("ln"), F.col("c").alias("lc"))
+            others = members.select("band", F.col("doc").alias("leader"), F.col("n").alias("ln"), F.col("free").alias("lfree"), F.col("c").alias("lc"))
             pairs = pairs.unionByName(members.join(others, "band").where("doc > leader AND " + fits).select("doc", "leader"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["doc", "leader"], "left_anti")
-        pairs, _ = scratch.table(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found, _ = scratch.table(_verify(pairs, docs, least), "found")
+        pairs = pairs.select(F.greatest("doc", "leader").alias("doc"), F.least("doc", "leader").alias("leader")).distinct()
+        if tried:
+            pairs = pairs.join(spark.read.schema("doc long, leader long").parquet(*tried), ["doc", "leader"], "left_anti")
+        pairs, path = scratch.table(pairs, "pairs")
+        tried.append(path)
+        found, found_path = scratch.table(_verify(pairs, docs, least), "found")
         if not found.isEmpty():
             links = found.select(F.col("doc").alias("u"), F.col("leader").alias("v"))
             roots = components(links.unionByName(roots.select(F.col("id").alias("u"), F.col("component").alias("v"))))
         # A leader has met all others. A bucket goes on while it spans several components.
         rest = active.join(small, "band", "left_anti").join(leaders.select("band", F.col("leader").alias("doc")), ["band", "doc"], "left_anti")
-        spans = rest.join(roots.withColumnsRenamed({"id": "doc"}), "doc", "left").groupBy("band").agg(
-            F.min(F.coalesce("component", "doc")).alias("lo"), F.max(F.coalesce("component", "doc")).alias("hi")).where("lo <> hi")
-        active, path = scratch.table(rest.join(spans.select("band"), "band", "left_semi"), "buckets")
-        scratch.drop(spark, active_path)
-        active_path, first = path, False
+        rest, rest_path = scratch.table(_open(rest, roots), "buckets")
+        scratch.drop(spark, active_path, found_path)
+        active_path = rest_path
+        if not rest.isEmpty():
+            # A document goes on while its shared shingles are enough for a partner of its bucket.
+            lone = _unshared(rest, docs)
+            free = rest.join(lone, "doc", "left").select("band", "doc", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("free"))
+            shortest = free.groupBy("band").agg(F.min("n").alias("low"))
+            able = free.join(shortest, "band").where(f"free >= {need} * (n + greatest(low, {least} * n)) - 1e-6").select("band", "doc", "n", "free")
+            rest, active_path = scratch.table(_open(able, roots), "buckets")
+            scratch.drop(spark, rest_path)
+        active, first = rest, False
     classes = reps.join(roots, reps["rep"] == roots["id"], "left").select("key", F.coalesce("component", "rep").alias("class_id"))
     out = all_docs.where("doc_id IS NOT NULL").select("doc_id", "key").join(classes, "key").select("doc_id", "class_id")
     alone = all_docs.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"))

@@ -126,3 +126,14 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
     failed = F.array_compact(F.array(*verdicts))
     return df.select("*", base.alias("base_failed"), failed.alias("failed_rules")).select(
         "*", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"))
+
+
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns.
+
+    The verdict passes through a one-element array: a filter on it must not be pushed below
+    the projections, where every measure would be inlined, and computed, many times.
+    """
+    row = F.struct(*[f"`{c}`" for c in docs.columns]).alias("__row")
+    judged = quality_rules(docs.select(row, F.col(f"`{text}`").alias("__text")), rules, "__text")
+    return judged.select("__row", F.explode(F.array("kept")).alias("__kept")).where("__kept").select("__row.*")
