@@ -10,13 +10,13 @@ Similarity of two documents is m / (a + b - m): a and b shingles, m of them alig
 order (longest common subsequence). At a similarity of 0.8 an alignment strays at
 most (a + b) / 9 from the diagonal, so only that band is searched, without loss.
 
-Documents of equal words are one row first. Within a bucket, candidates are not expanded into pairs:
-each round compares a bucket's members with its leader, joins what is linked, and goes on with
-buckets whose members still lie in several components, a further leader at a time (or at once
-when at most ``SMALL`` are left), until none does. Between rounds, the shingles that only one of
-the remaining documents has are counted; they bound what it can share, and a document that
-could not reach 0.8 with any partner of its bucket leaves it. So a group of n copies costs about n comparisons, and every candidate pair is either
-compared, or already linked. Leaders are minima by partial aggregation, returned by an
+Documents of equal words are one row first. Within a bucket, candidates are not expanded into
+pairs: a bucket's members are compared with its least document, what is linked is joined,
+and then only documents outside the bucket's main component lead further rounds, about
+``LEADERS`` at a time, until the bucket lies in one component or all have led. So a group of n copies costs about n
+comparisons, and every candidate pair is either compared, or already linked, or cannot reach 0.8:
+between rounds, the shingles that only one of the remaining documents has are counted, and
+bound what it can share with any partner of its bucket. Sizes and least documents are partial aggregates, returned by an
 equi-join that adaptive execution splits; no bucket is gathered into a task.
 
 Recall is that of the bands: with 28 bands of 2 sketches of 3 shingles, a pair at exactly 0.8
@@ -44,8 +44,8 @@ from quillspark.llm import scratch
 from quillspark.llm.components import components
 
 SHINGLE, BANDS, ROWS, KEPT = 5, 28, 2, 3
-#: What is left of a bucket after its first leader is compared in one round if it has so few members.
-SMALL = 32
+#: So many documents of a bucket, about, lead in a round.
+LEADERS = 64
 WORD_CACHE = 500_000
 
 _words = re.compile(r"[^\W_]+").findall
@@ -261,16 +261,15 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
     first = True
     while not active.isEmpty():
         named = active.join(roots.withColumnRenamed("id", "doc"), "doc", "left").select("band", "doc", "n", "free", F.coalesce("component", "doc").alias("c"))
-        # The leader is the document with most of its shingles shared: the nearest to all others.
-        head = F.max(F.struct((F.col("free") / F.col("n")).alias("r"), (-F.col("doc")).alias("neg"), "doc", "n", "free", "c")).alias("l")
-        leaders = named.groupBy("band").agg(head, F.count("*").alias("size")).select(
-            "band", F.col("l.doc").alias("leader"), F.col("l.n").alias("ln"), F.col("l.free").alias("lfree"), F.col("l.c").alias("lc"), "size")
-        small = leaders.where(F.col("size") <= (0 if first else SMALL)).select("band")
+        sizes = named.groupBy("band", "c").agg(F.count("*").alias("k"), F.min("doc").alias("low")).groupBy("band").agg(
+            F.max(F.struct("k", (-F.col("c")).alias("neg"))).alias("top"), F.sum("k").alias("size"), F.min("low").alias("low"))
+        sizes = sizes.select("band", (-F.col("top.neg")).alias("main"), (F.col("size") - F.col("top.k")).alias("others"), "low")
+        # First the least document of each bucket leads; then documents outside its main component do, some at a time.
+        lead = F.col("doc") == F.col("low") if first else (F.col("c") != F.col("main")) & (F.pmod(F.xxhash64("doc"), F.ceil(F.col("others") / LEADERS)) == 0)
+        leaders = named.join(sizes, "band").where(lead | (F.col("doc") == F.when(F.col("others") > LEADERS, F.col("low")))).select(
+            "band", F.col("doc").alias("leader"), F.col("n").alias("ln"), F.col("free").alias("lfree"), F.col("c").alias("lc"))
+        leaders, leaders_path = scratch.table(leaders, "leaders")
         pairs = named.join(leaders, "band").where(fits).select("doc", "leader")
-        if not first:  # what is left of a small bucket is finished at once
-            members = named.join(small, "band")
-            others = members.select("band", F.col("doc").alias("leader"), F.col("n").alias("ln"), F.col("free").alias("lfree"), F.col("c").alias("lc"))
-            pairs = pairs.unionByName(members.join(others, "band").where("doc > leader AND " + fits).select("doc", "leader"))
         pairs = pairs.select(F.greatest("doc", "leader").alias("doc"), F.least("doc", "leader").alias("leader")).distinct()
         if tried:
             pairs = pairs.join(spark.read.schema("doc long, leader long").parquet(*tried), ["doc", "leader"], "left_anti")
@@ -281,9 +280,9 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
             links = found.select(F.col("doc").alias("u"), F.col("leader").alias("v"))
             roots = components(links.unionByName(roots.select(F.col("id").alias("u"), F.col("component").alias("v"))))
         # A leader has met all others. A bucket goes on while it spans several components.
-        rest = active.join(small, "band", "left_anti").join(leaders.select("band", F.col("leader").alias("doc")), ["band", "doc"], "left_anti")
+        rest = active.join(leaders.select("band", F.col("leader").alias("doc")), ["band", "doc"], "left_anti")
         rest, rest_path = scratch.table(_open(rest, roots), "buckets")
-        scratch.drop(spark, active_path, found_path)
+        scratch.drop(spark, active_path, found_path, leaders_path)
         active_path = rest_path
         if not rest.isEmpty():
             # A document goes on while its shared shingles are enough for a partner of its bucket.
