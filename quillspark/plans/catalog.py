@@ -1,6 +1,502 @@
-"""Registered queries of the reference's operators and their SQL."""
+"""Registered queries of the engine's operators over the driver's tables, and their SQL.
+
+Binding: book_id := doc_id, body := text, language := lang, author := source, title := the first 40
+characters of the text.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.functions import header, paths, split, text
+from quillspark.functions.fixed import END_MARKER, LANGUAGES, START_MARKER, STOP_WORDS
+from quillspark.operators import analytics, control, index, metadata, search
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- bindings
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "documents").select(F.col("doc_id").alias("book_id"), F.col("text").alias("body"))
+
+
+def _books(spark: SparkSession, sf: str) -> DataFrame:
+    d = _table(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("book_id"), F.substring("text", 1, 40).alias("title"), F.col("source").alias("author"),
+                    F.col("lang").alias("language"), paths.hash_path(F.col("doc_id")).alias("body_path"))
+
+
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
+
+
+def _tokens_sql(table: str = "documents", key: str = "doc_id", body: str = "text") -> str:
+    return f"""t AS (SELECT {key} AS doc_id, regexp_extract_all(strip_accents(lower({body})), '[\\p{{L}}\\p{{Nd}}]+(?:[''’][\\p{{L}}\\p{{Nd}}]+)*') AS l FROM {table}),
+    u AS (SELECT doc_id, unnest(l) AS term, unnest(range(len(l))) AS pos FROM t),
+    k AS (SELECT * FROM u WHERE length(term) BETWEEN 2 AND 40 AND NOT regexp_full_match(term, '\\p{{Nd}}+') AND term NOT IN ({_STOP}))"""
+
+
+_K = "WITH " + _tokens_sql()
+_HASH = "'datalake/' || lpad(doc_id::VARCHAR, greatest(6, length(doc_id::VARCHAR))::INT, '0')[1:2] || '/' || lpad(doc_id::VARCHAR, greatest(6, length(doc_id::VARCHAR))::INT, '0')[3:4] || '/' || doc_id"
+_B = f"WITH b AS (SELECT doc_id AS book_id, text[1:40] AS title, source AS author, lang AS language, {_HASH} || '.body.txt' AS body_path FROM documents)"
+
+# --- tokens and index
+
+
+@query(f"{_K}, r AS (SELECT doc_id, count(*) AS n FROM u GROUP BY doc_id), q AS (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id) "
+       "SELECT doc_id AS book_id, coalesce(r.n, 0)::BIGINT AS n_tokens_raw, coalesce(q.n, 0)::BIGINT AS n_tokens_kept FROM documents LEFT JOIN r USING (doc_id) LEFT JOIN q USING (doc_id)")
+def tok_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return text.token_stats(_docs(spark, sf)).select("book_id", "n_tokens_raw", "n_tokens_kept")
+
+
+@query(f"{_K} SELECT d.doc_id AS book_id, sha256(coalesce(string_agg(term, chr(10) ORDER BY pos), '')) AS sha256_tokens FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id")
+def tok_digest(spark: SparkSession, sf: str) -> DataFrame:
+    return text.token_stats(_docs(spark, sf)).select("book_id", "sha256_tokens")
+
+
+@query(f"{_K} SELECT term, doc_id AS book_id, count(*)::INT AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM k GROUP BY ALL")
+def index_postings(spark: SparkSession, sf: str) -> DataFrame:
+    return index.build_postings(_docs(spark, sf)).withColumn("positions", F.array_join("positions", ","))
+
+
+@query(f"{_K} SELECT term, count(DISTINCT doc_id)::BIGINT AS df FROM k GROUP BY term")
+def index_df(spark: SparkSession, sf: str) -> DataFrame:
+    rows = text.tokens(_docs(spark, sf)).select("term", "book_id").distinct()
+    return index.document_frequency(rows)
+
+
+_ENTRY = """, p AS (SELECT term, doc_id, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS ps FROM k GROUP BY ALL)
+    SELECT term, count(*)::BIGINT AS df, string_agg('[' || doc_id || ',' || tf || ',[' || ps || ']]', ',' ORDER BY doc_id) AS postings FROM p GROUP BY term"""
+
+
+@query(_K + _ENTRY)
+def index_entry_json(spark: SparkSession, sf: str) -> DataFrame:
+    return index.entries(index.build_postings(_docs(spark, sf)))
+
+
+@query(f"{_K}, f AS (SELECT term, count(DISTINCT doc_id)::BIGINT AS df FROM k GROUP BY term) "
+       "SELECT term, df, (row_number() OVER (ORDER BY df DESC, term))::INT AS rank FROM f ORDER BY df DESC, term LIMIT 500")
+def vocab_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return analytics.ranked_vocabulary(index_df(spark, sf))
+
+
+@query(f"""{_K}, f AS (SELECT term, count(DISTINCT doc_id)::BIGINT AS df FROM k GROUP BY term),
+    r AS (SELECT *, row_number() OVER (ORDER BY df DESC, term) AS rank, greatest(500, count(*) OVER () // 4) AS start FROM f),
+    x AS (SELECT 'high' AS band, df FROM r WHERE rank <= 500 UNION ALL SELECT 'mid', df FROM r WHERE rank > start AND rank <= start + 500 UNION ALL SELECT 'rare', df FROM r WHERE df IN (2, 3))
+    SELECT band, count(*)::BIGINT AS terms, min(df) AS least, max(df) AS most FROM x GROUP BY band""")
+def vocab_bands(spark: SparkSession, sf: str) -> DataFrame:
+    return analytics.bands(index_df(spark, sf))
+
+
+@query(f"{_K} SELECT CASE WHEN regexp_matches(term, '^[a-z]') THEN upper(term[1:1]) ELSE '_' END AS bucket, count(DISTINCT term)::BIGINT AS terms, count(*)::BIGINT AS tokens FROM k GROUP BY 1")
+def term_bucket(spark: SparkSession, sf: str) -> DataFrame:
+    by_term = text.tokens(_docs(spark, sf)).groupBy("term").agg(F.count("*").alias("n"))
+    return by_term.groupBy(paths.bucket(F.col("term")).alias("bucket")).agg(F.count("*").alias("terms"), F.sum("n").alias("tokens"))
+
+
+@query(f"{_K} SELECT DISTINCT term, url_encode(term) AS name FROM k")
+def term_safe_name(spark: SparkSession, sf: str) -> DataFrame:
+    return text.tokens(_docs(spark, sf)).select("term").distinct().withColumn("name", paths.safe_name(F.col("term")))
+
+
+@query(f"WITH {_tokens_sql('pages', 'page_id', 'html')} SELECT term, count(*)::BIGINT AS occurrences, count(DISTINCT doc_id)::BIGINT AS df FROM k GROUP BY term")
+def page_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _table(spark, sf, "pages").select(F.col("page_id").alias("book_id"), F.col("html").alias("body"))
+    per_page = text.tokens(pages).groupBy("term", "book_id").agg(F.count("*").alias("tf"))
+    return per_page.groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count("*").alias("df"))
+
+
+@query(f"WITH {_tokens_sql('conversations', 'conv_id * 1000 + turn', 'text')} SELECT term, doc_id AS book_id, count(*)::INT AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM k GROUP BY ALL")
+def conversation_index(spark: SparkSession, sf: str) -> DataFrame:
+    turns = _table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("book_id"), F.col("text").alias("body"))
+    return index.build_postings(turns).withColumn("positions", F.array_join("positions", ","))
+
+
+# --- search
+
+
+def _and(*terms: str) -> str:
+    inside = ", ".join(f"'{t}'" for t in terms)
+    return f"{_K} SELECT doc_id AS book_id FROM k WHERE term IN ({inside}) GROUP BY doc_id HAVING count(DISTINCT term) = {len(terms)} ORDER BY book_id"
+
+
+def _postings(spark: SparkSession, sf: str) -> DataFrame:
+    """(term, book_id), unaggregated: a search needs no counts."""
+    return text.tokens(_docs(spark, sf)).select("term", "book_id")
+
+
+@query(_and("erre"))
+def query_single(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(_postings(spark, sf), "Erre")
+
+
+@query(_and("erre", "shed"))
+def query_and2(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(_postings(spark, sf), "the erre SHED erre")
+
+
+@query(_and("erre", "shed", "tion"))
+def query_and3(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(_postings(spark, sf), "erre shed tion")
+
+
+@query(f"{_K} SELECT DISTINCT doc_id AS book_id FROM k WHERE term IN ('erre', 'mente', 'nosuchterm') ORDER BY book_id")
+def query_or(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(_postings(spark, sf), "erre mente nosuchterm", "or")
+
+
+@query(_and("erre", "nosuchterm"))
+def query_absent(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(_postings(spark, sf), "erre nosuchterm")
+
+
+@query("SELECT doc_id AS book_id FROM documents WHERE false")
+def query_stopwords_only(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(_postings(spark, sf), "the of AND 12 x")
+
+
+@query(_and("erre") + " LIMIT 10")
+def query_limit(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(_postings(spark, sf), "erre", limit=10)
+
+
+#: A table of queries: (query_id, terms).
+WORKLOAD = ((1, "erre"), (2, "erre shed"), (3, "erre shed tion"), (4, "nosuchterm"), (5, "mente tion"), (6, "schen keit"))
+
+
+@query(f"""{_K}, q AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{t}')" for q, ts in WORKLOAD for i, t in [(q, x) for x in ts.split()])}) v(query_id, term)),
+    n AS (SELECT query_id, count(*) AS c FROM q GROUP BY query_id)
+    SELECT query_id, doc_id AS book_id FROM k JOIN q USING (term) JOIN n USING (query_id) GROUP BY query_id, doc_id, c HAVING count(DISTINCT term) = c""")
+def query_workload(spark: SparkSession, sf: str) -> DataFrame:
+    queries = spark.createDataFrame([(i, text.query_terms(q)) for i, q in WORKLOAD], "query_id int, terms array<string>")
+    return search.workload(_postings(spark, sf).distinct(), queries)
+
+
+# --- metadata
+
+
+@query(f"{_B} SELECT * FROM b WHERE author = 'src3'")
+def meta_q1(spark: SparkSession, sf: str) -> DataFrame:
+    return metadata.by_author(_books(spark, sf), "src3")
+
+
+@query(f"{_B} SELECT body_path FROM b WHERE book_id = 42")
+def meta_q2(spark: SparkSession, sf: str) -> DataFrame:
+    return metadata.body_path(_books(spark, sf), 42)
+
+
+@query(f"{_B} SELECT * FROM b WHERE translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE 't_e%'")
+def meta_q3(spark: SparkSession, sf: str) -> DataFrame:
+    return metadata.title_like(_books(spark, sf), "T_e")
+
+
+@query(f"{_B} SELECT * FROM b WHERE starts_with(title, 'The')")
+def meta_q3_range(spark: SparkSession, sf: str) -> DataFrame:
+    return metadata.title_range(_books(spark, sf), "The")
+
+
+@query(f"{_B} SELECT language, count(*)::BIGINT AS n FROM b GROUP BY language")
+def meta_q4(spark: SparkSession, sf: str) -> DataFrame:
+    return metadata.per_language(_books(spark, sf))
+
+
+@query(f"{_B} SELECT * FROM b WHERE language = 'fr'")
+def meta_by_lang(spark: SparkSession, sf: str) -> DataFrame:
+    return metadata.by_language(_books(spark, sf), "fr")
+
+
+@query(f"{_B} SELECT * FROM b WHERE book_id = 7")
+def meta_by_id(spark: SparkSession, sf: str) -> DataFrame:
+    return metadata.by_id(_books(spark, sf), 7)
+
+
+#: Names for the language codes of the table, as a header would give them.
+_NAMES = {v: k for k, v in LANGUAGES.items() if v in ("en", "de", "fr", "es")}
+
+
+def _raw(spark: SparkSession, sf: str, footer: str = "footer") -> DataFrame:
+    """Raw books made from documents: header, START line, text, END line, footer."""
+    d = _table(spark, sf, "documents")
+    name = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in _NAMES.items() for x in kv]), F.col("lang")), F.col("lang"))
+    raw = F.concat(F.lit("Title: Book   "), F.col("doc_id").cast("string"), F.lit("\r\n    part two\r\nAuthor: "), F.col("source"), F.lit(", Given, 1775-1817\r\nRelease Date: March 3, 19"),
+                   F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit(" [eBook #"), F.col("doc_id").cast("string"), F.lit("]\r\nLanguage: "), F.initcap(name),
+                   F.lit(f"\r\n\r\n{START_MARKER} {footer} ***\r\n"), F.col("text"), F.lit(f"\r\n{END_MARKER} X ***\r\n{footer}\r\n"))
+    return d.select(F.col("doc_id").alias("book_id"), raw.alias("raw"))
+
+
+_CLEAN = "trim(regexp_replace(regexp_replace(text, '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10)) || chr(10)"
+
+
+@query(f"SELECT doc_id AS book_id, {_CLEAN} AS body, sha256({_CLEAN}) AS sha256, strlen({_CLEAN})::BIGINT AS body_bytes, 'Book ' || doc_id || ' part two' AS title, source || ', Given' AS author, lang AS language, "
+       "'19' || lpad((doc_id % 100)::VARCHAR, 2, '0') || '-03-03' AS release_date FROM documents")
+def meta_record(spark: SparkSession, sf: str) -> DataFrame:
+    books = split.split_books(_raw(spark, sf)).select("*", F.lit("h").alias("header_path"), F.lit("b").alias("body_path"), F.lit("2026-01-01T00:00:00Z").alias("ingested_at"))
+    rows = books.select("book_id", "body", header.parse(F.col("header")).alias("m"))
+    return rows.select("book_id", "body", F.sha2("body", 256).alias("sha256"), F.octet_length("body").cast("long").alias("body_bytes"), "m.*")
+
+
+@query(f"SELECT doc_id AS book_id, {_CLEAN} AS body, NULL::VARCHAR AS error FROM documents")
+def split_markers(spark: SparkSession, sf: str) -> DataFrame:
+    return split.split_books(_raw(spark, sf)).select("book_id", "body", "error")
+
+
+@query(f"SELECT doc_id AS book_id, strlen({_CLEAN})::BIGINT + {len(END_MARKER) + 10} AS n FROM documents")
+def split_quoted_end(spark: SparkSession, sf: str) -> DataFrame:
+    """A quoted END line before the true one belongs to the body."""
+    quoted = _table(spark, sf, "documents").select(F.col("doc_id").alias("book_id"), F.concat(
+        F.lit(f"h\n{START_MARKER}\n"), F.regexp_replace(F.btrim("text", F.lit(" \t\n")), "[ \\t]+(?=\\n|$)", ""), F.lit(f"\n{END_MARKER} quoted\nq\n{END_MARKER}\n")).alias("raw"))
+    return split.split_books(quoted).select("book_id", F.octet_length("body").cast("long").alias("n"))
+
+
+@query(f"SELECT doc_id AS book_id, {_CLEAN.replace('text,', 'replace(text, chr(46), chr(32) || chr(9) || chr(10) || chr(10) || chr(10) || chr(10)),')} AS body FROM documents")
+def clean_body(spark: SparkSession, sf: str) -> DataFrame:
+    d = _table(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("book_id"), split.clean_body(F.replace(F.col("text"), F.lit("."), F.lit(" \t\r\n\r\r\n\n"))).alias("body"))
+
+
+#: Literal headers: name, header, title, author, language, release date.
+HEADERS = (
+    ("standard", "Title: Pride\nAuthor: Austen, Jane, 1775-1817\nLanguage: English\nRelease Date: June 1, 1998", "Pride", "Austen, Jane", "en", "1998-06-01"),
+    ("no_author", "Title: Tales\nLanguage: English", "Tales", None, "en", None),
+    ("wrapped", "Title: A Journey\n    Around\n\n\tthe World\nAuthor: J V\nLanguage: French", "A Journey Around the World", "J V", "fr", None),
+    ("no_title", "Author: E\nLanguage: Klingon\nRelease date: Feb 30, 2020", "Unknown", "E", "klingon", None),
+    ("case", "tItLe:  A   B \nauthor: \nRELEASE DATE: April 9, 2010 [eBook #3]\n  Most recently updated: x", "A B", "", None, "2010-04-09"),
+    ("last", "Title: x\nCredits: see\n  Title: no\nTitle: y\n", "y", None, None, None),
+    ("feb", "Title: W\nLanguage: German\nRelease Date: February 30, 2020", "W", None, "de", None),
+)
+
+
+def _values(rows: tuple, names: str) -> str:
+    lit = lambda v: "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) v({names})"
+
+
+@query(_values(tuple((r[0], *r[2:]) for r in HEADERS), "name, title, author, language, release_date"))
+def header_parse(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([r[:2] for r in HEADERS], "name string, header string")
+    return rows.select("name", header.parse(F.col("header")).alias("m")).select("name", "m.*")
+
+
+_DATES = (("January 2, 2000", "2000-01-02"), ("june 15, 1998 [eBook #1]", "1998-06-15"), ("February 30, 2020", None), ("February 29, 2020", "2020-02-29"), ("1998", None), ("sometime", None), ("", None))
+
+
+@query(_values(_DATES, "value, release_date"))
+def release_date(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([d[:1] for d in _DATES], "value string").withColumn("release_date", header.release_date(F.col("value")))
+
+
+@query("SELECT doc_id AS book_id, CASE WHEN doc_id % 3 = 2 THEN source || ', 1900' ELSE source END AS author FROM documents")
+def author_lifespan(spark: SparkSession, sf: str) -> DataFrame:
+    d = _table(spark, sf, "documents")
+    years = F.when(F.col("doc_id") % 3 == 0, ", 1775-1817").when(F.col("doc_id") % 3 == 1, ", 1775 – 1817 ").otherwise(", 1900")
+    return d.select(F.col("doc_id").alias("book_id"), header.without_lifespan(F.concat("source", years)).alias("author"))
+
+
+# --- layouts, control
+
+
+@query(f"SELECT doc_id AS book_id, {_HASH} || '.body.txt' AS body_path, {_HASH} || '.header.txt' AS header_path FROM documents")
+def layout_hash_path(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("book_id")
+    return _docs(spark, sf).select(i, paths.path("hash", i, F.lit(None)).alias("body_path"), paths.path("hash", i, F.lit(None), "header").alias("header_path"))
+
+
+@query("SELECT doc_id AS book_id, 'datalake/books/' || doc_id || '/body.txt' AS body_path, 'datalake/books/' || doc_id || '/header.txt' AS header_path FROM documents")
+def layout_book_path(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("book_id")
+    return _docs(spark, sf).select(i, paths.path("book", i, F.lit(None)).alias("body_path"), paths.path("book", i, F.lit(None), "header").alias("header_path"))
+
+
+@query("SELECT event_id AS book_id, 'datalake/' || strftime(ts, '%Y%m%d/%H/') || event_id || '.body.txt' AS body_path, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS ingested_at FROM events")
+def layout_time_path(spark: SparkSession, sf: str) -> DataFrame:
+    e = _table(spark, sf, "events")
+    return e.select(F.col("event_id").alias("book_id"), paths.path("time", F.col("event_id"), F.col("ts")).alias("body_path"), paths.instant_text(F.col("ts")).alias("ingested_at"))
+
+
+def _indexed(docs: DataFrame) -> DataFrame:
+    """The ids a fixture calls indexed: those of labelled documents (a second table, not a sample)."""
+    return docs.select(F.col("doc_id").alias("book_id"))
+
+
+@query("SELECT doc_id AS book_id FROM documents EXCEPT SELECT doc_id FROM labels ORDER BY book_id")
+def pending(spark: SparkSession, sf: str) -> DataFrame:
+    return control.pending(_docs(spark, sf), _indexed(_table(spark, sf, "labels")))
+
+
+@query("SELECT DISTINCT user_id AS book_id FROM events WHERE ts >= TIMESTAMP '2024-01-01 00:30:00' AND user_id NOT IN (SELECT s_suppkey FROM supplier) ORDER BY book_id")
+def scan_new(spark: SparkSession, sf: str) -> DataFrame:
+    lake = _table(spark, sf, "events").select(F.col("user_id").alias("book_id"), F.col("ts").alias("ingested"))
+    return control.scan_new(lake, _table(spark, sf, "supplier").select(F.col("s_suppkey").alias("book_id")), "2024-01-01 00:30:00")
+
+
+@query("SELECT event_id AS book_id FROM events WHERE strftime(ts, '%Y%m%d') > '20240101' OR (strftime(ts, '%Y%m%d') = '20240101' AND strftime(ts, '%H') >= '05')")
+def scan_hours(spark: SparkSession, sf: str) -> DataFrame:
+    lake = _table(spark, sf, "events").select(F.col("event_id").alias("book_id"), F.date_format("ts", "yyyyMMdd").alias("date"), F.date_format("ts", "HH").alias("hour"))
+    return control.scan_hours(lake, "20240101", "05").select("book_id")
+
+
+@query("""WITH m AS (SELECT l_suppkey AS book_id, min(l_orderkey * 10 + l_linenumber) AS ordinal FROM lineitem GROUP BY l_suppkey)
+    SELECT book_id, ordinal FROM m WHERE book_id NOT IN (SELECT doc_id FROM labels) AND book_id NOT IN (SELECT n_nationkey FROM nation)""")
+def next_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    manifest = _table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("book_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"))
+    failed = _table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("book_id"))
+    return control.candidates(manifest, _indexed(_table(spark, sf, "labels")), failed).select("book_id", "ordinal")
+
+
+@query("""WITH w AS (SELECT doc_id AS i FROM documents INTERSECT SELECT event_id FROM events), d AS (SELECT DISTINCT doc_id AS i FROM labels)
+    SELECT i AS book_id, 'kept' AS state FROM w WHERE i IN (SELECT i FROM d) UNION ALL SELECT i, 'added' FROM w WHERE i NOT IN (SELECT i FROM d)
+    UNION ALL SELECT i, 'dropped' FROM d WHERE i NOT IN (SELECT i FROM w) UNION ALL SELECT DISTINCT conv_id, 'indexed' FROM conversations WHERE conv_id IN (SELECT i FROM w)""")
+def reconcile_sets(spark: SparkSession, sf: str) -> DataFrame:
+    return control.reconcile(_docs(spark, sf), _table(spark, sf, "events").select(F.col("event_id").alias("book_id")), _indexed(_table(spark, sf, "labels")),
+                             _table(spark, sf, "conversations").select(F.col("conv_id").alias("book_id")))
+
+
+@query("""SELECT doc_id AS book_id, CASE lang WHEN 'de' THEN 'MISSING' WHEN 'fr' THEN 'INSTANT' ELSE 'PATHS' END AS error FROM documents WHERE lang IN ('de', 'fr', 'es')""")
+def receipt_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Receipts are spoiled by language; each fault is named."""
+    i, lang = F.col("doc_id"), F.col("lang")
+    lake = _table(spark, sf, "documents").select(i.alias("book_id"), lang, paths.hash_path(i, "header").alias("header_path"), paths.hash_path(i).alias("body_path"))
+    receipts = lake.where(lang != "de").withColumn("ingested_at", F.when(lang == "fr", "2026-01-01T00:00:00.5Z").otherwise("2026-01-01T00:00:00Z")).withColumn(
+        "body_path", F.when(lang == "es", "elsewhere").otherwise(F.col("body_path"))).drop("lang")
+    return control.receipt_errors(receipts, lake)
+
+
+# --- incremental index
+
+
+def _halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Labelled and unlabelled documents, as two batches of one corpus."""
+    docs, known = _docs(spark, sf), _indexed(_table(spark, sf, "labels"))
+    return docs.join(known, "book_id", "left_semi"), docs.join(known, "book_id", "left_anti")
+
+
+@query(f"{_K} SELECT term, doc_id AS book_id, count(*)::INT AS tf FROM k GROUP BY ALL")
+def index_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches give what one build gives."""
+    first, second = _halves(spark, sf)
+    return index.upsert_postings(index.build_postings(first), index.build_postings(second)).select("term", "book_id", "tf")
+
+
+@query(f"{_K} SELECT term, doc_id AS book_id, count(*)::INT AS tf FROM k GROUP BY ALL")
+def reindex_idempotent(spark: SparkSession, sf: str) -> DataFrame:
+    """Indexing a batch again changes nothing."""
+    first, _ = _halves(spark, sf)
+    return index.upsert_postings(index.build_postings(_docs(spark, sf)), index.build_postings(first)).select("term", "book_id", "tf")
+
+
+@query(f"""{_K}, v AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{Nd}}]+')[1] AS term FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
+    SELECT term, doc_id AS book_id, count(*)::INT AS tf FROM k WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY ALL
+    UNION ALL SELECT term, doc_id, 1 FROM v WHERE length(term) BETWEEN 2 AND 40 AND NOT regexp_full_match(term, '\\p{{Nd}}+') AND term NOT IN ({_STOP})""")
+def upsert_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled documents are indexed anew with their first word as text; their old postings go."""
+    first, _ = _halves(spark, sf)
+    short = first.select("book_id", F.regexp_extract("body", "[\\p{L}\\p{Nd}]+", 0).alias("body"))
+    return index.upsert_postings(index.build_postings(_docs(spark, sf)), index.build_postings(short), short).select("term", "book_id", "tf")
+
+
+@query(f"{_K} SELECT term, count(DISTINCT doc_id)::BIGINT AS df FROM k GROUP BY term")
+def df_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    first, second = _halves(spark, sf)
+    old, new = index.build_postings(first).select("term", "book_id"), index.build_postings(second).select("term", "book_id")
+    return index.refresh_frequencies(index.document_frequency(old), old, new, index.upsert_postings(old, new))
+
+
+@query(f"{_B} SELECT book_id, CASE WHEN book_id IN (SELECT doc_id FROM labels) THEN reverse(title) ELSE title END AS title FROM b")
+def metadata_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    full = _books(spark, sf).select("book_id", "title", "author", "language", F.lit(None).cast("string").alias("release_date"), F.lit("h").alias("header_path"), "body_path",
+                                    F.lit(0).cast("long").alias("body_bytes"), F.lit("s").alias("sha256"), F.lit("i").alias("ingested_at"))
+    new = full.join(_indexed(_table(spark, sf, "labels")), "book_id", "left_semi").withColumn("title", F.reverse("title"))
+    return metadata.upsert(full, metadata.changed(full, new)).select("book_id", "title")
+
+
+# --- analytics
+
+
+@query("""SELECT event_type, count(value)::BIGINT AS n, min(value) AS least, max(value) AS most, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median,
+    round(quantile_cont(value, 0.75), 6) AS q3, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type""")
+def bench_summary(spark: SparkSession, sf: str) -> DataFrame:
+    out = analytics.summary(_table(spark, sf, "events"), ["event_type"], "value")
+    return out.select("event_type", "n", "least", "most", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3", "iqr", "p95")])
+
+
+@query("""SELECT p_partkey, p_size::DOUBLE AS seconds, p_retailprice AS memory FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_size <= a.p_size AND b.p_retailprice <= a.p_retailprice
+    AND (b.p_size < a.p_size OR b.p_retailprice < a.p_retailprice))""")
+def pareto(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("seconds"), F.col("p_retailprice").alias("memory"))
+    return analytics.pareto(rows, "seconds", "memory")
+
+
+@query("SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey")
+def keep_last(spark: SparkSession, sf: str) -> DataFrame:
+    return analytics.keep_last(_table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_orderkey")
+
+
+@query("SELECT c_nationkey, string_agg(DISTINCT c_mktsegment, '/' ORDER BY c_mktsegment) AS flags FROM customer GROUP BY c_nationkey")
+def cache_flags(spark: SparkSession, sf: str) -> DataFrame:
+    return analytics.flags(_table(spark, sf, "customer"), ["c_nationkey"], "c_mktsegment")
+
+
+@query("SELECT o_orderpriority AS query, count(DISTINCT o_orderstatus)::BIGINT AS outputs, count(*)::BIGINT AS engines FROM orders GROUP BY o_orderpriority")
+def answers_agree(spark: SparkSession, sf: str) -> DataFrame:
+    return analytics.answers_agree(_table(spark, sf, "orders").select(F.col("o_orderpriority").alias("query"), F.col("o_orderstatus").alias("output")))
+
+
+@query("SELECT s_suppkey AS id, s_name AS name, NULL::DOUBLE AS price FROM supplier UNION ALL SELECT p_partkey, NULL, p_retailprice FROM part")
+def aligned_union(spark: SparkSession, sf: str) -> DataFrame:
+    s = _table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return analytics.align([s, _table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"))])
+
+
+@query("""SELECT doc_id AS book_id, 0::BIGINT AS n_start, 0::BIGINT AS n_end, strlen(text)::BIGINT AS n_bytes, length(text)::BIGINT AS n_chars,
+    strlen(regexp_replace(text, '[\\x00-\\x7F]+', '', 'g'))::BIGINT AS non_ascii, length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]+', '', 'g'))::BIGINT AS astral,
+    (length(text) - length(replace(text, chr(65533), '')))::BIGINT AS replacement, (length(text) - length(translate(text, '''’', '')))::BIGINT AS apostrophes FROM documents""")
+def corpus_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return analytics.profile(_docs(spark, sf))
+
+
+@query(f"""SELECT doc_id AS book_id, CASE WHEN lang <> 'en' THEN 'LANG_' || (CASE lang WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' WHEN 'es' THEN 'Spanish' ELSE upper(lang[1:1]) || lang[2:] END)
+    WHEN length(text) + {2 + 2 + len(" footer ***")} < 10000 THEN 'TOO_SHORT' END AS reason FROM documents""")
+def admission(spark: SparkSession, sf: str) -> DataFrame:
+    return _raw(spark, sf).select("book_id", split.admission(F.col("raw")).alias("reason"))
+
+
+@query("""WITH r AS (SELECT doc_id AS book_id, lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS turn FROM documents)
+    SELECT book_id, lang, n_chars FROM r ORDER BY turn, lang LIMIT 20""")
+def round_robin_pick(spark: SparkSession, sf: str) -> DataFrame:
+    d = _table(spark, sf, "documents").select(F.col("doc_id").alias("book_id"), "lang", "n_chars")
+    return analytics.round_robin(d, "lang", "n_chars", 20)
+
+
+@query("SELECT p_partkey, 1000.0::DOUBLE / p_retailprice AS per_second FROM part")
+def throughput(spark: SparkSession, sf: str) -> DataFrame:
+    return analytics.throughput(_table(spark, sf, "part").select("p_partkey", "p_retailprice"), "p_retailprice").select("p_partkey", "per_second")
+
+
+@query("SELECT doc_id AS inside, 100::BIGINT AS small FROM documents WHERE false")
+def nested_tiers(spark: SparkSession, sf: str) -> DataFrame:
+    """The smaller tier less the larger one: nothing is left."""
+    docs = _docs(spark, sf)
+    left = analytics.tier(docs, 100).join(analytics.tier(docs, 200), "book_id", "left_anti")
+    return left.select(F.col("book_id").alias("inside"), F.lit(100).cast("long").alias("small"))
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return query_and2(spark, sf)
