@@ -13,7 +13,7 @@ most (a + b) / 9 from the diagonal, so only that band is searched, without loss.
 Documents of equal words are one row first. Within a bucket, candidates are not expanded into
 pairs: a bucket's members are compared with its least document, what is linked is joined,
 and then only documents outside the bucket's main component lead further rounds, about
-``LEADERS`` at a time, until the bucket lies in one component or all have led. So a group of n copies costs about n
+``LEADERS`` at a time and each in one, two, four ... of its buckets, until the bucket lies in one component or all have led. So a group of n copies costs about n
 comparisons, and every candidate pair is either compared, or already linked, or cannot reach 0.8:
 between rounds, the shingles that only one of the remaining documents has are counted, and
 bound what it can share with any partner of its bucket. Sizes and least documents are partial aggregates, returned by an
@@ -38,6 +38,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.llm import scratch
@@ -255,26 +256,36 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
     # free: the shingles of a document that a partner may have.
     active, active_path = scratch.table(rows.join(met, "band").distinct().withColumn("free", F.col("n")), "buckets")
     roots = spark.createDataFrame([], "id long, component long")
-    tried: list[str] = []
+    every, _ = scratch.table(active.groupBy("doc").agg(F.collect_list("band").alias("every")), "bands-of")  # at most BANDS each
     need = least / (1 + least)
     fits = f"c <> lc AND doc <> leader AND least(n, ln) >= greatest(n, ln) * {least - 1e-9} AND least(free, lfree) >= {need} * (n + ln) - 1e-6"
-    first = True
+    once = (" AND get(array_intersect(led, every), 0) = band AND size(array_except(array_intersect(every, levery), now)) = 0"
+            " AND size(array_except(array_intersect(every, levery), lnow)) = 0")
+    turn = 0
     while not active.isEmpty():
         named = active.join(roots.withColumnRenamed("id", "doc"), "doc", "left").select("band", "doc", "n", "free", F.coalesce("component", "doc").alias("c"))
         sizes = named.groupBy("band", "c").agg(F.count("*").alias("k"), F.min("doc").alias("low")).groupBy("band").agg(
             F.max(F.struct("k", (-F.col("c")).alias("neg"))).alias("top"), F.sum("k").alias("size"), F.min("low").alias("low"))
-        sizes = sizes.select("band", (-F.col("top.neg")).alias("main"), (F.col("size") - F.col("top.k")).alias("others"), "low")
-        # First the least document of each bucket leads; then documents outside its main component do, some at a time.
-        lead = F.col("doc") == F.col("low") if first else (F.col("c") != F.col("main")) & (F.pmod(F.xxhash64("doc"), F.ceil(F.col("others") / LEADERS)) == 0)
-        leaders = named.join(sizes, "band").where(lead | (F.col("doc") == F.when(F.col("others") > LEADERS, F.col("low")))).select(
-            "band", F.col("doc").alias("leader"), F.col("n").alias("ln"), F.col("free").alias("lfree"), F.col("c").alias("lc"))
+        sizes = sizes.select("band", (-F.col("top.neg")).alias("main"), (F.col("size") - F.col("top.k")).alias("others"), "low", "size")
+        # First the least document of each bucket leads; then documents outside its main component do, some at
+        # a time, and each in a few of its smallest buckets only: once it is linked, the others need no more.
+        lead = F.col("doc") == F.col("low") if turn == 0 else (F.col("c") != F.col("main")) & (F.pmod(F.xxhash64("doc"), F.ceil(F.col("others") / LEADERS)) == 0)
+        leaders = named.join(sizes, "band").where(lead | (F.col("doc") == F.when(F.col("others") > LEADERS, F.col("low"))))
+        if turn:
+            leaders = leaders.withColumn("at", F.row_number().over(W.partitionBy("doc").orderBy("size", "band"))).where(F.col("at") <= 2 ** (turn - 1))
+        leaders = leaders.select("band", F.col("doc").alias("leader"), F.col("n").alias("ln"), F.col("free").alias("lfree"), F.col("c").alias("lc"))
         leaders, leaders_path = scratch.table(leaders, "leaders")
-        pairs = named.join(leaders, "band").where(fits).select("doc", "leader")
+        members = named
+        if turn:
+            # Each pair once: in the first bucket that its leader leads in now, and only while both are in all
+            # buckets that they share. One that has left a shared bucket has met the other there, or need not.
+            lists = active.groupBy("doc").agg(F.collect_list("band").alias("now")).join(every, "doc")
+            members = named.join(lists, "doc")
+            led = leaders.groupBy("leader").agg(F.sort_array(F.collect_list("band")).alias("led"))
+            leaders = leaders.join(led, "leader").join(lists.withColumnsRenamed({"doc": "leader", "now": "lnow", "every": "levery"}), "leader")
+        pairs = members.join(leaders, "band").where(fits + (once if turn else "")).select("doc", "leader")
         pairs = pairs.select(F.greatest("doc", "leader").alias("doc"), F.least("doc", "leader").alias("leader")).distinct()
-        if tried:
-            pairs = pairs.join(spark.read.schema("doc long, leader long").parquet(*tried), ["doc", "leader"], "left_anti")
-        pairs, path = scratch.table(pairs, "pairs")
-        tried.append(path)
+        pairs, pairs_path = scratch.table(pairs, "pairs")
         found, found_path = scratch.table(_verify(pairs, docs, least), "found")
         if not found.isEmpty():
             links = found.select(F.col("doc").alias("u"), F.col("leader").alias("v"))
@@ -282,7 +293,7 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
         # A leader has met all others. A bucket goes on while it spans several components.
         rest = active.join(leaders.select("band", F.col("leader").alias("doc")), ["band", "doc"], "left_anti")
         rest, rest_path = scratch.table(_open(rest, roots), "buckets")
-        scratch.drop(spark, active_path, found_path, leaders_path)
+        scratch.drop(spark, active_path, found_path, leaders_path, pairs_path)
         active_path = rest_path
         if not rest.isEmpty():
             # A document goes on while its shared shingles are enough for a partner of its bucket.
@@ -292,7 +303,7 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
             able = free.join(shortest, "band").where(f"free >= {need} * (n + greatest(low, {least} * n)) - 1e-6").select("band", "doc", "n", "free")
             rest, active_path = scratch.table(_open(able, roots), "buckets")
             scratch.drop(spark, rest_path)
-        active, first = rest, False
+        active, turn = rest, turn + 1
     classes = reps.join(roots, reps["rep"] == roots["id"], "left").select("key", F.coalesce("component", "rep").alias("class_id"))
     out = all_docs.where("doc_id IS NOT NULL").select("doc_id", "key").join(classes, "key").select("doc_id", "class_id")
     alone = all_docs.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"))
