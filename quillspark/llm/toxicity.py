@@ -242,7 +242,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     @F.pandas_udf("struct<score:double,evidence:array<bigint>,terms:array<string>>")
     def judged(texts: pd.Series) -> pd.DataFrame:
         found = [model.judge(t) for t in texts]
-        return pd.DataFrame({"score": [f[0] for f in found], "evidence": [f[1] for f in found], "terms": [f[2] for f in found]})
+        lists = {k: pd.Series([f[i] for f in found], dtype=object) for k, i in (("evidence", 1), ("terms", 2))}  # also for no rows
+        return pd.DataFrame({"score": pd.Series([f[0] for f in found], dtype=float), **lists})
 
     kept = [f"`{c}`" for c in docs.columns if c not in ("score", "predicted", "evidence", "evidence_terms")]
     out = docs.select(*kept, judged(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("__j"))
