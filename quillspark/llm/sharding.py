@@ -28,7 +28,7 @@ ROUNDS, LEVELS = 6, 512
 
 
 def _buckets(rows: int) -> int:
-    return min(4096, max(16, rows // 20_000))
+    return min(4096, max(64, rows // 2_000))
 
 
 def _ranked(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
