@@ -32,6 +32,12 @@ def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def corpus_frequency(books: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """(term, df) straight from (book_id, body): distinct within the row, then one shuffle of partial counts."""
+    terms = F.array_distinct(F.filter(text.tokens_of(F.col("body")), lambda t: text.kept(t, stop_words)))
+    return books.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def posting_text(positions: bool = True) -> Column:
     """``[id,tf,[p,...]]`` or ``[id,tf]``."""
     tail = [F.lit(",["), F.array_join("positions", ","), F.lit("]")] if positions else []

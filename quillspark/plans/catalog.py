@@ -79,8 +79,7 @@ def index_postings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{_K} SELECT term, count(DISTINCT doc_id)::BIGINT AS df FROM k GROUP BY term")
 def index_df(spark: SparkSession, sf: str) -> DataFrame:
-    rows = text.tokens(_docs(spark, sf)).select("term", "book_id").distinct()
-    return index.document_frequency(rows)
+    return index.corpus_frequency(_docs(spark, sf))
 
 
 _ENTRY = """, p AS (SELECT term, doc_id, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS ps FROM k GROUP BY ALL)
@@ -145,37 +144,37 @@ def _postings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_and("erre"))
 def query_single(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(_postings(spark, sf), "Erre")
+    return search.search_books(_docs(spark, sf), "Erre")
 
 
 @query(_and("erre", "shed"))
 def query_and2(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(_postings(spark, sf), "the erre SHED erre")
+    return search.search_books(_docs(spark, sf), "the erre SHED erre")
 
 
 @query(_and("erre", "shed", "tion"))
 def query_and3(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(_postings(spark, sf), "erre shed tion")
+    return search.search_books(_docs(spark, sf), "erre shed tion")
 
 
 @query(f"{_K} SELECT DISTINCT doc_id AS book_id FROM k WHERE term IN ('erre', 'mente', 'nosuchterm') ORDER BY book_id")
 def query_or(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(_postings(spark, sf), "erre mente nosuchterm", "or")
+    return search.search_books(_docs(spark, sf), "erre mente nosuchterm", "or")
 
 
 @query(_and("erre", "nosuchterm"))
 def query_absent(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(_postings(spark, sf), "erre nosuchterm")
+    return search.search_books(_docs(spark, sf), "erre nosuchterm")
 
 
 @query("SELECT doc_id AS book_id FROM documents WHERE false")
 def query_stopwords_only(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(_postings(spark, sf), "the of AND 12 x")
+    return search.search_books(_docs(spark, sf), "the of AND 12 x")
 
 
 @query(_and("erre") + " LIMIT 10")
 def query_limit(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(_postings(spark, sf), "erre", limit=10)
+    return search.search_books(_docs(spark, sf), "erre", limit=10)
 
 
 #: A table of queries: (query_id, terms).

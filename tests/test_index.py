@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import control, export, metadata, search
-from quillspark.operators.index import Index, build_postings, document_frequency, upsert_postings
+from quillspark.operators.index import Index, build_postings, corpus_frequency, document_frequency, upsert_postings
 from quillspark.schemas import BOOKS
 
 BODIES = {11: "whale ship whale", 22: "ship sea", 33: "whale sea café"}
@@ -31,6 +31,7 @@ def ids(df):
 ])
 def test_search(spark, q, mode, limit, want):
     assert ids(search.search(build_postings(books(spark)), q, mode, limit)) == want
+    assert ids(search.search_books(books(spark), q, mode, limit)) == want
 
 
 def test_search_refuses(spark):
@@ -81,6 +82,7 @@ def test_workload_and_df(spark):
     q = spark.createDataFrame([(1, ["whale", "ship"]), (2, ["sea", "sea"]), (3, [])], "query_id int, terms array<string>")
     assert sorted(tuple(r) for r in search.workload(p, q).collect()) == [(1, 11), (2, 22), (2, 33)]
     assert {r["term"]: r["df"] for r in document_frequency(p).collect()} == {"whale": 2, "ship": 2, "sea": 2, "cafe": 1}
+    assert sorted(map(tuple, corpus_frequency(books(spark)).collect())) == sorted(map(tuple, document_frequency(p).collect()))
     assert rows(upsert_postings(p, build_postings(books(spark, {11: "sea"})), books(spark, {11: ""}))) == rows(build_postings(books(spark, {**BODIES, 11: "sea"})))
 
 
