@@ -34,6 +34,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -47,7 +48,7 @@ from quillspark.llm.components import components
 SHINGLE, BANDS, ROWS, KEPT = 5, 28, 2, 3
 #: So many documents of a bucket, about, lead in a round.
 LEADERS = 64
-WORD_CACHE = 500_000
+WORD_CACHE = 150_000
 
 _words = re.compile(r"[^\W_]+").findall
 _rng = np.random.default_rng(20_240_229)
@@ -58,8 +59,10 @@ _PLACE = _rng.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint
 
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) >= WORD_CACHE:
+        if len(self) >= WORD_CACHE:  # the words met first are the frequent ones
+            kept = list(islice(self.items(), WORD_CACHE // 2))
             self.clear()
+            self.update(kept)
         value = self[word] = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         return value
 
@@ -247,7 +250,8 @@ def _open(active: DataFrame, roots: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, class_id (least doc_id of its class) and kept, for every row."""
     spark = docs.sparkSession
-    all_docs, _ = scratch.table(sketch(docs), "sketches")
+    with scratch.batches(spark, 1000):
+        all_docs, _ = scratch.table(sketch(docs), "sketches")
     reps = all_docs.where("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"))
     reps, _ = scratch.table(reps, "reps")
     chosen = all_docs.where("bands IS NOT NULL").join(reps, (all_docs["key"] == reps["key"]) & (all_docs["doc_id"] == reps["rep"]), "left_semi")
@@ -286,7 +290,8 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
         pairs = members.join(leaders, "band").where(fits + (once if turn else "")).select("doc", "leader")
         pairs = pairs.select(F.greatest("doc", "leader").alias("doc"), F.least("doc", "leader").alias("leader")).distinct()
         pairs, pairs_path = scratch.table(pairs, "pairs")
-        found, found_path = scratch.table(_verify(pairs, docs, least), "found")
+        with scratch.batches(spark, 1000):
+            found, found_path = scratch.table(_verify(pairs, docs, least), "found")
         if not found.isEmpty():
             links = found.select(F.col("doc").alias("u"), F.col("leader").alias("v"))
             roots = components(links.unionByName(roots.select(F.col("id").alias("u"), F.col("component").alias("v"))))
@@ -301,7 +306,8 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
             free = rest.join(lone, "doc", "left").select("band", "doc", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("free"))
             shortest = free.groupBy("band").agg(F.min("n").alias("low"))
             able = free.join(shortest, "band").where(f"free >= {need} * (n + greatest(low, {least} * n)) - 1e-6").select("band", "doc", "n", "free")
-            rest, active_path = scratch.table(_open(able, roots), "buckets")
+            with scratch.batches(spark, 1000):
+                rest, active_path = scratch.table(_open(able, roots), "buckets")
             scratch.drop(spark, rest_path)
         active, turn = rest, turn + 1
     classes = reps.join(roots, reps["rep"] == roots["id"], "left").select("key", F.coalesce("component", "rep").alias("class_id"))

@@ -7,8 +7,10 @@ when the session names no folder (as in tests) is a temporary one made and set.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,18 @@ def table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextlib.contextmanager
+def batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Smaller Arrow batches for what is written meanwhile: whole texts are held a batch at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables that nothing will read any more."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path

@@ -28,6 +28,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ from quillspark.llm import scratch
 SAMPLE, TERMS, NEIGHBOURS, BLOCK = 8_000, 4_000, 15, 64
 #: A term is telling if its log odds between the classes exceed this.
 TELLING = 3.0
-WORD_CACHE = 300_000
+WORD_CACHE, KNOWN = 150_000, 10_000
 BEGINNINGS = (4, 5, 6, 7, 8)
 
 _words = re.compile(r"[^\W_]+").findall
@@ -58,8 +59,10 @@ class _Lookup(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= WORD_CACHE:
+        if len(self) >= WORD_CACHE:  # the words met first are the frequent ones
+            kept = list(islice(self.items(), WORD_CACHE // 2))
             self.clear()
+            self.update(kept)
         ids = self[word] = tuple(i for t in terms_of(word) if (i := self.vocabulary.get(t)) is not None)
         return ids
 
@@ -153,7 +156,7 @@ class Model:
             v, near = self.vote(terms)
             a, b = self.curve
             found = 1 / (1 + math.exp(-max(-50.0, min(50.0, a * v + b)))), [int(self.index.ids[e]) for _, e in near[:5]]
-            if len(self.known) < 50_000:
+            if len(self.known) < KNOWN:
                 self.known[terms] = found
         return *found, met
 
