@@ -23,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
     """From edges (u, v) of longs: one row (id, component) for each node that is not the least of its component."""
     spark = edges.sparkSession
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    e, path = scratch.table(e, "edges")
+    e, path = scratch.table(e, "edges", narrow=True)
     mark = _mark(e)
     while mark[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), "m").where("u <> m").unionByName(least)
-        e, new = scratch.table(small.select("u", F.col("m").alias("v")).distinct(), "edges")
+        e, new = scratch.table(small.select("u", F.col("m").alias("v")).distinct(), "edges", narrow=True)
         scratch.drop(spark, path)
         path, before, mark = new, mark, _mark(e)
         if mark == before:

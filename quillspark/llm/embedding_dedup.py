@@ -126,7 +126,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
         return pd.DataFrame({"vec_id": ids[linked], "links": links[linked], "least": [ids[find(v)] for v in linked.tolist()]})
 
     found = pairs.groupBy("label", "cell", "i", "j").applyInPandas(compare, "vec_id long, links long, least long")
-    found, _ = scratch.table(found, "links")
+    found, _ = scratch.table(found, "links", narrow=True)
     roots = components(found.where("vec_id <> least").select(F.col("vec_id").alias("u"), F.col("least").alias("v")))
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     classes = groups.join(counts, "vec_id", "left").join(roots.withColumnRenamed("id", "vec_id"), "vec_id", "left").select(

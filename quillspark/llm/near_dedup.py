@@ -253,14 +253,14 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
     with scratch.batches(spark, 1000):
         all_docs, _ = scratch.table(sketch(docs), "sketches")
     reps = all_docs.where("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    reps, _ = scratch.table(reps, "reps")
+    reps, _ = scratch.table(reps, "reps", narrow=True)
     chosen = all_docs.where("bands IS NOT NULL").join(reps, (all_docs["key"] == reps["key"]) & (all_docs["doc_id"] == reps["rep"]), "left_semi")
     rows = chosen.select(F.col("doc_id").alias("doc"), "n", F.explode("bands").alias("band"))
     met = rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
     # free: the shingles of a document that a partner may have.
-    active, active_path = scratch.table(rows.join(met, "band").distinct().withColumn("free", F.col("n")), "buckets")
+    active, active_path = scratch.table(rows.join(met, "band").distinct().withColumn("free", F.col("n")), "buckets", narrow=True)
     roots = spark.createDataFrame([], "id long, component long")
-    every, _ = scratch.table(active.groupBy("doc").agg(F.collect_list("band").alias("every")), "bands-of")  # at most BANDS each
+    every, _ = scratch.table(active.groupBy("doc").agg(F.collect_list("band").alias("every")), "bands-of", narrow=True)  # at most BANDS each
     need = least / (1 + least)
     fits = f"c <> lc AND doc <> leader AND least(n, ln) >= greatest(n, ln) * {least - 1e-9} AND least(free, lfree) >= {need} * (n + ln) - 1e-6"
     once = (" AND get(array_intersect(led, every), 0) = band AND size(array_except(array_intersect(every, levery), now)) = 0"
@@ -278,7 +278,7 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
         if turn:
             leaders = leaders.withColumn("at", F.row_number().over(W.partitionBy("doc").orderBy("size", "band"))).where(F.col("at") <= 2 ** (turn - 1))
         leaders = leaders.select("band", F.col("doc").alias("leader"), F.col("n").alias("ln"), F.col("free").alias("lfree"), F.col("c").alias("lc"))
-        leaders, leaders_path = scratch.table(leaders, "leaders")
+        leaders, leaders_path = scratch.table(leaders, "leaders", narrow=True)
         members = named
         if turn:
             # Each pair once: in the first bucket that its leader leads in now, and only while both are in all
@@ -289,15 +289,15 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
             leaders = leaders.join(led, "leader").join(lists.withColumnsRenamed({"doc": "leader", "now": "lnow", "every": "levery"}), "leader")
         pairs = members.join(leaders, "band").where(fits + (once if turn else "")).select("doc", "leader")
         pairs = pairs.select(F.greatest("doc", "leader").alias("doc"), F.least("doc", "leader").alias("leader")).distinct()
-        pairs, pairs_path = scratch.table(pairs, "pairs")
+        pairs, pairs_path = scratch.table(pairs, "pairs", narrow=True)
         with scratch.batches(spark, 1000):
-            found, found_path = scratch.table(_verify(pairs, docs, least), "found")
+            found, found_path = scratch.table(_verify(pairs, docs, least), "found", narrow=True)
         if not found.isEmpty():
             links = found.select(F.col("doc").alias("u"), F.col("leader").alias("v"))
             roots = components(links.unionByName(roots.select(F.col("id").alias("u"), F.col("component").alias("v"))))
         # A leader has met all others. A bucket goes on while it spans several components.
         rest = active.join(leaders.select("band", F.col("leader").alias("doc")), ["band", "doc"], "left_anti")
-        rest, rest_path = scratch.table(_open(rest, roots), "buckets")
+        rest, rest_path = scratch.table(_open(rest, roots), "buckets", narrow=True)
         scratch.drop(spark, active_path, found_path, leaders_path, pairs_path)
         active_path = rest_path
         if not rest.isEmpty():
@@ -307,7 +307,7 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
             shortest = free.groupBy("band").agg(F.min("n").alias("low"))
             able = free.join(shortest, "band").where(f"free >= {need} * (n + greatest(low, {least} * n)) - 1e-6").select("band", "doc", "n", "free")
             with scratch.batches(spark, 1000):
-                rest, active_path = scratch.table(_open(able, roots), "buckets")
+                rest, active_path = scratch.table(_open(able, roots), "buckets", narrow=True)
             scratch.drop(spark, rest_path)
         active, turn = rest, turn + 1
     classes = reps.join(roots, reps["rep"] == roots["id"], "left").select("key", F.coalesce("component", "rep").alias("class_id"))

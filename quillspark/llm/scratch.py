@@ -17,16 +17,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 def root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a fresh temporary one if unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("quillspark.scratch.dir", None)
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or spark.conf.get("quillspark.scratch.dir", None)
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("quillspark.scratch.dir", named)
     return named
 
 
-def table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to a new scratch table; the table read back, and its path."""
+def table(df: DataFrame, name: str, narrow: bool = False) -> tuple[DataFrame, str]:
+    """Write ``df`` to a new scratch table; the table read back, and its path.
+
+    ``narrow`` is for tables of a few numbers a row: at most two files for each core, however many
+    shuffle partitions there are, since every file costs the store several calls.
+    """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     path = f"{root(spark)}/quill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path

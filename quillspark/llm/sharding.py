@@ -65,7 +65,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, hub: Column | None = None)
         "doc_id", "size", "crc", "hub", F.col("n").isNotNull().alias("linked"),
         F.when(F.col("n") > chunk, F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.ceil(F.col("n") / chunk))).otherwise(0).cast("int").alias("chunk"),
         F.pmod(F.xxhash64(F.lit(1), "doc_id", "hub"), F.lit(shards)).cast("int").alias("shard"))
-    state, path = scratch.table(state, "shard-state")
+    state, path = scratch.table(state, "shard-state", narrow=True)
     scratch.drop(spark, base_path)
     full: set[int] = set()
     for _ in range(ROUNDS):
@@ -97,7 +97,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, hub: Column | None = None)
         granted = F.broadcast(spark.createDataFrame(grants, "to int, level int"))
         moves = wish.join(granted, ["to", "level"]).select("hub", "chunk", "to")
         moved = state.join(moves, ["hub", "chunk"], "left").withColumn("shard", F.coalesce("to", "shard")).select(*state.columns)
-        state, new = scratch.table(moved, "shard-state")
+        state, new = scratch.table(moved, "shard-state", narrow=True)
         scratch.drop(spark, path)
         path = new
     # Linked documents keep their shard up to its count; the others fill what is left.
@@ -105,7 +105,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, hub: Column | None = None)
     ranked = _ranked(order, ["shard"], buckets)
     limits = F.element_at(F.array(*[F.lit(n).cast("long") for n in target]), F.col("shard") + 1)
     placed, placed_path = scratch.table(ranked.withColumn("stays", F.col("rank") < limits).drop("rank").unionByName(
-        state.where("NOT linked").withColumn("stays", F.lit(False))), "shard-placed")
+        state.where("NOT linked").withColumn("stays", F.lit(False))), "shard-placed", narrow=True)
     scratch.drop(spark, path)
     held = {r["shard"]: r["n"] for r in placed.where("stays").groupBy("shard").agg(F.count("*").alias("n")).collect()}
     edges, total = [], 0
@@ -115,7 +115,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, hub: Column | None = None)
     fill = _ranked(placed.where("NOT stays"), [], buckets)
     to = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in edges]), lambda e: e <= F.col("rank")))
     done = placed.where("stays").drop("stays").unionByName(fill.withColumn("shard", to.cast("int")).drop("rank", "stays"))
-    done, _ = scratch.table(done.select("doc_id", "size", "crc", "hub", "shard"), "shard-done")
+    done, _ = scratch.table(done.select("doc_id", "size", "crc", "hub", "shard"), "shard-done", narrow=True)
     return _ranked(done, ["shard"], buckets).select(
         "doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard",
         F.col("rank").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
