@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm import caches
+
 CACHE_LIMIT, WORDS, TOKENS = 500_000, 20_000, 1_000_000
 
 CONTRACT = """
@@ -135,10 +137,18 @@ class RankBPE:
         return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def _codec(path: str, pattern: str) -> RankBPE:
+    return RankBPE(path, pattern)
+
+
 def codec(path: str, pattern: str) -> RankBPE:
     """One database and one cache for each worker process."""
-    return RankBPE(path, pattern)
+    caches.claim("bpe")
+    return _codec(path, pattern)
+
+
+caches.register("bpe", _codec.cache_clear)
 
 
 def _texts(docs: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm import scratch
+from quillspark.llm import caches, scratch
 from quillspark.llm.components import components
 
 SHINGLE, BANDS, ROWS, KEPT = 5, 28, 2, 3
@@ -68,6 +68,7 @@ class _WordHashes(dict):
 
 
 _hashes = _WordHashes()
+caches.register("near_dedup", _hashes.clear)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -199,6 +200,7 @@ def _shingles_of(text: str) -> np.ndarray:
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, key (equal for equal words), n (shingles), bands."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        caches.claim("near_dedup")
         for batch in batches:
             keys, sizes, found = [], [], []
             for text in batch["text"].tolist():
@@ -220,6 +222,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
               .join(texts.withColumnsRenamed({"id": "leader", "text": "b"}), "leader"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        caches.claim("near_dedup")
         for batch in batches:
             ok = [similar(shingles(words(a)), _shingles_of(b), least) for a, b in zip(batch["a"].tolist(), batch["b"].tolist())]
             yield batch.loc[ok, ["doc", "leader"]]
@@ -232,6 +235,7 @@ def _unshared(active: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        caches.claim("near_dedup")
         for batch in batches:
             yield pd.DataFrame({"doc": batch["doc"], "s": [labelled(shingles(words(t))).view(np.int64) for t in batch["text"].tolist()]})
 

@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm import caches
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 #: In lower case, one of these is in every text that ASSIGN matches in.
@@ -169,6 +171,7 @@ def dismissal_bin(counts: dict[int, int], level: float = LEVEL) -> int:
 def _bins():
     @F.pandas_udf("array<int>")
     def bins(text: pd.Series) -> pd.Series:
+        caches.claim("secret_scan")
         return pd.Series([[bin_of(p) for p, _, _ in scan_text(t)[1]] for t in text])
 
     return bins
@@ -177,6 +180,7 @@ def _bins():
 def _spans(cut: int):
     @F.pandas_udf("array<struct<kind:string,start:bigint,end:bigint>>")
     def spans(text: pd.Series) -> pd.Series:
+        caches.claim("secret_scan")
         out = []
         for t in text:
             base, candidates = scan_text(t)

@@ -16,6 +16,8 @@ from itertools import islice
 
 import numpy as np
 
+from quillspark.llm import caches
+
 #: The code points with the Unicode property White_Space.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Latin letters that stay one letter in lower case and under normalisation.
@@ -73,8 +75,16 @@ class ChunkEncoder(dict):
         return chunks, list(map(self.__getitem__, chunks))
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str, chunks: str) -> ChunkEncoder:
-    """One encoder, and so one cache, for each worker process and file."""
+@lru_cache(maxsize=1)
+def _encoder(path: str, chunks: str) -> ChunkEncoder:
     return ChunkEncoder(path, chunks)
 
+
+def encoder(path: str, chunks: str) -> ChunkEncoder:
+    """One encoder, and so one cache, for each worker process."""
+    caches.claim("tokens")
+    return _encoder(path, chunks)
+
+
+caches.register("tokens", _encoder.cache_clear)
+

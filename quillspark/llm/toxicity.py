@@ -35,12 +35,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm import scratch
+from quillspark.llm import caches, scratch
 
 SAMPLE, TERMS, NEIGHBOURS, BLOCK = 8_000, 4_000, 15, 64
 #: A term is telling if its log odds between the classes exceed this.
 TELLING = 3.0
-WORD_CACHE, KNOWN = 150_000, 10_000
+WORD_CACHE, KNOWN, FLUSH = 150_000, 10_000, 200_000
 BEGINNINGS = (4, 5, 6, 7, 8)
 
 _words = re.compile(r"[^\W_]+").findall
@@ -194,12 +194,17 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
         return Model({}, Index(np.zeros(0), np.zeros(0, int), np.zeros(0), []), pos / (pos + neg) if pos + neg else 0.5, None)
 
     def presence(batches):
+        caches.claim("toxicity")
+        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in batches:
-            seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
             for text, toxic in zip(batch["text"], batch["toxic"]):
-                seen[int(toxic == 1)].update({t for w in set(_words(text.lower())) for t in terms_of(w)})
-            for toxic, count in seen.items():
-                yield pd.DataFrame({"term": list(count), "toxic": toxic, "n": list(count.values())})
+                count = seen[int(toxic == 1)]
+                count.update({t for w in set(_words(text.lower())) for t in terms_of(w)})
+                if len(count) >= FLUSH:
+                    yield pd.DataFrame({"term": list(count), "toxic": int(toxic == 1), "n": list(count.values())})
+                    count.clear()
+        for toxic, count in seen.items():
+            yield pd.DataFrame({"term": list(count), "toxic": toxic, "n": list(count.values())}).astype({"term": "object", "n": "int64"})
 
     counted = sample.select("toxic", "text").distinct().mapInPandas(presence, "term string, toxic int, n long")
     counted = counted.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("q"))
@@ -210,6 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     vocabulary = {t: i for i, t in enumerate(names)}
 
     def frequencies(batches):
+        caches.claim("toxicity")
         lookup = _Lookup(vocabulary)
         for batch in batches:
             df = Counter(t for text in batch["text"] for t, _ in vector(text, lookup)[1])
@@ -244,6 +250,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     """All rows with score, predicted, evidence (nearest examples) and evidence_terms."""
     @F.pandas_udf("struct<score:double,evidence:array<bigint>,terms:array<string>>")
     def judged(texts: pd.Series) -> pd.DataFrame:
+        caches.claim("toxicity")
         found = [model.judge(t) for t in texts]
         lists = {k: pd.Series([f[i] for f in found], dtype=object) for k, i in (("evidence", 1), ("terms", 2))}  # also for no rows
         return pd.DataFrame({"score": pd.Series([f[0] for f in found], dtype=float), **lists})
