@@ -13,8 +13,7 @@ import os
 import re
 from functools import lru_cache
 from itertools import islice
-
-import numpy as np
+from struct import pack
 
 from quillspark.llm import caches
 
@@ -28,7 +27,7 @@ BYTE_CHUNKS = f" ?{_WORD}| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 #: ... a word tokenizer drops it, so ASCII white space alone is enough to cut at.
 WORD_CHUNKS = f"{_WORD}|[^\t-\r ]+"
 
-CACHE_LIMIT = 500_000
+CACHE_LIMIT = 650_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -55,6 +54,7 @@ class ChunkEncoder(dict):
         self.lower = chunks == WORD_CHUNKS
         self.word = re.compile(f" ?[{_LATIN}]+" if not self.lower else f"[{_LATIN}]+").fullmatch
         self.letters = _byte_letters()
+        self.space = self.letters[32]
         self.limit = limit
 
     def __missing__(self, chunk: str) -> bytes:
@@ -64,10 +64,11 @@ class ChunkEncoder(dict):
             self.update(kept)
         if self.word(chunk):  # one word before the merges: the model alone will do
             word = chunk.lower() if self.lower else chunk
-            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+            word = word.replace(" ", self.space) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.model.tokenize(word)]
         else:
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        value = self[chunk] = np.array(ids, dtype="<u4").tobytes()
+        value = self[chunk] = pack(f"<{len(ids)}I", *ids)
         return value
 
     def encode(self, text: str) -> tuple[list[str], list[bytes]]:
