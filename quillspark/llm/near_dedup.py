@@ -13,7 +13,7 @@ most (a + b) / 9 from the diagonal, so only that band is searched, without loss.
 Documents of equal words are one row first. Within a bucket, candidates are not expanded into
 pairs: a bucket's members are compared with its least document, what is linked is joined,
 and then only documents outside the bucket's main component lead further rounds, about
-``LEADERS`` at a time and each in one, two, four ... of its buckets, until the bucket lies in one component or all have led. So a group of n copies costs about n
+``LEADERS`` at a time and each in two, eight, then all of its buckets, until the bucket lies in one component or all have led. So a group of n copies costs about n
 comparisons, and every candidate pair is either compared, or already linked, or cannot reach 0.8:
 between rounds, the shingles that only one of the remaining documents has are counted, and
 bound what it can share with any partner of its bucket. Sizes and least documents are partial aggregates, returned by an
@@ -272,6 +272,7 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
     turn = 0
     while not active.isEmpty():
         named = active.join(roots.withColumnRenamed("id", "doc"), "doc", "left").select("band", "doc", "n", "free", F.coalesce("component", "doc").alias("c"))
+        named, named_path = scratch.table(named, "named", narrow=True)
         sizes = named.groupBy("band", "c").agg(F.count("*").alias("k"), F.min("doc").alias("low")).groupBy("band").agg(
             F.max(F.struct("k", (-F.col("c")).alias("neg"))).alias("top"), F.sum("k").alias("size"), F.min("low").alias("low"))
         sizes = sizes.select("band", (-F.col("top.neg")).alias("main"), (F.col("size") - F.col("top.k")).alias("others"), "low", "size")
@@ -280,18 +281,18 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
         lead = F.col("doc") == F.col("low") if turn == 0 else (F.col("c") != F.col("main")) & (F.pmod(F.xxhash64("doc"), F.ceil(F.col("others") / LEADERS)) == 0)
         leaders = named.join(sizes, "band").where(lead | (F.col("doc") == F.when(F.col("others") > LEADERS, F.col("low"))))
         if turn:
-            leaders = leaders.withColumn("at", F.row_number().over(W.partitionBy("doc").orderBy("size", "band"))).where(F.col("at") <= 2 ** (turn - 1))
+            leaders = leaders.withColumn("at", F.row_number().over(W.partitionBy("doc").orderBy("size", "band"))).where(F.col("at") <= 2 ** (2 * turn - 1))
         leaders = leaders.select("band", F.col("doc").alias("leader"), F.col("n").alias("ln"), F.col("free").alias("lfree"), F.col("c").alias("lc"))
         leaders, leaders_path = scratch.table(leaders, "leaders", narrow=True)
-        members = named
+        members, leading = named, leaders
         if turn:
             # Each pair once: in the first bucket that its leader leads in now, and only while both are in all
             # buckets that they share. One that has left a shared bucket has met the other there, or need not.
             lists = active.groupBy("doc").agg(F.collect_list("band").alias("now")).join(every, "doc")
             members = named.join(lists, "doc")
             led = leaders.groupBy("leader").agg(F.sort_array(F.collect_list("band")).alias("led"))
-            leaders = leaders.join(led, "leader").join(lists.withColumnsRenamed({"doc": "leader", "now": "lnow", "every": "levery"}), "leader")
-        pairs = members.join(leaders, "band").where(fits + (once if turn else "")).select("doc", "leader")
+            leading = leaders.join(led, "leader").join(lists.withColumnsRenamed({"doc": "leader", "now": "lnow", "every": "levery"}), "leader")
+        pairs = members.join(leading, "band").where(fits + (once if turn else "")).select("doc", "leader")
         pairs = pairs.select(F.greatest("doc", "leader").alias("doc"), F.least("doc", "leader").alias("leader")).distinct()
         pairs, pairs_path = scratch.table(pairs, "pairs", narrow=True)
         with scratch.batches(spark, 1000):
@@ -300,19 +301,19 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
             links = found.select(F.col("doc").alias("u"), F.col("leader").alias("v"))
             roots = components(links.unionByName(roots.select(F.col("id").alias("u"), F.col("component").alias("v"))))
         # A leader has met all others. A bucket goes on while it spans several components.
-        rest = active.join(leaders.select("band", F.col("leader").alias("doc")), ["band", "doc"], "left_anti")
+        rest, left_path = scratch.table(active.join(leaders.select("band", F.col("leader").alias("doc")), ["band", "doc"], "left_anti"), "left", narrow=True)
         rest, rest_path = scratch.table(_open(rest, roots), "buckets", narrow=True)
-        scratch.drop(spark, active_path, found_path, leaders_path, pairs_path)
+        scratch.drop(spark, active_path, found_path, leaders_path, pairs_path, left_path, named_path)
         active_path = rest_path
         if not rest.isEmpty():
             # A document goes on while its shared shingles are enough for a partner of its bucket.
             lone = _unshared(rest, docs)
             free = rest.join(lone, "doc", "left").select("band", "doc", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("free"))
+            free, free_path = scratch.table(free, "free", narrow=True)
             shortest = free.groupBy("band").agg(F.min("n").alias("low"))
             able = free.join(shortest, "band").where(f"free >= {need} * (n + greatest(low, {least} * n)) - 1e-6").select("band", "doc", "n", "free")
-            with scratch.batches(spark, 1000):
-                rest, active_path = scratch.table(_open(able, roots), "buckets", narrow=True)
-            scratch.drop(spark, rest_path)
+            rest, active_path = scratch.table(able, "buckets", narrow=True)
+            scratch.drop(spark, rest_path, free_path)
         active, turn = rest, turn + 1
     classes = reps.join(roots, reps["rep"] == roots["id"], "left").select("key", F.coalesce("component", "rep").alias("class_id"))
     out = all_docs.where("doc_id IS NOT NULL").select("doc_id", "key").join(classes, "key").select("doc_id", "class_id")
