@@ -32,6 +32,8 @@ from quillspark.llm import tokens
 #: Ids for each selector of Simple-8b. 0 and 1 are runs of zeros.
 COUNTS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BLOCK_IDS = 1 << 16
+#: Ranges of ids for each task; several small ones spread more evenly than one.
+RANGES = 4
 #: The bits of small ids.
 _BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.int8)
 FILE_SCHEMA = "bucket int, block long, start long, doc_ids array<long>, lengths array<long>, n_ids long, words binary"
@@ -111,7 +113,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, parts: in
     spark = docs.sparkSession
     parts = parts or max(1, min(1000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select(F.when(F.col("doc_id").isNull(), 0).otherwise(_bucket(rows, parts)).cast("int").alias("bucket"), "doc_id", "text")
+    rows = rows.select(F.when(F.col("doc_id").isNull(), 0).otherwise(_bucket(rows, RANGES * parts)).cast("int").alias("bucket"), "doc_id", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = tokens.encoder(tokenizer, tokens.BYTE_CHUNKS)
