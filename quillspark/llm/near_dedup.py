@@ -15,7 +15,7 @@ pairs: a bucket's members are compared with its least document, what is linked i
 and then only documents outside the bucket's main component lead further rounds, about
 ``LEADERS`` at a time and each in two, eight, then all of its buckets, until the bucket lies in one component or all have led. So a group of n copies costs about n
 comparisons, and every candidate pair is either compared, or already linked, or cannot reach 0.8:
-between rounds, the shingles that only one of the remaining documents has are counted, and
+after the first two rounds, the shingles that only one of the remaining documents has are counted, and
 bound what it can share with any partner of its bucket. Sizes and least documents are partial aggregates, returned by an
 equi-join that adaptive execution splits; no bucket is gathered into a task.
 
@@ -244,11 +244,10 @@ def _unshared(active: DataFrame, docs: DataFrame) -> DataFrame:
     return seen.where("doc = other").groupBy("doc").agg(F.count("*").alias("alone"))
 
 
-def _open(active: DataFrame, roots: DataFrame) -> DataFrame:
+def _open(rows: DataFrame) -> DataFrame:
     """The rows of buckets that span several components."""
-    named = active.join(roots.withColumnRenamed("id", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc"))
-    spans = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    return active.join(spans, "band", "left_semi")
+    spans = rows.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
+    return rows.join(spans, "band", "left_semi")
 
 
 def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -260,9 +259,9 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
     reps, _ = scratch.table(reps, "reps", narrow=True)
     chosen = all_docs.where("bands IS NOT NULL").join(reps, (all_docs["key"] == reps["key"]) & (all_docs["doc_id"] == reps["rep"]), "left_semi")
     rows = chosen.select(F.col("doc_id").alias("doc"), "n", F.explode("bands").alias("band"))
-    met = rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
-    # free: the shingles of a document that a partner may have.
-    active, active_path = scratch.table(rows.join(met, "band").distinct().withColumn("free", F.col("n")), "buckets", narrow=True)
+    met = rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band", F.col("c").alias("size"))
+    # free: the shingles of a document that a partner may have. c: its component.
+    active, active_path = scratch.table(rows.join(met, "band").distinct().select("band", "doc", "n", F.col("n").alias("free"), F.col("doc").alias("c"), F.col("size").alias("all")), "buckets", narrow=True)
     roots = spark.createDataFrame([], "id long, component long")
     every, _ = scratch.table(active.groupBy("doc").agg(F.collect_list("band").alias("every")), "bands-of", narrow=True)  # at most BANDS each
     need = least / (1 + least)
@@ -271,25 +270,23 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
             " AND size(array_except(array_intersect(every, levery), lnow)) = 0")
     turn = 0
     while not active.isEmpty():
-        named = active.join(roots.withColumnRenamed("id", "doc"), "doc", "left").select("band", "doc", "n", "free", F.coalesce("component", "doc").alias("c"))
-        named, named_path = scratch.table(named, "named", narrow=True)
-        sizes = named.groupBy("band", "c").agg(F.count("*").alias("k"), F.min("doc").alias("low")).groupBy("band").agg(
+        sizes = active.groupBy("band", "c").agg(F.count("*").alias("k"), F.min("doc").alias("low")).groupBy("band").agg(
             F.max(F.struct("k", (-F.col("c")).alias("neg"))).alias("top"), F.sum("k").alias("size"), F.min("low").alias("low"))
         sizes = sizes.select("band", (-F.col("top.neg")).alias("main"), (F.col("size") - F.col("top.k")).alias("others"), "low", "size")
         # First the least document of each bucket leads; then documents outside its main component do, some at
         # a time, and each in a few of its smallest buckets only: once it is linked, the others need no more.
         lead = F.col("doc") == F.col("low") if turn == 0 else (F.col("c") != F.col("main")) & (F.pmod(F.xxhash64("doc"), F.ceil(F.col("others") / LEADERS)) == 0)
-        leaders = named.join(sizes, "band").where(lead | (F.col("doc") == F.when(F.col("others") > LEADERS, F.col("low"))))
+        leaders = active.join(sizes, "band").where(lead | (F.col("doc") == F.when(F.col("others") > LEADERS, F.col("low"))))
         if turn:
             leaders = leaders.withColumn("at", F.row_number().over(W.partitionBy("doc").orderBy("size", "band"))).where(F.col("at") <= 2 ** (2 * turn - 1))
         leaders = leaders.select("band", F.col("doc").alias("leader"), F.col("n").alias("ln"), F.col("free").alias("lfree"), F.col("c").alias("lc"))
         leaders, leaders_path = scratch.table(leaders, "leaders", narrow=True)
-        members, leading = named, leaders
+        members, leading = active, leaders
         if turn:
             # Each pair once: in the first bucket that its leader leads in now, and only while both are in all
             # buckets that they share. One that has left a shared bucket has met the other there, or need not.
             lists = active.groupBy("doc").agg(F.collect_list("band").alias("now")).join(every, "doc")
-            members = named.join(lists, "doc")
+            members = active.join(lists, "doc")
             led = leaders.groupBy("leader").agg(F.sort_array(F.collect_list("band")).alias("led"))
             leading = leaders.join(led, "leader").join(lists.withColumnsRenamed({"doc": "leader", "now": "lnow", "every": "levery"}), "leader")
         pairs = members.join(leading, "band").where(fits + (once if turn else "")).select("doc", "leader")
@@ -301,17 +298,20 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
             links = found.select(F.col("doc").alias("u"), F.col("leader").alias("v"))
             roots = components(links.unionByName(roots.select(F.col("id").alias("u"), F.col("component").alias("v"))))
         # A leader has met all others. A bucket goes on while it spans several components.
-        rest, left_path = scratch.table(active.join(leaders.select("band", F.col("leader").alias("doc")), ["band", "doc"], "left_anti"), "left", narrow=True)
-        rest, rest_path = scratch.table(_open(rest, roots), "buckets", narrow=True)
-        scratch.drop(spark, active_path, found_path, leaders_path, pairs_path, left_path, named_path)
+        left = active.where("all > 2") if turn == 0 else active  # two have met
+        left = left.drop("c").join(leaders.select("band", F.col("leader").alias("doc")), ["band", "doc"], "left_anti")
+        left = left.join(roots.withColumnRenamed("id", "doc"), "doc", "left").select("band", "doc", "n", "free", F.coalesce("component", "doc").alias("c"), "all")
+        left, left_path = scratch.table(left, "left", narrow=True)
+        rest, rest_path = scratch.table(_open(left), "buckets", narrow=True)
+        scratch.drop(spark, active_path, found_path, leaders_path, pairs_path, left_path)
         active_path = rest_path
-        if not rest.isEmpty():
-            # A document goes on while its shared shingles are enough for a partner of its bucket.
+        if turn < 2 and not rest.isEmpty():
+            # A document goes on if its shared shingles are enough for a partner of its bucket.
             lone = _unshared(rest, docs)
-            free = rest.join(lone, "doc", "left").select("band", "doc", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("free"))
+            free = rest.join(lone, "doc", "left").select("band", "doc", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("free"), "c", "all")
             free, free_path = scratch.table(free, "free", narrow=True)
             shortest = free.groupBy("band").agg(F.min("n").alias("low"))
-            able = free.join(shortest, "band").where(f"free >= {need} * (n + greatest(low, {least} * n)) - 1e-6").select("band", "doc", "n", "free")
+            able = free.join(shortest, "band").where(f"free >= {need} * (n + greatest(low, {least} * n)) - 1e-6").select("band", "doc", "n", "free", "c", "all")
             rest, active_path = scratch.table(able, "buckets", narrow=True)
             scratch.drop(spark, rest_path, free_path)
         active, turn = rest, turn + 1
