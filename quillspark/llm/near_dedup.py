@@ -96,7 +96,7 @@ def shingles(tokens: list[str]) -> np.ndarray:
 
 
 def labelled(s: np.ndarray) -> np.ndarray:
-    """Hashes of (shingle, its occurrence so far)."""
+    """Hashes of (shingle, its occurrence so far); a first occurrence keeps its hash, so texts with and without repeats share labels."""
     if len(np.unique(s)) == len(s):
         return s
     order = np.argsort(s, kind="stable")
@@ -105,7 +105,7 @@ def labelled(s: np.ndarray) -> np.ndarray:
     starts = np.flatnonzero(first)
     nth = np.arange(len(s)) - starts[np.cumsum(first) - 1]
     out = np.empty_like(s)
-    out[order] = _mix(ranked + nth.astype(np.uint64) * _PLACE[7]) if nth.any() else ranked
+    out[order] = np.where(nth > 0, _mix(ranked + nth.astype(np.uint64) * _PLACE[7]), ranked)
     return out
 
 

@@ -353,6 +353,18 @@ def test_order_min_hash_respects_order():
     assert (same == edited).sum() > (same == turned).sum()
 
 
+def test_a_repeat_in_one_text_only(spark):
+    rng = random.Random(14)
+    w = prose(rng, 300).split()
+    more = [*w, *w[40:46]]
+    a, b = (near_dedup.shingles([x.lower() for x in t]) for t in (w, more))
+    assert len(np.unique(a)) == len(a) and len(np.unique(b)) < len(b)
+    assert len(np.intersect1d(near_dedup.labelled(a), near_dedup.labelled(b))) == len(a)
+    assert (near_dedup.bands(a) == near_dedup.bands(b)).any()
+    got = near_dedup.near_dedup(docs_of(spark, [" ".join(w), " ".join(more), prose(rng, 300)])).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {0: 0, 1: 0, 2: 2}
+
+
 # --- sharding
 
 @pytest.mark.parametrize("shape", ["mixed", "hot", "few", "none"])
