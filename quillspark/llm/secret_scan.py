@@ -2,7 +2,9 @@
 
 Base spans are three regular expressions. Beyond them, a candidate is a maximal run of 20
 or more characters of one inferred encoding (decimal, hexadecimal, base32, base36, base62,
-base64, base64url) that mixes digits and letters. Three tests of randomness over its
+base64, base64url) that mixes digits and letters. A run of their characters is cut at inner
+equals signs (those at its end are padding), and a part that no alphabet holds is cut into its maximal parts of
+base64 and of base64url, which may overlap; each is tested. Three tests of randomness over its
 symbols -- chi-squared uniformity over bins of the alphabet, Wald-Wolfowitz runs about the
 alphabet's middle, and lag-1 serial correlation -- are combined by Fisher's method. Ordinary
 identifiers are far from random; a random secret is not.
@@ -56,6 +58,10 @@ ALPHABETS = tuple(
         ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
     ))
 
+#: Parts between inner equals signs; in a part that mixes both kinds of signs, what either alphabet holds.
+_parts = re.compile(r"[^=]+(?:=+$)?").finditer
+_SIDES = (re.compile(r"[A-Za-z0-9+/]+=*"), re.compile(r"[A-Za-z0-9_-]+=*"))
+
 _HEX, _RUN, _DIGIT, _ALPHA = 1, 2, 4, 8
 _CLASS = np.zeros(256, dtype=np.uint8)
 for _c in range(256):
@@ -74,6 +80,24 @@ def infer(run: str) -> tuple[str, np.ndarray] | None:
     return None
 
 
+def encoded(run: str) -> list[tuple[int, int]]:
+    """The maximal parts of ``run`` of one encoding, in order; none lies within another."""
+    out = []
+    for m in _parts(run):
+        a, b = m.span()
+        part = run[a:b].rstrip("=")
+        if not (("+" in part or "/" in part) and ("-" in part or "_" in part)):
+            out.append((a, b))
+            continue
+        held = sorted({(a + x.start(), a + x.end()) for side in _SIDES for x in side.finditer(run[a:b])}, key=lambda s: (s[0], -s[1]))
+        end = -1
+        for s, e in held:
+            if e > end:
+                out.append((s, e))
+                end = e
+    return [(s, e) for s, e in out if e - s >= MIN_LENGTH]
+
+
 def _upper_chi2(x: float, df: int) -> float:
     """Wilson and Hilferty's normal approximation."""
     z = ((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
@@ -145,7 +169,7 @@ def scan_text(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[float,
     if runs:
         base += [("hex", place(a), place(b)) for a, b in _runs(kind & _HEX != 0, 24)]
     candidates = []
-    for a, b in runs:
+    for a, b in [(a + s, a + e) for a, b in runs for s, e in encoded(raw[a:b].decode())]:
         part = kind[a:b]
         if (part & _DIGIT).any() and (part & _ALPHA).any() and (p := weighted_p(raw[a:b].decode())) is not None:
             start, end = place(a), place(b)

@@ -233,6 +233,18 @@ def test_secrets(spark, texts):
     assert secret_scan.scan_secrets(empty(spark)).count() == 0
 
 
+def test_secrets_within_longer_runs(spark):
+    rng = random.Random(10)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key, other = ("".join(rng.choices(letters, k=40)) for _ in range(2))
+    slashed = key[:13] + "/" + key[14:20] + "+" + key[21:]
+    cases = [f"é AWS_SECRET_ACCESS_KEY={slashed} end", f"sessionid={key}", f"https://a.b/c?sig={slashed}==&x=1", f"path/sk_live_{key}", f"{key}={other}", f"a=b=c=d=e=f=g=h1=i=j=k=l"]
+    found = [["".join(t[s:e]) for _, s, e in secret_scan.scan_text(t)[1]] for t in cases]
+    assert found == [[slashed], [key], [slashed + "=="], ["sk_live_" + key], [key, other], []]
+    got = {r["doc_id"]: r for r in secret_scan.redact(secret_scan.scan_secrets(docs_of(spark, cases))).collect()}
+    assert got[0]["text"] == "é AWS_SECRET_ACCESS_KEY=<random> end" and got[1]["text"] == "sessionid=<random>" and got[3]["text"] == "path/<random>"
+
+
 def test_battery_is_calibrated():
     rng = random.Random(4)
     p = [secret_scan.weighted_p("".join(rng.choices("0123456789abcdef", k=rng.randint(32, 64)))) for _ in range(1500)]
