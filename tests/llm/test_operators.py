@@ -403,6 +403,27 @@ def test_sharding(spark, shape):
         assert sum(len(s) > 1 for s in where.values()) <= 2
 
 
+@pytest.mark.parametrize("cells", [4096, 64])
+def test_sharding_keeps_hubs_whole(spark, monkeypatch, cells):
+    monkeypatch.setattr(sharding, "CELLS", cells, raising=False)
+    rng = random.Random(6)
+    texts = ["large"] * 40 + ["huge"] * 110 + [f"pair {i // 2}" for i in range(250)]
+    rng.shuffle(texts)
+    got = sharding.shard_documents(docs_of(spark, texts)).toPandas()
+    assert Counter(got["shard"]) == {j: 50 for j in range(8)}
+    where = defaultdict(set)
+    for r in got.itertuples():
+        where[texts[r.doc_id]].add(r.shard)
+    assert len(where["large"]) == 1 and len(where["huge"]) == 3
+    assert sum(len(s) > 1 for t, s in where.items() if t.startswith("pair")) <= 16
+
+
+def test_shard_grants_count_leavers():
+    full = {(0, 0): {1: 5}, (1, 0): {0: 5}, (2, 0): {1: 9}}
+    assert sorted(sharding._grants(full, [0, 0, 0])) == sorted(full)
+    assert sharding._grants({(0, 0): {1: 5}}, [-6, 0]) == []
+
+
 # --- toxicity
 
 def full_scan(index, terms, weights, k, but):
