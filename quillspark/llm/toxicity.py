@@ -1,8 +1,9 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled examples: TF-IDF cosine over telling terms, by a block-max inverted index.
 
 Labels are learnt from at most ``SAMPLE`` labelled documents (a documented bound; chosen by
 hash, so they do not depend on how the table is laid out). Terms are words and word beginnings that tell the
-classes apart in that sample; their inverse document frequencies count *all* documents.
+classes apart in that sample (``TELLING``, ``TERMS`` and a least count: a selection, not all terms; the README has
+figures against full TF-IDF); their inverse document frequencies count *all* documents.
 Every document also holds a common background term, so one without a telling term is near
 the clean examples, not near nothing.
 
