@@ -1,26 +1,29 @@
-"""Toxicity by nearest labelled examples: TF-IDF cosine over telling terms, by a block-max inverted index.
-
-Labels are learnt from at most ``SAMPLE`` labelled documents (a documented bound; chosen by
-hash, so they do not depend on how the table is laid out). Terms are words and word beginnings that tell the
-classes apart in that sample (``TELLING``, ``TERMS`` and a least count: a selection, not all terms; the README has
-figures against full TF-IDF); their inverse document frequencies count *all* documents.
-Every document also holds a common background term, so one without a telling term is near
-the clean examples, not near nothing.
-
-The examples lie in blocks; the index has, for each term and block, postings and the block's largest
-weight. A query visits blocks in the order of their upper bounds and stops when no block can
-improve the k nearest: the result equals a full scan. Neighbours vote with the square of their cosine;
-a logistic curve, fitted to the votes that the examples get from each other, calibrates the
-score. The nearest examples and the terms met are returned as evidence.
-
-Plan: one scan picks the sample (the bounded id list is broadcast), one counts document frequencies
-(partial aggregation to at most ``TERMS`` rows), one scores. No text is shuffled; skew
-of a source or of copies costs nothing.
-
-Defined results: null and empty texts hold the background term only; labels that are null
-are ignored; a document labelled twice counts as toxic if either says so; with no toxic or no
-clean example the score is that share of the sample (0.5 without labels); repeated rows are scored
-each; input columns are kept, result columns win over ones of their names.
+"""Toxicity by nearest labelled examples: TF-IDF cosine over all their words, by a block-max inverted index.
+
+Labels are learnt from a sample (``SAMPLE`` documents and ``SAMPLE_CHARS`` characters at most: a documented bound;
+chosen by hash, so it does not depend on how the table is laid out). Terms are *all* words of the sample, without
+a selection. A term weighs (1 + log occurrences) x idf x relevance: document frequencies count all
+documents, and the relevance is the square of the term's log odds between the classes, shrunk towards none by
+``PRIOR`` pseudo-examples, plus ``FLOOR``. So a word that says nothing about the label still counts, and plain
+TF-IDF, whose neighbours are ruled by chance meetings of rare words, is corrected by what labels show. Words that no
+example has can meet nothing and are left out of a vector.
+
+The examples lie in blocks of like ones; the order follows their heaviest terms and a hash, never a label.
+The index has postings of every term, and for frequent terms each block's largest weight. A query adds up its
+rarer terms exactly, bounds the others by the blocks' maxima, and then takes examples in the
+order of these bounds until none can reach the k nearest: the result equals a full scan. Cosines are compared at nine decimals, and
+all examples that tie with the k-th vote. Neighbours vote with the square of their cosine; a logistic curve, fitted to the votes
+that the examples get from each other, calibrates the score. The nearest examples and the most telling
+words met are returned as evidence.
+
+Plan: one scan picks the sample (the bounded id list is broadcast), one counts document frequencies (a task returns
+vectors of counts, cut into slices, which are added up as they stream by), one scores. No text but the sample's is shuffled;
+skew of a source or of copies costs nothing.
+
+Defined results: null and empty texts, and texts without a word of the sample, get the calibrated share of toxic examples; labels
+that are null are ignored; a document labelled twice counts as toxic if either says so; a labelled id of several rows is one
+example, its least text; with no toxic or no clean example the score is that share of the sample (0.5 without
+labels); repeated rows are scored each; input columns are kept, result columns win over ones of their names.
 """
 
 from __future__ import annotations
@@ -28,138 +31,152 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
-from itertools import islice
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import caches, scratch
 
-SAMPLE, TERMS, NEIGHBOURS, BLOCK = 8_000, 4_000, 15, 64
-#: A term is telling if its log odds between the classes exceed this.
-TELLING = 3.0
-WORD_CACHE, KNOWN, FLUSH = 150_000, 10_000, 200_000
-BEGINNINGS = (4, 5, 6, 7, 8)
+SAMPLE, SAMPLE_CHARS, NEIGHBOURS, BLOCK = 8_000, 64_000_000, 15, 64
+#: Pseudo-examples that shrink a term's log odds, and what a term weighs that tells nothing.
+PRIOR, FLOOR = 20.0, 0.01
+#: A term in more than this share of the examples is bounded by block maxima before it is added up.
+FREQUENT = 1 / 32
+SLICE, EVIDENCE = 1024, 5
 
 _words = re.compile(r"[^\W_]+").findall
 
 
-def terms_of(word: str) -> list[str]:
-    """A word and its beginnings; a beginning ends in an asterisk."""
-    return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
+def bag(text: str | None) -> Counter:
+    return Counter(_words(text.lower())) if text else Counter()
 
 
-class _Lookup(dict):
-    """Word to the ids of its telling terms."""
+def _spread(lo: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The places lo, lo + 1, ... of each run, one run after another."""
+    ends = np.cumsum(many)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - (ends - many), many)
 
-    def __init__(self, vocabulary: dict[str, int]) -> None:
-        super().__init__()
-        self.vocabulary = vocabulary
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= WORD_CACHE:  # the words met first are the frequent ones
-            kept = list(islice(self.items(), WORD_CACHE // 2))
-            self.clear()
-            self.update(kept)
-        ids = self[word] = tuple(i for t in terms_of(word) if (i := self.vocabulary.get(t)) is not None)
-        return ids
-
-
-def vector(text: str | None, lookup: _Lookup) -> tuple[int, tuple[tuple[int, int], ...]]:
-    """The number of words, and (term id, occurrences) in order of ids. Without a term the number is 1: it would not matter."""
-    words = _words(text.lower()) if text else []
-    hits = [ids for ids in map(lookup.__getitem__, words) if ids]
-    return (len(words), tuple(sorted(Counter(i for ids in hits for i in ids).items()))) if hits else (1, ())
+class Index:
+    """Unit vectors of the examples, as rows and by term, with block maxima of the frequent terms."""
+
+    def __init__(self, n_terms: int, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
+        """Example e holds ``terms[starts[e]:starts[e + 1]]``, ascending, and their weights."""
+        n = len(starts) - 1
+        many = np.bincount(terms, minlength=n_terms)
+        frequent = np.flatnonzero(many > max(BLOCK, n * FREQUENT))
+        self.row = np.full(n_terms, -1, dtype=np.int32)
+        self.row[frequent] = np.arange(len(frequent))
+        self.block = np.arange(n) // BLOCK
+        example = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))
+        often = self.row[terms] >= 0
+        # Rarer terms by term ...
+        order = np.argsort(terms[~often], kind="stable")
+        self.post_example, self.post_weight = example[~often][order], weights[~often][order]
+        many[frequent] = 0
+        self.post_start = np.concatenate(([0], np.cumsum(many)))
+        # ... frequent ones by example, and their greatest weights by block.
+        self.rows, self.row_weight = self.row[terms[often]], weights[often]
+        self.row_start = np.concatenate(([0], np.cumsum(np.bincount(example[often], minlength=n))))
+        self.tops = np.zeros((len(frequent), -(-n // BLOCK)))
+        np.maximum.at(self.tops, (self.rows, self.block[example[often]]), self.row_weight)
+
+    def __len__(self) -> int:
+        return len(self.block)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k nearest examples and of those that tie with the last; ``but`` is left out.
+
+        Terms ascend, so like examples add up alike and tie exactly.
+        """
+        row = self.row[terms]
+        often = row >= 0
+        lo = self.post_start[terms[~often]]
+        many = self.post_start[terms[~often] + 1] - lo
+        at = _spread(lo, many)
+        part = np.bincount(self.post_example[at], self.post_weight[at] * np.repeat(weights[~often], many), minlength=len(self)).astype(float)
+        bound = part + (weights[often] @ self.tops[row[often]])[self.block] + 1e-8
+        if but >= 0:
+            bound[but] = 0
+        query = np.zeros(len(self.tops))
+        query[row[often]] = weights[often]
+
+        def cosines(places: np.ndarray) -> np.ndarray:
+            lo = self.row_start[places]
+            many = self.row_start[places + 1] - lo
+            at = _spread(lo, many)
+            rest = np.bincount(np.repeat(np.arange(len(places)), many), self.row_weight[at] * query[self.rows[at]], minlength=len(places))
+            return np.round(part[places] + rest, 9)
+
+        step = 2 * k
+        new = np.argpartition(-bound, step - 1)[:step] if step < len(self) else np.arange(len(self))
+        places, found = [], []
+        while len(new):
+            places.append(new)
+            found.append(cosines(new))
+            bound[new] = 0
+            have = np.concatenate(found)
+            least = max(1e-9, np.partition(have, len(have) - k)[len(have) - k] if len(have) >= k else 0)
+            new = np.flatnonzero(bound >= least)
+            step *= 4  # the next best, and with luck all that are left
+            if len(new) > step:
+                new = new[np.argpartition(-bound[new], step - 1)[:step]]
+        at = np.concatenate(places)
+        near = (have >= least) & (at != but)
+        at, have = at[near], have[near]
+        order = np.lexsort((at, -have))
+        if len(order) > k:
+            order = order[have[order] >= have[order[k - 1]]]
+        return at[order], have[order]
 
 
-@dataclass
-class Index:
-    """Unit TF-IDF vectors of the examples, by term and block."""
-
-    idf: np.ndarray
-    ids: np.ndarray
-    toxic: np.ndarray
-    vectors: list[tuple[np.ndarray, np.ndarray]]
-    tops: dict[int, np.ndarray] = field(default_factory=dict)
-    postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        blocks = -(-len(self.ids) // BLOCK)
-        rows: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for e, (terms, weights) in enumerate(self.vectors):
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                rows.setdefault((t, e // BLOCK), []).append((e % BLOCK, w))
-        for (t, b), found in rows.items():
-            places, weights = np.array([p for p, _ in found]), np.array([w for _, w in found])
-            self.postings[t, b] = places, weights
-            self.tops.setdefault(t, np.zeros(blocks))[b] = weights.max()
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> list[tuple[float, int]]:
-        """The k examples of greatest cosine, as (cosine, place); ``but`` is left out."""
-        bound = sum((w * self.tops[t] for t, w in zip(terms.tolist(), weights.tolist()) if t in self.tops),
-                    np.zeros(-(-len(self.ids) // BLOCK)))
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) >= k and best[-1][0] >= bound[b]:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                if (found := self.postings.get((t, b))) is not None:
-                    score[found[0]] += w * found[1]
-            hits = [(float(score[p]), b * BLOCK + int(p)) for p in np.flatnonzero(score > 0) if b * BLOCK + p != but]
-            best = sorted(best + hits, key=lambda x: (-x[0], x[1]))[:k]
-        return best
-
-
-def unit(found: tuple[int, tuple[tuple[int, int], ...]], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit TF-IDF vector; the background is the last term and weighs more in longer texts."""
-    words, counts = found
-    terms = np.array([t for t, _ in counts] + [len(idf)])
-    weights = np.array([(1 + math.log(n)) * idf[t] for t, n in counts] + [0.5 * math.sqrt(words)])
-    return terms, weights / math.sqrt(float(weights @ weights))
-
-
-@dataclass
 class Model:
-    vocabulary: dict[str, int]
-    index: Index
-    prior: float
-    curve: tuple[float, float] | None
+    """Weights of the terms, the examples' index and the curve; small enough to go to every worker."""
 
-    def __post_init__(self) -> None:
-        self.names = list(self.vocabulary)
-        self.known: dict = {}
+    def __init__(self, names: pa.Array, weight: np.ndarray, index: Index | None, ids: np.ndarray, toxic: np.ndarray, prior: float) -> None:
+        self.names, self.weight, self.index, self.ids, self.toxic, self.prior = names, weight, index, ids, toxic, prior
+        self.curve: tuple[float, float] | None = None
+        self.places: dict[str, int] = {}
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "lookup")}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self.known = {}
-
-    def vote(self, found: tuple, but: int = -1) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(*unit(found, self.index.idf), NEIGHBOURS, but)
-        total = sum(s * s for s, _ in near)
-        return (sum(s * s * self.index.toxic[e] for s, e in near) / total if total > 0 else self.prior), near
+        return self.__dict__ | {"places": {}}
+
+    def vector(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms of a bag, ascending, and their unit weights."""
+        if not self.places:
+            self.places = {t: i for i, t in enumerate(self.names.to_pylist())}
+        terms = np.fromiter(map(self.places.get, found, repeat(-1)), dtype=np.int64, count=len(found))
+        many = np.fromiter(found.values(), dtype=np.int64, count=len(found))
+        order = np.argsort(terms)
+        order = order[np.searchsorted(terms[order], 0) :]
+        return terms[order], unit(self.weight[terms[order]], many[order])
+
+    def vote(self, terms: np.ndarray, weights: np.ndarray, but: int = -1) -> tuple[float, np.ndarray]:
+        """Share of toxic votes, and the nearest examples."""
+        near, cosine = self.index.nearest(terms, weights, NEIGHBOURS, but)
+        votes = cosine * cosine
+        return float(votes @ self.toxic[near] / votes.sum()) if len(near) else self.prior, near
 
     def judge(self, text: str | None) -> tuple[float, list[int], list[str]]:
-        """Score, nearest examples, terms met."""
-        if not hasattr(self, "lookup"):
-            self.lookup = _Lookup(self.vocabulary)
-        terms = vector(text, self.lookup)
-        met = [self.names[t] for t, _ in terms[1]]
+        """Score, nearest examples, most telling words met."""
         if self.curve is None:
-            return self.prior, [], met
-        if (found := self.known.get(terms)) is None:
-            v, near = self.vote(terms)
-            a, b = self.curve
-            found = 1 / (1 + math.exp(-max(-50.0, min(50.0, a * v + b)))), [int(self.index.ids[e]) for _, e in near[:5]]
-            if len(self.known) < KNOWN:
-                self.known[terms] = found
-        return *found, met
+            return self.prior, [], []
+        terms, weights = self.vector(bag(text))
+        v, near = self.vote(terms, weights)
+        met = terms[np.lexsort((terms, -weights))[:EVIDENCE]]
+        a, b = self.curve
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, a * v + b)))), self.ids[near[:EVIDENCE]].tolist(), [self.names[i].as_py() for i in met.tolist()]
+
+
+def unit(weight: np.ndarray, many: np.ndarray) -> np.ndarray:
+    w = weight * (1 + np.log(np.maximum(many, 1)))
+    return w / max(1e-300, math.sqrt(float(w @ w)))
 
 
 def calibrate(votes: np.ndarray, toxic: np.ndarray, ridge: float = 0.05) -> tuple[float, float]:
@@ -175,84 +192,142 @@ def calibrate(votes: np.ndarray, toxic: np.ndarray, ridge: float = 0.05) -> tupl
     return float(w[0]), float(w[1])
 
 
-def _sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
+def _sample(docs: DataFrame, labels: DataFrame, size: int, chars: int) -> tuple[pa.Table, int]:
+    """doc_id, toxic, terms and counts of the sampled documents, in the order of a hash of their ids."""
+    spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    # At most ``size`` rows of two numbers: a proven bound for the broadcast.
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
+    # At most ``size`` rows of numbers: a proven bound for the broadcast.
+    chosen = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(size)
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    held = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text"))
+    held, path = scratch.table(held, "labelled")
+    total, last = 0, None  # at most ``size`` rows
+    for r in held.select("h", "doc_id", F.length("text").alias("n")).orderBy("h", "doc_id").collect():
+        total += r["n"]
+        if total > chars and last is not None:
+            break
+        last = r
+    if last is not None:
+        held = held.where((F.col("h") < last["h"]) | (F.col("h") == last["h"]) & (F.col("doc_id") <= last["doc_id"]))
 
+    def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        caches.claim("toxicity")
+        for batch in batches:
+            found = [bag(t) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "h": batch["h"], "toxic": (batch["toxic"] == 1).astype("int32"),
+                                "terms": [list(c) for c in found], "counts": [list(c.values()) for c in found]})
 
-def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
-    """Learn from labelled rows outside the held-out third; count frequencies over all ``docs``."""
-    spark = docs.sparkSession
-    sample, path = scratch.table(_sample(docs, labels, size), "labelled")
-    share = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.countDistinct("text").alias("n")).collect()}
-    pos, neg = share.get(1, 0), sum(n for t, n in share.items() if t != 1)
-    if not pos or not neg:
-        return Model({}, Index(np.zeros(0), np.zeros(0, int), np.zeros(0), []), pos / (pos + neg) if pos + neg else 0.5, None)
+    # Bounded by ``chars``: an example has no more terms than characters.
+    got = held.mapInPandas(bags, "doc_id long, h long, toxic int, terms array<string>, counts array<int>").toArrow()
+    scratch.drop(spark, path)
+    return got.sort_by([("h", "ascending"), ("doc_id", "ascending")]), got.num_rows
+
+
+def _frequencies(docs: DataFrame, names: pa.Array) -> tuple[int, np.ndarray]:
+    """Rows of ``docs``, and in how many of them each term is found."""
+    n = len(names)
+    shared = docs.sparkSession.sparkContext.broadcast(names)
 
-    def presence(batches):
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         caches.claim("toxicity")
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        places = _places(shared)
+        seen = np.zeros(n + 1, dtype=np.int64)
         for batch in batches:
-            for text, toxic in zip(batch["text"], batch["toxic"]):
-                count = seen[int(toxic == 1)]
-                count.update({t for w in set(_words(text.lower())) for t in terms_of(w)})
-                if len(count) >= FLUSH:
-                    yield pd.DataFrame({"term": list(count), "toxic": int(toxic == 1), "n": list(count.values())})
-                    count.clear()
-        for toxic, count in seen.items():
-            yield pd.DataFrame({"term": list(count), "toxic": toxic, "n": list(count.values())}).astype({"term": "object", "n": "int64"})
-
-    counted = sample.select("toxic", "text").distinct().mapInPandas(presence, "term string, toxic int, n long")
-    counted = counted.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("q"))
-    odds = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("q") + 0.5) / (neg + 1))
-    telling = counted.withColumn("odds", odds).where(
-        ((F.col("p") >= max(3, pos / 150)) & (F.col("odds") > TELLING)) | ((F.col("q") >= max(3, neg / 50)) & (F.col("odds") < -TELLING)))
-    names = sorted(r["term"] for r in telling.orderBy(F.desc(F.abs("odds") * F.sqrt(F.col("p") + F.col("q"))), "term").limit(TERMS).collect())
-    vocabulary = {t: i for i, t in enumerate(names)}
-
-    def frequencies(batches):
-        caches.claim("toxicity")
-        lookup = _Lookup(vocabulary)
+            get = places.get
+            met: list[int] = []
+            for text in batch["text"]:
+                if text:
+                    met += [i for w in set(_words(text.lower())) if (i := get(w)) is not None]
+                if len(met) > 1_000_000:
+                    seen += np.bincount(met, minlength=n + 1)
+                    met = []
+            seen += np.bincount(np.array(met, dtype=np.int64), minlength=n + 1)
+            seen[n] += len(batch)
+        if seen[n]:
+            cuts = range(0, n + 1, SLICE)
+            yield pd.DataFrame({"slice": list(cuts), "n": [seen[i : i + SLICE].tobytes() for i in cuts]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            df = Counter(t for text in batch["text"] for t, _ in vector(text, lookup)[1])
-            yield pd.DataFrame({"term": list(df), "n": list(df.values()), "docs": 0}).astype("int64")
-            yield pd.DataFrame({"term": [-1], "n": [len(batch)], "docs": 0}).astype("int64")
+            for at, part in zip(batch["slice"].tolist(), batch["n"]):
+                part = np.frombuffer(part, dtype=np.int64)
+                total[at] = total[at] + part if at in total else part
+        yield pd.DataFrame({"slice": list(total), "n": [x.tobytes() for x in total.values()]})
 
-    seen = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(frequencies, "term long, n long, docs long")
-    df = {r["term"]: r["n"] for r in seen.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # at most TERMS + 1 rows
-    idf = np.array([math.log((df.get(-1, 0) + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(names))])
+    slices = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(count, "slice long, n binary")
+    out = np.zeros(n + 1, dtype=np.int64)
+    for r in slices.repartition("slice").mapInPandas(add, "slice long, n binary").collect():  # a number for each term
+        part = np.frombuffer(r["n"], dtype=np.int64)
+        out[r["slice"] : r["slice"] + len(part)] += part
+    shared.unpersist()
+    return int(out[n]), out[:n]
 
-    def example(batches):
-        lookup = _Lookup(vocabulary)
-        for batch in batches:
-            found = [vector(text, lookup) for text in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": (batch["toxic"] == 1).astype("int32"), "words": [n for n, _ in found],
-                                "terms": [[t for t, _ in v] for _, v in found], "counts": [[n for _, n in v] for _, v in found]})
 
-    rows = sample.mapInPandas(example, "doc_id long, toxic int, words long, terms array<int>, counts array<int>").collect()  # at most ``size`` rows
-    scratch.drop(spark, path)
-    # Like examples share blocks, which keeps the bounds tight.
-    rows.sort(key=lambda r: (r["terms"], r["toxic"], r["words"], r["doc_id"]))
-    found = [(r["words"], tuple(zip(r["terms"], r["counts"]))) for r in rows]
-    toxic = np.array([r["toxic"] for r in rows], dtype=float)
-    index = Index(idf, np.array([r["doc_id"] for r in rows]), toxic, [unit(f, idf) for f in found])
-    model = Model(vocabulary, index, float(toxic.mean()), (0.0, 0.0))
-    votes = np.array([model.vote(f, but=e)[0] for e, f in enumerate(found)])
-    model.curve = calibrate(votes, toxic)
+#: What this worker has unpacked of a broadcast, by the broadcast.
+_unpacked: dict[int, dict[str, int]] = {}
+caches.register("toxicity", _unpacked.clear)
+
+
+def _places(shared: Broadcast) -> dict[str, int]:
+    key = id(shared.value)
+    if key not in _unpacked:
+        _unpacked.clear()
+        _unpacked[key] = {t: i for i, t in enumerate(shared.value.to_pylist())}
+    return _unpacked[key]
+
+
+def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
+    """Learn from labelled rows outside the held-out third; count frequencies over all ``docs``."""
+    sample, n = _sample(docs, labels, size, chars)
+    toxic = sample["toxic"].to_numpy().astype(float)
+    if not n or toxic.min() == toxic.max():
+        return Model(pa.array([], pa.string()), np.zeros(0), None, np.zeros(0, int), toxic, float(toxic.mean()) if n else 0.5)
+    lists = sample["terms"].combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    coded = lists.flatten().dictionary_encode()
+    names, terms = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    many = sample["counts"].combine_chunks().flatten().to_numpy()
+    rows, df = _frequencies(docs, names)
+    idf = np.log((rows + 1) / (df + 1)) + 1
+    example = np.repeat(np.arange(n), sizes)
+    share = toxic.mean()
+    bad = np.bincount(terms, toxic[example], minlength=len(names))
+    clean = np.bincount(terms, minlength=len(names)) - bad
+    odds = np.log((bad + PRIOR * share) / (clean + PRIOR * (1 - share))) - math.log(share / (1 - share))
+    weight = idf * (odds * odds + FLOOR)
+    # Examples of like heaviest terms share blocks, which keeps the bounds tight.
+    heavy = np.lexsort((-weight[terms], example))
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    key = np.full((4, n), -1)
+    for place in range(4):
+        there = sizes > place
+        key[place, there] = terms[heavy[starts[:-1][there] + place]]
+    order = np.lexsort((np.arange(n), *key[::-1]))  # the sample is in the order of a hash
+    at = _spread(starts[:-1][order], sizes[order])
+    sizes, terms, many = sizes[order], terms[at], many[at]
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    example = np.repeat(np.arange(n), sizes)
+    sort = np.lexsort((terms, example))
+    terms, many = terms[sort], many[sort]
+    weights = np.concatenate([unit(weight[terms[a:b]], many[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())])
+    index = Index(len(names), starts, terms, weights)
+    model = Model(names, weight, index, sample["doc_id"].to_numpy()[order], toxic[order], float(share))
+    votes = np.array([model.vote(terms[a:b], weights[a:b], but=e)[0] for e, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist()))])
+    model.curve = calibrate(votes, model.toxic)
     return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """All rows with score, predicted, evidence (nearest examples) and evidence_terms."""
+    """All rows with score, predicted, evidence (nearest examples) and evidence_terms (words met, the heaviest first)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     @F.pandas_udf("struct<score:double,evidence:array<bigint>,terms:array<string>>")
     def judged(texts: pd.Series) -> pd.DataFrame:
         caches.claim("toxicity")
-        found = [model.judge(t) for t in texts]
+        found = [shared.value.judge(t) for t in texts]
         lists = {k: pd.Series([f[i] for f in found], dtype=object) for k, i in (("evidence", 1), ("terms", 2))}  # also for no rows
         return pd.DataFrame({"score": pd.Series([f[0] for f in found], dtype=float), **lists})
 

@@ -426,23 +426,78 @@ def test_shard_grants_count_leavers():
 
 # --- toxicity
 
-def full_scan(index, terms, weights, k, but):
-    q = dict(zip(terms.tolist(), weights.tolist()))
-    scores = [(sum(q.get(t, 0) * w for t, w in zip(ts.tolist(), ws.tolist())), e) for e, (ts, ws) in enumerate(index.vectors)]
-    return sorted((s for s in scores if s[0] > 0 and s[1] != but), key=lambda s: -s[0])[:k]
+def full_scan(examples, query, k, but):
+    """Places and cosines of the k nearest and of ties with the last."""
+    q = dict(query)
+    scores = [(round(sum(q.get(t, 0) * w for t, w in e), 9), place) for place, e in enumerate(examples) if place != but]
+    scores = sorted((s for s in scores if s[0] > 0), key=lambda s: (-s[0], s[1]))
+    return [s for s in scores if len(scores) <= k or s[0] >= scores[k - 1][0]]
 
 
-def test_block_max_equals_a_full_scan():
+@pytest.mark.parametrize("n_terms", [30, 3000])
+def test_block_max_equals_a_full_scan(n_terms):
     rng = np.random.default_rng(5)
-    idf = rng.uniform(1, 5, 30)
-    draw = lambda: (int(rng.integers(1, 400)), tuple(sorted((int(t), int(rng.integers(1, 4))) for t in rng.choice(30, rng.integers(0, 6), replace=False))))
+
+    def draw():
+        terms = np.sort(rng.choice(n_terms, rng.integers(0, 9), replace=False, p=(p := 1 / np.arange(1, n_terms + 1)) / p.sum()))
+        return list(zip(terms.tolist(), toxicity.unit(rng.uniform(0.1, 5, len(terms)).round(1), np.ones(len(terms))).tolist()))
+
     found = [draw() for _ in range(700)]
-    index = toxicity.Index(idf, np.arange(700), rng.integers(0, 2, 700).astype(float), [toxicity.unit(f, idf) for f in found])
-    for _ in range(60):
-        q = toxicity.unit(draw(), idf)
-        but = int(rng.integers(0, 700))
-        got, want = index.nearest(*q, 15, but), full_scan(index, *q, 15, but)
-        assert np.allclose([s for s, _ in got], [s for s, _ in want])
+    found += found[:40] * 3  # ties
+    starts = np.cumsum([0, *map(len, found)])
+    index = toxicity.Index(n_terms, starts, np.array([t for e in found for t, _ in e]), np.array([w for e in found for _, w in e]))
+    for q in [draw() for _ in range(60)] + found[:40]:
+        but = int(rng.integers(0, len(found)))
+        places, cosines = index.nearest(np.array([t for t, _ in q], dtype=int), np.array([w for _, w in q]), 15, but)
+        want = full_scan(found, q, 15, but)
+        assert sorted(places.tolist()) == sorted(p for _, p in want)
+        assert np.allclose(cosines, [s for s, _ in want], atol=2e-9)
+
+
+def test_toxicity_votes_by_brute_force(spark):
+    """Scores from the documents' own words, weights, neighbours, votes and curve, without an index."""
+    rng = random.Random(17)
+    texts = [" ".join(rng.choice(WORDS) + str(rng.randint(0, 9)) for _ in range(rng.randint(0, 40))) + rng.choice(["", " scum idiot", " moron"]) for _ in range(150)] + ["the scum"] * 30
+    labels = {i: int(any(w in t for w in ("scum", "idiot", "moron")) or i % 31 == 0) for i, t in enumerate(texts) if i % 10 != 0}
+    model = toxicity.fit(docs_of(spark, texts), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    got = {r["doc_id"]: r for r in toxicity.score(docs_of(spark, texts), model).collect()}
+    known = [i for i in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    bags = [Counter(re.findall(r"[^\W_]+", t.lower())) for t in texts]
+    names, share = {w for i in known for w in bags[i]}, sum(labels[i] for i in known) / len(known)
+    weight = {}
+    for w in names:
+        bad, all_ = sum(labels[i] for i in known if w in bags[i]), sum(w in bags[i] for i in known)
+        odds = np.log((bad + toxicity.PRIOR * share) / (all_ - bad + toxicity.PRIOR * (1 - share))) - np.log(share / (1 - share))
+        weight[w] = (np.log((len(texts) + 1) / (sum(w in b for b in bags) + 1)) + 1) * (odds**2 + toxicity.FLOOR)
+
+    def vector(i):
+        v = {w: weight[w] * (1 + np.log(n)) for w, n in bags[i].items() if w in names}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = {i: vector(i) for i in range(len(texts))}
+
+    def vote(i, but=None):
+        near = sorted(((round(sum(x * vectors[e].get(w, 0) for w, x in vectors[i].items()), 9), e) for e in known if e != but), reverse=True)
+        near = [n for n in near if n[0] > 0 and n[0] >= near[min(15, len(near)) - 1][0]]
+        total = sum(c * c for c, _ in near)
+        return (sum(c * c * labels[e] for c, e in near) / total if total else share), {e for _, e in near}
+
+    a, b = toxicity.calibrate(np.array([vote(i, i)[0] for i in known]), np.array([labels[i] for i in known], dtype=float))
+    for i in range(len(texts)):
+        v, near = vote(i)
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-(a * v + b))), abs=1e-5)
+        assert set(got[i]["evidence"]) <= near
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, t) for i in range(60) for t in ("idiot " * i, "zzz")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    whole, n = toxicity._sample(docs, labels, 1000, 10**6)
+    assert n == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(60))  # a repeated id is one example
+    assert toxicity._sample(docs, labels, 7, 10**6)[0]["doc_id"].to_pylist() == whole["doc_id"].to_pylist()[:7]
+    some = toxicity._sample(docs, labels, 1000, 300)[0]
+    assert 0 < some.num_rows < n and some["doc_id"].to_pylist() == whole["doc_id"].to_pylist()[: some.num_rows]
 
 
 def test_toxicity_held_out(spark):
