@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm import caches
+from quillspark.llm import caches, exact_ids
 
 CACHE_LIMIT, WORDS, TOKENS = 500_000, 20_000, 1_000_000
 
@@ -152,7 +152,7 @@ caches.register("bpe", _codec.cache_clear)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return docs.select(*exact_ids.sent(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -160,7 +160,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got = codec(path, pattern).encode(batch["text"].tolist())
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": [np.frombuffer(g, "<u4").astype(np.int32) for g, _ in got]})
+            yield pd.DataFrame({"doc_id": exact_ids.received(batch), "ids": [np.frombuffer(g, "<u4").astype(np.int32) for g, _ in got]})
 
     return _texts(docs).mapInPandas(run, "doc_id long, ids array<int>")
 
@@ -170,9 +170,9 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids = [np.asarray(() if x is None else x, dtype="<u4").tobytes() for x in batch["ids"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "bytes": codec(path, pattern).decode(ids)})
+            yield pd.DataFrame({"doc_id": exact_ids.received(batch), "bytes": codec(path, pattern).decode(ids)})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, bytes binary")
+    return encoded.select(*exact_ids.sent(), "ids").mapInPandas(run, "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -185,7 +185,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 got = bpe.encode(part["text"].tolist())
                 back = bpe.decode([g for g, _ in got])
                 yield pd.DataFrame({
-                    "doc_id": part["doc_id"].astype("Int64"),
+                    "doc_id": exact_ids.received(part),
                     "n_tokens": [len(g) // 4 for g, _ in got],
                     "ids_sha256": [sha256(t.encode()).hexdigest() for _, t in got],
                     "decoded_sha256": [sha256(b).hexdigest() for b in back]})

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm import caches, scratch
+from quillspark.llm import caches, exact_ids, scratch
 from quillspark.llm.components import components
 
 SHINGLE, BANDS, ROWS, KEPT = 5, 28, 2, 3
@@ -209,9 +209,9 @@ def sketch(docs: DataFrame) -> DataFrame:
                 s = shingles(w)
                 sizes.append(len(s))
                 found.append(bands(s) if len(s) > KEPT else None)  # fewer: only equal texts reach 0.8
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "key": keys, "n": sizes, "bands": found})
+            yield pd.DataFrame({"doc_id": exact_ids.received(batch), "key": keys, "n": sizes, "bands": found})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(*exact_ids.sent(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInPandas(run, "doc_id long, key binary, n long, bands array<long>")
 
 

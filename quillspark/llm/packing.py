@@ -2,13 +2,14 @@
 
 Documents stay in the order of the input. Each input partition is one stream of tokens;
 a dynamic program chooses where to end windows of at most ``size`` tokens. Ends are
-document ends (free), sentence ends (a penalty) or, where neither lies within a window,
-a token inside a sentence (a larger one). With f[j] the least cost of a stream cut at j::
+document ends (free), sentence ends (a penalty) or, only where two such ends lie more than half a window
+apart, so that it is hardly a sentence, tokens between them (a larger one). With f[j] the least cost of a stream cut at j::
 
     f[j] = penalty(j) + size - j + min(f[i] + i : j - size <= i < j)
 
 The minimum slides over a monotone queue, so the program is linear in the candidates.
-The rest of a stream goes to sequences whose lengths are powers of two, which need no padding.
+The rest of a stream, less than a window, may also end sequences at lengths that are powers of two, which need no padding;
+a second program over its tokens chooses between such cuts, by the same penalties, and padding.
 
 No shuffle: a task reads its split, holds about ``BLOCK`` tokens and emits pieces. A lost
 task is repeated on the same rows in the same order and gives the same sequence ids.
@@ -19,6 +20,7 @@ an empty table gives no rows; input columns other than the id and the text are i
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -27,10 +29,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm import tokens
+from quillspark.llm import exact_ids, tokens
 
 BLOCK = 1 << 20
-#: What a cut costs, in tokens of padding. Candidates inside sentences stand ``size / STEPS`` apart.
+#: What a cut costs, in tokens of padding. Where tokens are candidates, they stand ``size / STEPS`` apart.
 SENTENCE_PENALTY, TOKEN_PENALTY, STEPS = 3.0, 10.0, 128
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -57,13 +59,7 @@ def cuts(ends: np.ndarray, penalties: np.ndarray, size: int) -> list[int]:
         queue.append(j)
     # Windows that reach the end: one without a charge for its padding.
     last = len(places) - 1
-    inside = [i for i in range(last - 1, -1, -1) if places[i] >= places[last] - size] if last < 4096 else []
-    if not inside:
-        i = last - 1
-        while i >= 0 and places[i] >= places[last] - size:
-            inside.append(i)
-            i -= 1
-    i = min(inside, key=lambda k: (best[k], -k))
+    i = min(range(bisect_left(places, places[last] - size), last), key=lambda k: (best[k], -k))
     chosen = [places[last]]
     while i > 0:
         chosen.append(places[i])
@@ -71,6 +67,22 @@ def cuts(ends: np.ndarray, penalties: np.ndarray, size: int) -> list[int]:
     return chosen[::-1]
 
 
+def rest_cuts(ends: np.ndarray, penalties: np.ndarray, length: int, size: int) -> list[int]:
+    """Ends, ``length`` included, of the rest's sequences: of lengths that are powers of two, or one that is padded."""
+    cost = dict(zip(ends.tolist(), penalties.tolist())) | {length: 0.0}
+    best, back = [0.0], [0]
+    for j in range(1, length + 1):
+        f, i = min((best[j - (1 << b)], j - (1 << b)) for b in range(j.bit_length()))
+        best.append(f + cost.get(j, TOKEN_PENALTY))
+        back.append(i)
+    if best[length] >= size - length:
+        return [length]
+    chosen = [length]
+    while back[chosen[-1]]:
+        chosen.append(back[chosen[-1]])
+    return chosen[::-1]
+
+
 class Stream:
     """Pieces of one partition's documents, in order."""
 
@@ -84,13 +96,11 @@ class Stream:
     def add(self, doc_id: int | None, ids: bytes, sentence_ends: np.ndarray) -> None:
         n = len(ids) // 4
         places = sentence_ends[(sentence_ends > 0) & (sentence_ends < n)]
-        # Inside sentences, a place every few tokens will do.
+        # Tokens between ends that lie far apart; a place every few will do.
         step = max(1, self.size // STEPS)
-        grid = np.arange(step, n, step)
         near = np.concatenate(([0], places, [n]))
-        after = near[np.searchsorted(near, grid, side="right") - 1]
-        before = near[np.searchsorted(near, grid, side="left")]
-        hard_places = grid[(grid - after >= step) & (before - grid >= step)]
+        far = np.flatnonzero(np.diff(near) > self.size // 2)
+        hard_places = np.concatenate([np.arange(near[i] + step, near[i + 1], step) for i in far]) if len(far) else near[:0]
         at = np.concatenate((places, hard_places, [n])).astype(np.int64)
         cost = np.concatenate((np.full(len(places), SENTENCE_PENALTY), np.full(len(hard_places), TOKEN_PENALTY), [0.0]))
         order = np.argsort(at, kind="stable")
@@ -104,13 +114,12 @@ class Stream:
         if not self.length:
             return []
         chosen = cuts(np.concatenate(self.ends), np.concatenate(self.penalties), self.size)
+        ends, penalties = np.concatenate(self.ends), np.concatenate(self.penalties)
         if final:
-            rest, at = chosen[-1] - (chosen[-2] if len(chosen) > 1 else 0), chosen[-2] if len(chosen) > 1 else 0
             chosen = chosen[:-1]
-            while rest:
-                step = 1 << (rest.bit_length() - 1)
-                at, rest = at + step, rest - step
-                chosen.append(at)
+            at = chosen[-1] if chosen else 0
+            later = ends > at
+            chosen += [at + c for c in rest_cuts(ends[later] - at, penalties[later], self.length - at, self.size)]
         elif len(chosen) > 1:
             chosen = chosen[:-1]
         else:
@@ -134,7 +143,6 @@ class Stream:
         if kept:
             doc_id, ids, gone = kept[0]
             kept[0] = (doc_id, ids, gone + lo - base)
-        ends, penalties = np.concatenate(self.ends), np.concatenate(self.penalties)
         later = ends > lo
         self.docs, self.ends, self.penalties = kept, [ends[later] - lo] if later.any() else [], [penalties[later]] if later.any() else []
         self.length -= lo
@@ -149,20 +157,25 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1) ->
         enc = tokens.encoder(tokenizer, tokens.WORD_CHUNKS)
         stream = None
         names = [x.split()[0] for x in SCHEMA.split(", ")]
+
+        def pieces(final: bool) -> pd.DataFrame:
+            columns = list(zip(*stream.flush(final))) or [()] * len(names)
+            return pd.DataFrame({k: exact_ids.column(c) if k == "doc_id" else list(c) for k, c in zip(names, columns)})
+
         for batch in batches:
-            doc_ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
+            doc_ids, texts = exact_ids.listed(batch), batch["text"].tolist()
             if stream is None and texts:
                 stream = Stream(size, int(batch["part"].iloc[0]) << 33)
             for doc_id, (words, ids) in zip(doc_ids, map(enc.encode, texts)):
                 sizes = np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))) // 4
                 ended = np.fromiter((w[-1] in ".!?…" for w in words), dtype=bool, count=len(words))
-                stream.add(None if doc_id != doc_id else doc_id, b"".join(ids) + tail, sizes[ended])
+                stream.add(doc_id, b"".join(ids) + tail, sizes[ended])
                 if stream.length >= BLOCK:
-                    yield pd.DataFrame(stream.flush(False), columns=names).astype({"doc_id": "Int64"})
+                    yield pieces(False)
         if stream is not None:
-            yield pd.DataFrame(stream.flush(True), columns=names).astype({"doc_id": "Int64"})
+            yield pieces(True)
 
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        *exact_ids.sent(),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.spark_partition_id().cast("long").alias("part")).mapInPandas(run, SCHEMA)

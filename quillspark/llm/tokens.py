@@ -1,7 +1,8 @@
 """Token ids of whole texts by a public tokenizer file, with a cache of chunks.
 
 Both tokenizer files split a text before any merge, and no split crosses the chunk borders
-used here, so a text's ids are its chunks' ids in a row. Chunks repeat; each distinct one goes
+used here, so a text's ids are its chunks' ids in a row. As in a plain call of the library, an added token of the file
+that is met in a text, such as an end mark, is a chunk of its own and has its reserved id. Chunks repeat; each distinct one goes
 through the tokenizers library once per worker while the bounded cache holds it; one that
 is a single word to the tokenizer goes straight to the library's merge model.
 Ids travel as little-endian unsigned 32-bit bytes.
@@ -48,7 +49,11 @@ class ChunkEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("an added token of this file is not matched as it stands")
+        self.added = [t.content for t in added]
+        self.marks = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))).finditer
         self.model = self.tokenizer.model
         self.split = re.compile(chunks).findall
         self.lower = chunks == WORD_CHUNKS
@@ -72,7 +77,14 @@ class ChunkEncoder(dict):
         return value
 
     def encode(self, text: str) -> tuple[list[str], list[bytes]]:
-        chunks = self.split(text)
+        if not any(t in text for t in self.added):
+            chunks = self.split(text)
+        else:
+            chunks, at = [], 0
+            for m in self.marks(text):
+                chunks += [*self.split(text[at : m.start()]), m[0]]
+                at = m.end()
+            chunks += self.split(text[at:])
         return chunks, list(map(self.__getitem__, chunks))
 
 

@@ -104,11 +104,10 @@ def test_chunks_give_the_whole_text(name, chunks):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path(name))
-    whole.encode_special_tokens = True
     mine = tokens.ChunkEncoder(public_tokenizers.path(name), chunks, limit=50)
 
     @settings(max_examples=400, deadline=None)
-    @given(st.one_of(st.text(max_size=30), st.text(alphabet=ODD, max_size=30), st.sampled_from(["<|endoftext|> x", "don't we'll", "a  b\n\n c "])))
+    @given(st.one_of(st.text(max_size=30), st.text(alphabet=ODD, max_size=30), st.sampled_from(["<|endoftext|> x", "don't we'll", "a  b\n\n c "]), st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", " ", "a", "é", ".", "\n"]), max_size=9).map("".join)))
     def check(t):
         t = t.encode("utf-8", "ignore").decode()
         assert b"".join(mine.encode(t)[1]) == np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -137,13 +136,19 @@ def test_cuts_are_least():
         assert cut_cost(ends, pens, size, got) == pytest.approx(best)
 
 
+def library_ids(name, texts, end):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path(name))
+    return [np.array([*whole.encode(t or "", add_special_tokens=False).ids, end], dtype="<u4").tobytes() for t in texts]
+
+
 def test_packing(spark, texts):
+    texts = [*texts, "a <|endoftext|>b. <|startoftext|>"]
     path = public_tokenizers.path("word_bpe_49k.json")
     got = packing.pack(docs_of(spark, texts, length="clash"), path, size=256).toPandas()
-    enc = tokens.ChunkEncoder(path, tokens.WORD_CHUNKS)
-    for i, t in enumerate(texts):
+    for i, want in enumerate(library_ids("word_bpe_49k.json", texts, 1)):
         x = got[got.doc_id == i].sort_values("start")
-        want = b"".join(enc.encode(t or "")[1]) + b"\1\0\0\0"
         assert b"".join(x["ids"]) == want and set(x["doc_tokens"]) == {len(want) // 4}
         assert x["start"].tolist() == [0, *np.cumsum(x["length"])[:-1]]
     padding = 0
@@ -156,6 +161,64 @@ def test_packing(spark, texts):
     assert packing.pack(empty(spark), path).count() == 0
 
 
+def test_cuts_lie_at_ends_where_a_window_has_one(spark):
+    rng = random.Random(21)
+    texts = [". ".join(prose(rng, rng.randint(3, 25)) for _ in range(rng.randint(1, 30))) + "." for _ in range(80)]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = packing.pack(docs_of(spark, texts).coalesce(1), path, size=256).toPandas()
+    stop = {w.lower(): i for w, i in packing.tokens.encoder(path, packing.tokens.WORD_CHUNKS).tokenizer.get_vocab().items()}[".</w>"]
+    last = {s: x.sort_values("offset").iloc[-1] for s, x in got.groupby("sequence_id")}
+    full = sorted(s for s in last)[:-9]  # but for the rest of the stream
+    for s in full:
+        r = last[s]
+        ids = np.frombuffer(r["ids"], dtype="<u4")
+        assert r["start"] + r["length"] == r["doc_tokens"] or ids[-1] == stop
+    assert len(full) > 20
+
+
+def test_rest_cuts_are_least():
+    rng = random.Random(4)
+    for _ in range(60):
+        size, n = 16, rng.randint(1, 15)
+        ends = {e: float(rng.choice([0, 3])) for e in rng.sample(range(1, n + 1), rng.randint(0, n))}
+
+        def cost(lengths):
+            at, total = 0, 0.0
+            for x in lengths:
+                at += x
+                total += 0 if at == n else ends.get(at, packing.TOKEN_PENALTY)
+            return total
+
+        def splits(k):
+            return [[]] if not k else [[x, *r] for x in (1, 2, 4, 8) if x <= k for r in splits(k - x)]
+
+        best = min([*map(cost, splits(n)), size - n])
+        got = packing.rest_cuts(np.array(sorted(ends)), np.array([ends[e] for e in sorted(ends)]), n, size)
+        lengths = np.diff([0, *got]).tolist()
+        assert sum(lengths) == n and (size - n if got == [n] and n & (n - 1) else cost(lengths)) == best
+
+
+def test_ids_beyond_doubles(spark):
+    """Null ids beside ids that no double holds."""
+    ids = [9007199254740993, None, 9007199254740995, -9007199254740993, 5]
+    rows = spark.createDataFrame([(i, f"text {k} of these words here and there") for k, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    path = f"{scratch.root(spark)}/ids-test"
+    token_files.write(rows, public_tokenizers.path("byte_bpe_50k.json"), path)
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe.encode(rows, ranks, pattern)
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    outs = [packing.pack(rows, public_tokenizers.path("word_bpe_49k.json")), token_files.read(spark, path), encoded, bpe.decode(encoded, ranks, pattern),
+            bpe.round_trip(rows, ranks, pattern), near_dedup.near_dedup(rows), secret_scan.scan_secrets(rows), sharding.shard_documents(rows),
+            quality_rules.quality_rules(rows), toxicity.score(rows, toxicity.fit(rows, labels))]
+    for out in outs:
+        assert sorted((r["doc_id"] for r in out.select("doc_id").distinct().collect()), key=str) == sorted(ids, key=str)
+    scratch.drop(spark, path)
+    vectors = spark.createDataFrame([(i, [1.0, float(k)], 0) for k, i in enumerate(ids)], "vec_id long, embedding array<double>, label int")
+    assert sorted((r["vec_id"] for r in embedding_dedup.embedding_dedup(vectors).collect()), key=str) == sorted(ids, key=str)
+    turns = spark.createDataFrame([(i, 0, "user", "x") for i in ids], "conv_id long, turn int, role string, text string")
+    assert sorted((r["conv_id"] for r in chat_format.format_chat(turns).collect()), key=str) == sorted(ids, key=str)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.just(0), st.integers(0, 3), st.integers(0, 60000), st.integers(0, 2**60 - 1)), max_size=400), st.integers(1, 50))
 def test_simple8b(ids, repeat):
@@ -168,26 +231,31 @@ def test_simple8b_refuses_wide_ids():
         token_files.encode(np.array([1 << 60], dtype=np.uint64))
 
 
-def test_token_files(spark, texts):
-    path, enc = public_tokenizers.path("byte_bpe_50k.json"), None
-    enc = tokens.ChunkEncoder(path, tokens.BYTE_CHUNKS)
-    rows = [(i * 7 % len(texts), t) for i, t in enumerate(texts)] + [(3, "again"), (None, "null id")]
+@pytest.mark.parametrize("parts", [1, 5, 30])
+def test_token_files(spark, texts, parts):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i * 7 % len(texts), t) for i, t in enumerate(texts)] + [(3, "again"), (None, "null id"), (4, "x <|endoftext|>\n")]
+    rows += [(None, f"null {i}") for i in range(20)] + [(20, f"hot {i}") for i in range(40)]
     out = f"{scratch.root(spark)}/files-test"
-    token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), path, out, parts=5)
+    token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), path, out, parts=parts)
     got = sorted(((r["start"], r["doc_id"], r["n_tokens"], bytes(r["ids"])) for r in token_files.read(spark, out).collect()), key=lambda r: r[0])
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-    start = 0
-    for (at, doc, n, ids), (i, t) in zip(got, order):
-        want = b"".join(enc.encode(t or "")[1]) + bytes(4)
-        assert (at, doc, n, ids) == (start, i, len(want) // 4, want)
-        start += n
-    assert len(got) == len(rows)
+    ids = [r[1] for r in got]
+    assert ids == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+    assert [r[0] for r in got] == [0, *np.cumsum([r[2] for r in got])[:-1]]
+    want = Counter(zip((r[0] for r in rows), library_ids("byte_bpe_50k.json", [t for _, t in rows], 0)))
+    assert Counter((r[1], r[3]) for r in got) == want and all(4 * r[2] == len(r[3]) for r in got)
     scratch.drop(spark, out)
     token_files.write(empty(spark), path, out)
     assert token_files.read(spark, out).count() == 0
     scratch.drop(spark, out)
 
 
+def test_ranks_by_stretches(spark):
+    edges = sorted(random.Random(1).sample(range(1000), 200))
+    got = spark.range(-5, 1005).select("id", token_files._rank(edges, F.col("id")).alias("r")).collect()
+    assert all(r["r"] == sum(e <= r["id"] for e in edges) for r in got)
+
+
 # --- byte-level BPE
 
 def test_bpe_equals_the_library(spark, texts):
