@@ -33,7 +33,7 @@ def normalize(text: str) -> str:
 
 @lru_cache(maxsize=1)
 def _latin() -> tuple[str, str, str]:
-    """Letters to map, what they map to, and a class of all characters the map is right for."""
+    """Letters to map, what they map to, and a class of all characters the map is not right for."""
     plain, mapped = [], {}
     for c in map(chr, [*range(0xC0, 0x180), *range(0x2010, 0x2016), *range(0x2018, 0x201F), 0x2020, 0x2022, 0x20AC]):
         folded = normalize(c)
@@ -41,19 +41,26 @@ def _latin() -> tuple[str, str, str]:
             plain.append(c)
             if folded != c.lower():
                 mapped[c.lower()] = folded
-    return "".join(mapped), "".join(mapped.values()), "[^\\x00-\\x7F" + "".join(plain) + "]"
+    # A few ranges: a class of some two hundred letters costs more to test than all the folding.
+    ranges: list[list[str]] = []
+    for c in plain:
+        if ranges and ord(c) == ord(ranges[-1][1]) + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(mapped), "".join(mapped.values()), "[^\\x00-\\x7F" + "".join(a if a == b else f"{a}-{b}" for a, b in ranges) + "]"
 
 
 def fold(text: Column) -> Column:
-    """``normalize`` of a column; null stays null."""
+    """``normalize`` of a column; null stays null. The guard is evaluated once: what it lets through is what is not null after it."""
     source, target, odd = _latin()
 
     @F.pandas_udf("string")
     def full(rest: pd.Series) -> pd.Series:
         return rest.map(lambda t: None if t is None else normalize(t))
 
-    other = text.rlike(odd)
-    return F.when(other, full(F.when(other, text))).otherwise(F.translate(F.lower(text), source, target))
+    rest = F.when((F.octet_length(text) > F.length(text)) & text.rlike(odd), text)
+    return F.coalesce(full(rest), F.translate(F.lower(text), source, target))
 
 
 def fold_latin(text: Column) -> Column:

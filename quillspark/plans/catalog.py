@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import header, paths, split, text
 from quillspark.functions.fixed import END_MARKER, LANGUAGES, START_MARKER, STOP_WORDS
 from quillspark.operators import analytics, control, index, metadata, search
+from quillspark.sources.spread import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,7 +37,7 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, sf, "documents").select(F.col("doc_id").alias("book_id"), F.col("text").alias("body"))
+    return spread(_table(spark, sf, "documents").select(F.col("doc_id").alias("book_id"), F.col("text").alias("body")))
 
 
 def _books(spark: SparkSession, sf: str) -> DataFrame:

@@ -57,3 +57,14 @@ def test_filters_and_positions(spark):
 @pytest.mark.parametrize("raw", ["the of", "12", "x", "", "!!"])
 def test_queries_without_terms(raw):
     assert text.query_terms(raw) == []
+
+
+def test_guard_is_evaluated_once(spark):
+    plan = text.token_stats(spark.createDataFrame([(1, "é")], "book_id long, body string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("‐-―") == 1
+
+
+def test_fold_of_every_plane(spark):
+    rows = [(c, "a" + chr(c) + "Z") for c in [*range(0x80, 0x3000), *range(0xF900, 0xFFFE), *range(0x1D400, 0x1D800)]]
+    got = spark.createDataFrame(rows, "c int, t string").select("t", text.fold(F.col("t")).alias("f")).collect()
+    assert all(r["f"] == text.normalize(r["t"]) for r in got)
