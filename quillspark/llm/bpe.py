@@ -6,6 +6,12 @@ tokens with the merge table and contracts, in every word at once, the leftmost p
 until no pair of a word merges. Each distinct word is encoded once while the bounded cache
 holds it. Decoding: an ordered aggregation over a document's token rows concatenates bytes.
 
+A word of more than ``LONG`` bytes would need a step for each merge. Whatever swallows a token before its pair merges is
+a token itself, and no longer than the longest token that is found anywhere in the word, its reach. So a pair whose rank
+is least within the reach on both sides merges at once with all others like it, equal neighbours in turn from the left,
+and a word needs some tens of steps. The argument holds while no merge makes a pair of lower rank than its own; a
+word where that happens is done again one pair at a time.
+
 No shuffle; a task sees one Arrow batch at a time and holds at most ``TOKENS`` rows of
 it in the database. The rank file is small and fixed; nothing grows with the input.
 
@@ -32,7 +38,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import caches, exact_ids
 
-CACHE_LIMIT, WORDS, TOKENS = 500_000, 20_000, 1_000_000
+CACHE_LIMIT, WORDS, TOKENS, LONG = 500_000, 20_000, 1_000_000, 200
 
 CONTRACT = """
 WITH RECURSIVE t AS (
@@ -49,6 +55,33 @@ WITH RECURSIVE t AS (
 SELECT w, toks AS ids, array_to_string(toks, ' ') AS text FROM t WHERE NOT live
 """
 
+CONTRACT_LONG = """
+WITH RECURSIVE t AS (
+  SELECT w, any_value(reach) AS reach, list(tok ORDER BY pos) AS toks, list(pos ORDER BY pos) AS starts, list(-1 ORDER BY pos) AS ranks, true AS live, false AS odd
+  FROM bytes_of JOIN reaches USING (w) GROUP BY w
+  UNION ALL
+  SELECT w, any_value(reach), list(tok ORDER BY i) FILTER (NOT gone), list(start ORDER BY i) FILTER (NOT gone), list(rank ORDER BY i) FILTER (NOT gone), bool_or(merged), any_value(odd)
+  FROM (
+    SELECT r.w, r.reach, r.i, r.start, coalesce(c.rank, r.tok) AS tok, coalesce(c.rank, r.rank) AS rank, r.odd OR coalesce(o.odd, false) AS odd,
+           c.rank IS NOT NULL AS merged, coalesce(lag(c.rank) OVER (PARTITION BY r.w ORDER BY r.i), -1) >= 0 AS gone
+    FROM (SELECT w, reach, odd, unnest(range(len(toks))) AS i, unnest(toks) AS tok, unnest(starts) AS start, unnest(ranks) AS rank FROM t WHERE live AND NOT odd) r
+    LEFT JOIN (
+      SELECT w, i, rank FROM (
+        SELECT *, (row_number() OVER run - 1) % 2 = 0 AND first_value(rank = least) OVER run AS due FROM (
+          SELECT *, i - row_number() OVER (PARTITION BY w, rank ORDER BY i) AS island FROM (
+            SELECT p.w, p.i, m.rank, min(m.rank) OVER (PARTITION BY p.w ORDER BY p.at RANGE BETWEEN p.reach PRECEDING AND p.reach FOLLOWING) AS least
+            FROM (SELECT w, reach, unnest(range(len(toks) - 1)) AS i, unnest(toks[:-2]) AS l, unnest(toks[2:]) AS r, unnest(starts[2:]) AS at FROM t WHERE live AND NOT odd) p
+            JOIN merges m ON m.l = p.l AND m.r = p.r))
+        WINDOW run AS (PARTITION BY w, rank, island ORDER BY i))
+      WHERE due AND rank = least) c ON c.w = r.w AND c.i = r.i
+    LEFT JOIN (
+      SELECT p.w, true AS odd
+      FROM (SELECT w, unnest(toks[:-2]) AS l, unnest(toks[2:]) AS r, unnest(ranks[:-2]) AS a, unnest(ranks[2:]) AS b FROM t WHERE live AND NOT odd) p
+      JOIN merges m ON m.l = p.l AND m.r = p.r WHERE m.rank < greatest(p.a, p.b) GROUP BY p.w) o ON o.w = r.w)
+  GROUP BY w)
+SELECT w, toks AS ids, array_to_string(toks, ' ') AS text, odd FROM t WHERE odd OR NOT live
+"""
+
 CONCATENATE = """
 SELECT doc, unhex(array_to_string(list(hex ORDER BY pos), '')) AS bytes FROM rows_of JOIN vocabulary USING (id) GROUP BY doc
 """
@@ -59,6 +92,7 @@ class RankBPE:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.words = regex.compile(pattern).findall
+        self.beginnings = {t[:n] for t in self.ranks for n in range(2, len(t) + 1)}
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         merges = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items()
                   for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
@@ -77,12 +111,15 @@ class RankBPE:
             self.cache.clear()
             self.cache.update(kept)
             new = words.difference(self.cache)
-        hard, raw, size = [], [], 0
+        hard, raw, size, long = [], [], 0, []
         for word in new:
             b = word.encode()
             if (rank := self.ranks.get(b)) is not None:
                 self.cache[word] = (rank.to_bytes(4, "little"), str(rank))
                 continue
+            if len(b) > LONG:
+                long.append(word)
+                continue
             hard.append(word)
             raw.append(b)
             size += len(b)
@@ -91,20 +128,42 @@ class RankBPE:
                 hard, raw, size = [], [], 0
         if hard:
             self._contract(hard, raw)
+        for word in long:  # one at a time: its tokens alone may fill the database
+            b = word.encode()
+            self.db.register("reaches", pa.table({"w": pa.array([0], pa.int32()), "reach": pa.array([self.reach(b)], pa.int32())}))
+            if self._contract([word], [b], CONTRACT_LONG):
+                self._contract([word], [b])
+
+    def reach(self, word: bytes) -> int:
+        """The length of the longest token that is found in the word."""
+        longest = 1
+        for at in range(len(word)):
+            end = at + 2
+            while end <= len(word) and word[at:end] in self.beginnings:
+                if end - at > longest and word[at:end] in self.ranks:
+                    longest = end - at
+                end += 1
+        return longest
 
-    def _contract(self, words: list[str], raw: list[bytes]) -> None:
+    def _contract(self, words: list[str], raw: list[bytes], query: str = CONTRACT) -> bool:
+        """Encode words into the cache; true if the query gave one up."""
         lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
         starts = np.cumsum(lengths) - lengths
         self.db.register("bytes_of", pa.table({
             "w": pa.array(np.repeat(np.arange(len(raw)), lengths), pa.int32()),
             "pos": pa.array(np.arange(lengths.sum()) - np.repeat(starts, lengths), pa.int32()),
             "tok": pa.array(self.single[np.frombuffer(b"".join(raw), dtype=np.uint8)])}))
-        for batch in self.db.sql(CONTRACT).to_arrow_table().to_batches():
+        odd = False
+        for batch in self.db.sql(query).to_arrow_table().to_batches():
+            if query is CONTRACT_LONG and batch.column("odd").to_pylist()[0]:
+                odd = True
+                continue
             ids = batch.column("ids")
             flat = ids.values.to_numpy().astype("<u4").tobytes()
             ends = (4 * ids.offsets.to_numpy().astype(np.int64)).tolist()
             for w, lo, hi, text in zip(batch.column("w").to_pylist(), ends, ends[1:], batch.column("text").to_pylist()):
                 self.cache[words[w]] = (flat[lo:hi], text)
+        return odd
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each text its ids (little-endian unsigned 32-bit), and as decimal text."""

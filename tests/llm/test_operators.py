@@ -278,6 +278,48 @@ def test_bpe_equals_the_library(spark, texts):
     assert bpe.round_trip(empty(spark), path, public_tokenizers.PATTERN).count() == 0
 
 
+def ranks_of(path):
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+def test_long_words_equal_the_library():
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    codec = bpe.RankBPE(path, public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks_of(path), special_tokens={})
+    rng = random.Random(23)
+    words = ["".join(rng.choices(a, k=n)) for a in ("abcdefghijklmnopqrstuvwxyz", "aeinst", "ab", "éèüab", "中文字") for n in (250, 1500)]
+    words += ["a" * 30_000, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=100_000))]
+    for word, (_, text) in zip(words, codec.encode(words)):
+        assert text == " ".join(map(str, library.encode_ordinary(word))), word[:40]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_long_words_of_unordered_ranks(tmp_path, seed):
+    """Merges that make pairs of lower rank than their own: the word is done again, one pair at a time."""
+    import tiktoken
+
+    rng = random.Random(seed)
+    tokens_ = {bytes([i]) for i in range(256)}
+    while len(tokens_) < 300:
+        tokens_.add("".join(rng.choices("abc", k=rng.randint(2, 5))).encode())
+    multi = [t for t in tokens_ if len(t) > 1]
+    rng.shuffle(multi)
+    ranks = {bytes([i]): i for i in range(256)} | {t: 256 + i for i, t in enumerate(multi)}
+    path = tmp_path / "ranks"
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" " + str(r).encode() for t, r in ranks.items()))
+    codec = bpe.RankBPE(str(path), public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("odd", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    gave_up, contract = [], codec._contract
+    codec._contract = lambda words, raw, query=bpe.CONTRACT: gave_up.append(contract(words, raw, query)) or gave_up[-1]
+    words = ["".join(rng.choices("abcd", k=400)) for _ in range(8)]
+    for word, (_, text) in zip(words, codec.encode(words)):
+        assert text == " ".join(map(str, library.encode_ordinary(word)))
+    assert any(gave_up)
+
+
 # --- secrets
 
 def base_spans(t):
