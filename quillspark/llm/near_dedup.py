@@ -19,16 +19,18 @@ after the first two rounds, the shingles that only one of the remaining document
 bound what it can share with any partner of its bucket. Sizes and least documents are partial aggregates, returned by an
 equi-join that adaptive execution splits; no bucket is gathered into a task.
 
-Recall is that of the bands: with 28 bands of 2 sketches of 3 shingles, a pair at exactly 0.8
-is missed with a chance of about 2 in 10,000, above it less.
+Recall is exact where the shorter text has at most ``SHORT`` shingles: such texts meet by the prefix filter, since
+sampling from few shingles misses more. Above, it is that of the bands: with 28 bands of 2 sketches of 3 shingles, a pair
+at exactly 0.8 is missed with a chance of about 2 in 10,000, above it less.
 
 Defined results: a text without words is like equal texts only; one of fewer than five
-words is one shingle; rows with the same doc_id are one document; a null doc_id is alone; an empty table
+words is one shingle; rows with the same doc_id are one document and one row of the result, the least of their texts; a null doc_id is alone; an empty table
 gives no rows; other columns are ignored here and kept by ``drop_duplicates``.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -46,6 +48,8 @@ from quillspark.llm import caches, exact_ids, scratch
 from quillspark.llm.components import components
 
 SHINGLE, BANDS, ROWS, KEPT = 5, 28, 2, 3
+#: Up to so many shingles, candidates are found exactly.
+SHORT = 32
 #: So many documents of a bucket, about, lead in a round.
 LEADERS = 64
 WORD_CACHE = 150_000
@@ -133,6 +137,23 @@ def bands(s: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def prefix(s: np.ndarray, least: float) -> np.ndarray:
+    """Keys of a short document: two that reach ``least`` share one of their shingles that come first by hash (the prefix filter)."""
+    first = np.sort(labelled(s))[: len(s) - math.ceil(least * len(s) - 1e-9) + 1]
+    return _mix(first + _PLACE[14]).view(np.int64)
+
+
+def meeting(s: np.ndarray, least: float) -> np.ndarray | None:
+    """Where a document meets candidates. Of fewer than ``KEPT`` + 1 shingles, only equal texts can reach 0.8."""
+    n = len(s)
+    if n <= KEPT and least > KEPT / (KEPT + 1):
+        return None
+    found = [prefix(s, least)] if n <= max(KEPT, SHORT) / least else []
+    if n > max(KEPT, SHORT):
+        found.append(bands(s))
+    return np.unique(np.concatenate(found)) if found else None
+
+
 def aligned(a: np.ndarray, b: np.ndarray, stray: int, need: float = 0.0) -> int:
     """Longest common subsequence of a and b that stays within ``stray`` of the diagonal.
 
@@ -163,7 +184,8 @@ def aligned(a: np.ndarray, b: np.ndarray, stray: int, need: float = 0.0) -> int:
     there = np.searchsorted(ranked, values[x], side="right") - np.searchsorted(ranked, values[x], side="left")
     if np.minimum(many[x], there).sum() < need:
         return 0
-    # Repeated shingles: bit-parallel, a bit for each place of b, places off the band masked out.
+    # Repeated shingles: bit-parallel over the band alone, which moves by a place a row. A clear bit is a step up; those
+    # that leave the band at its low end are counted.
     head = 0
     for same in (a[: len(b)] == b[: len(a)]).tolist():
         if not same:
@@ -171,17 +193,28 @@ def aligned(a: np.ndarray, b: np.ndarray, stray: int, need: float = 0.0) -> int:
         head += 1
     if head == min(len(a), len(b)):
         return head
-    masks: dict[int, int] = {}
+    places: dict[int, list[int]] = {}
     for j, v in enumerate(b[head:].tolist()):
-        masks[v] = masks.get(v, 0) | 1 << j
-    full = (1 << (len(b) - head)) - 1
-    row, band = full, (1 << (2 * stray + 1)) - 1
+        places.setdefault(v, []).append(j)
+    windows = {v: [0, -stray, 0] for v in places}  # the value's places in the band, the band's low end, places seen
+    top = 1 << 2 * stray
+    full = row = 2 * top - 1
     for i, v in enumerate(a[head:].tolist()):
-        if m := masks.get(v):
-            u = row & m & (band << i >> stray)
-            if u:
-                row = (row + u | row - u) & full
-    return head + len(b) - head - row.bit_count()
+        if i:
+            head += not row & 1
+            row = row >> 1 | top
+        if v not in windows:
+            continue
+        mask, low, seen = windows[v]
+        mask, low, at = mask >> (i - stray - low), i - stray, places[v]
+        while seen < len(at) and at[seen] <= i + stray:
+            if at[seen] >= low:
+                mask |= 1 << (at[seen] - low)
+            seen += 1
+        windows[v] = [mask, low, seen]
+        if u := row & mask:
+            row = (row + u | row - u) & full
+    return head + 2 * stray + 1 - row.bit_count()
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = 0.8) -> bool:
@@ -197,7 +230,7 @@ def _shingles_of(text: str) -> np.ndarray:
     return shingles(words(text))
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, key (equal for equal words), n (shingles), bands."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         caches.claim("near_dedup")
@@ -208,7 +241,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 keys.append(blake2b((" ".join(w) if w else "\0" + text).encode("utf-8", "surrogatepass"), digest_size=16).digest())
                 s = shingles(w)
                 sizes.append(len(s))
-                found.append(bands(s) if len(s) > KEPT else None)  # fewer: only equal texts reach 0.8
+                found.append(meeting(s, least) if len(s) else None)
             yield pd.DataFrame({"doc_id": exact_ids.received(batch), "key": keys, "n": sizes, "bands": found})
 
     rows = docs.select(*exact_ids.sent(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -244,6 +277,17 @@ def _unshared(active: DataFrame, docs: DataFrame) -> DataFrame:
     return seen.where("doc = other").groupBy("doc").agg(F.count("*").alias("alone"))
 
 
+def _single(docs: DataFrame) -> DataFrame:
+    """doc_id, text; the least text of an id that several rows have. Rows with a null id stay."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    often = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
+    if often.isEmpty():
+        return rows
+    often, _ = scratch.table(often, "repeated-ids", narrow=True)
+    one = rows.join(often, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return scratch.table(rows.join(often, "doc_id", "left_anti").unionByName(one), "single")[0]
+
+
 def _open(rows: DataFrame) -> DataFrame:
     """The rows of buckets that span several components."""
     spans = rows.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
@@ -253,8 +297,9 @@ def _open(rows: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, class_id (least doc_id of its class) and kept, for every row."""
     spark = docs.sparkSession
+    docs = _single(docs)
     with scratch.batches(spark, 1000):
-        all_docs, _ = scratch.table(sketch(docs), "sketches")
+        all_docs, _ = scratch.table(sketch(docs, least), "sketches")
     reps = all_docs.where("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"))
     reps, _ = scratch.table(reps, "reps", narrow=True)
     chosen = all_docs.where("bands IS NOT NULL").join(reps, (all_docs["key"] == reps["key"]) & (all_docs["doc_id"] == reps["rep"]), "left_semi")
@@ -293,7 +338,7 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
         pairs = pairs.select(F.greatest("doc", "leader").alias("doc"), F.least("doc", "leader").alias("leader")).distinct()
         pairs, pairs_path = scratch.table(pairs, "pairs", narrow=True)
         with scratch.batches(spark, 1000):
-            found, found_path = scratch.table(_verify(pairs, docs, least), "found", narrow=True)
+            found, found_path = scratch.table(_verify(pairs, docs, least), "found")
         if not found.isEmpty():
             links = found.select(F.col("doc").alias("u"), F.col("leader").alias("v"))
             roots = components(links.unionByName(roots.select(F.col("id").alias("u"), F.col("component").alias("v"))))

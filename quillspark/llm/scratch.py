@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a fresh temporary one if unset."""
+    """The shared folder of ``spark.checkpoint.dir``; a fresh temporary one if unset, which only a local session may do."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or spark.conf.get("quillspark.scratch.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("quillspark.scratch.dir", named)
     return named
@@ -29,7 +31,8 @@ def table(df: DataFrame, name: str, narrow: bool = False) -> tuple[DataFrame, st
     """Write ``df`` to a new scratch table; the table read back, and its path.
 
     ``narrow`` is for tables of a few numbers a row: at most two files for each core, however many
-    shuffle partitions there are, since every file costs the store several calls.
+    shuffle partitions there are, since every file costs the store several calls. The stage that computes the table then runs
+    in so many tasks, so it is for JVM-side joins and aggregations only, never above Python work.
     """
     spark = df.sparkSession
     if narrow:

@@ -466,6 +466,37 @@ def test_alignment_within_the_band():
         assert got == (9 * exact >= 4 * n), (a, b)
 
 
+def test_alignment_of_long_repeats():
+    """A band's width a row, not the text's: a hundred thousand shingles, most of them repeated."""
+    rng = random.Random(5)
+    a = np.array([rng.randint(0, 40) for _ in range(100_000)], dtype=np.uint64)
+    b = np.delete(a, rng.sample(range(len(a)), 300))
+    assert near_dedup.aligned(a, b, 400, 0.0) == len(b)
+    assert near_dedup.similar(a, b) and not near_dedup.similar(a, a[::-1].copy())
+
+
+def test_short_texts_meet_exactly(spark):
+    """Every pair of short texts at 0.8 or more is a candidate, whatever the hashes."""
+    rng = random.Random(31)
+    texts = []
+    for _ in range(150):
+        w = prose(rng, rng.randint(8, 44)).split()
+        texts += [" ".join(w), " ".join([*w, "tail"][rng.randint(0, 1):]), " ".join([*w[:-1], "end"])]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(docs_of(spark, texts)).collect()}
+    g = [grams(t) for t in texts]
+    edges = [(a, b) for k in range(0, len(texts), 3) for a in range(k, k + 3) for b in range(k, a) if 9 * lcs(g[a], g[b]) >= 4 * (len(g[a]) + len(g[b]))]
+    want = joined(edges)
+    assert len(edges) > 150 and got == {i: want.get(i, i) for i in range(len(texts))}
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    rng = random.Random(33)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(1, "z " + prose(rng, 60)), (1, "a " + a), (2, a), (3, b), (3, b), (None, a), (None, a)]
+    got = sorted(map(tuple, near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, 1, True), (2, 1, False), (3, 3, True), (None, None, True), (None, None, True)], key=str)
+
+
 def test_order_min_hash_respects_order():
     rng = random.Random(1)
     w = prose(rng, 200).split()
