@@ -6,15 +6,17 @@ every row is assigned. With unit vectors, two within a cosine of t lie within
 e = sqrt(2 - 2t) of each other; if x is nearest to centroid c and y to d, then
 y.(d - c) <= e |d - c|. So y is sent to every cell c that satisfies this, and no pair at or
 above t is missed at any number of cells: recall is 1, by proof rather than by measurement.
+There are as many cells as the largest label has multiples of ``CELL_ROWS`` rows, but so few that a row of the sample goes
+to at most ``COPIES`` on average: where vectors have no clusters, more cells would only make more guests.
 
-A cell's rows are dealt into blocks of at most ``BLOCK``; a task multiplies two blocks in
+A cell's rows are dealt into blocks of about ``BLOCK``; a task multiplies two blocks in
 double precision and returns, for each vector, the number of its links and the least vector of
-its part of the block: output is linear, never all pairs. Links join up in
-``components``.
+its part of the block: output is linear, never all pairs, and parts are found by passing least marks through
+the product itself, not by a loop over links. Links join up in ``components``.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite parts, and
 vectors without a label, link with nothing; vectors of different lengths do not link;
-equal vectors link; an empty table gives no rows; other columns are ignored.
+equal vectors link; rows of one vec_id are vectors of their own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import scratch
 from quillspark.llm.components import components
 
-SAMPLE, CELL_ROWS, MAX_CELLS, BLOCK = 20_000, 2_000, 2_048, 2_000
+SAMPLE, CELL_ROWS, MAX_CELLS, COPIES, BLOCK, STRIP = 20_000, 2_048, 2_048, 8, 8_192, 512
 
 
 def centroids(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -51,86 +53,114 @@ def _units(column: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _cells(x: np.ndarray, c: np.ndarray, apart: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's own cell, and all that it must visit."""
+    near = x @ c.T
+    home = np.argmax(near, axis=1)
+    into = near[np.arange(len(x)), home][:, None] - near <= reach * apart[home]
+    return home, into & (np.arange(len(c)) <= home[:, None])  # of two cells, the pair meets in the one before
+
+
+def _join(mark: np.ndarray, left: np.ndarray, right: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Marks, the least of each part, after rows ``left`` and ``right`` are linked where ``hit``."""
+    none = len(mark)
+    while True:
+        parent = np.arange(none)
+        np.minimum.at(parent, mark[right], np.where(hit, mark[left][:, None], none).min(axis=0))
+        np.minimum.at(parent, mark[left], np.where(hit, mark[right][None, :], none).min(axis=1))
+        if (parent[mark] == mark).all():
+            return mark
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        mark = parent[mark]
+
+
+def linked(x: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray, home: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each row its links, and the first row of its part. ``left`` and ``right`` are two blocks, or one twice; two guests meet elsewhere."""
+    links, mark, same = np.zeros(len(x)), np.arange(len(x)), left is right
+    for at in range(0, len(left), STRIP):
+        a = left[at : at + STRIP]
+        b = right[at:] if same else right
+        hit = x[a] @ x[b].T >= threshold
+        hit &= home[a][:, None] | home[b][None, :]
+        if same:
+            hit &= a[:, None] < b[None, :]
+        rows, columns = hit.any(axis=1), hit.any(axis=0)
+        if rows.any():
+            a, b, hit = a[rows], b[columns], hit[np.ix_(rows, columns)]
+            links[a] += hit @ copies[b]
+            links[b] += copies[a] @ hit
+            mark = _join(mark, a, b, hit)
+    return links, mark
+
+
 def embedding_dedup(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.col("label"))
     sound = (F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0)
              & F.exists("e", lambda v: v != 0) & F.forall("e", lambda v: v.isNotNull() & (F.abs(v) < float("inf"))))
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
-    groups, _ = scratch.table(rows.where("sound").groupBy("label", "e").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")), "vectors")
-    n = groups.count()
+    # Equal vectors of a label are one group, with a number of its own: several may have one vec_id.
+    groups = rows.where("sound").groupBy("label", "e").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    groups, _ = scratch.table(groups.withColumn("g", F.monotonically_increasing_id()), "vectors")
+    largest = groups.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     widths = groups.groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").first()
     width = widths["d"] if widths else 1
-    k = max(1, min(MAX_CELLS, math.ceil(n / CELL_ROWS)))
-    sample = [r["e"] for r in groups.where(F.size("e") == width).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("e").collect()] if k > 1 else []
-    c = centroids(_units(pd.Series(sample)), k) if sample else np.zeros((1, width))
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-    apart = np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2) if len(c) > 1 else np.zeros((1, 1))
+    k = max(1, min(MAX_CELLS, math.ceil(largest / CELL_ROWS)))
+    c, apart = np.zeros((1, width)), np.zeros((1, 1))
+    if k > 1:
+        sample = _units(pd.Series([r["e"] for r in groups.where(F.size("e") == width).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("e").collect()]))
+        while k > 1:
+            c = centroids(sample, k)
+            apart = np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2)
+            if _cells(sample, c, apart, reach)[1].sum() <= COPIES * len(sample):
+                break
+            k //= 2
+        if k == 1:
+            c, apart = np.zeros((1, width)), np.zeros((1, 1))
 
     def assign(batches):
         for batch in batches:
             for d, part in batch.groupby(batch["e"].map(len)):
                 x = _units(part["e"])
                 if d == width:
-                    near = x @ c.T
-                    home = np.argmax(near, axis=1)
-                    into = near[np.arange(len(x)), home][:, None] - near <= reach * apart[home]
-                    into &= np.arange(len(c)) <= home[:, None]
+                    home, into = _cells(x, c, apart, reach)
                 else:  # a rare width has cells of its own
                     home = np.full(len(x), -int(d))
                     into = np.ones((len(x), 1), dtype=bool)
                 row, cell = np.nonzero(into)
                 cell = cell if d == width else home[row]
-                yield pd.DataFrame({"label": part["label"].to_numpy()[row], "cell": cell, "home": home[row] == cell, "vec_id": part["vec_id"].to_numpy()[row],
+                yield pd.DataFrame({"label": part["label"].to_numpy()[row], "cell": cell, "home": home[row] == cell, "g": part["g"].to_numpy()[row],
                                     "copies": part["copies"].to_numpy()[row], "unit": list(x[row])})
 
     kind = dict(rows.dtypes)["label"]
-    placed = groups.mapInPandas(assign, f"label {kind}, cell int, home boolean, vec_id long, copies long, unit array<double>")
+    placed = groups.select("label", "e", "g", "copies").mapInPandas(assign, f"label {kind}, cell int, home boolean, g long, copies long, unit array<double>")
     placed, _ = scratch.table(placed, "cells")
     sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count_if("home").alias("homes")).where("homes > 0")
-    dealt = placed.join(sizes, ["label", "cell"]).withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    dealt = placed.join(sizes, ["label", "cell"]).withColumn("b", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
     # Block pairs (i, j), i <= j; a row of block b takes part in (b, j) and (i, b).
     pairs = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "label", "cell", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "home", "vec_id", "copies", "unit")
+        "label", "cell", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "home", "g", "copies", "unit")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("vec_id", kind="stable")
+        part = part.sort_values("g", kind="stable")
         i, j = int(part["i"].iloc[0]), int(part["j"].iloc[0])
-        x = np.array(part["unit"].tolist())
-        b, home = part["b"].to_numpy(), part["home"].to_numpy()
-        ids, copies = part["vec_id"].to_numpy(), part["copies"].to_numpy()
-        left, right = (np.flatnonzero(b == i), np.flatnonzero(b == j))
-        root = np.arange(len(part))
-
-        def find(v: int) -> int:
-            while root[v] != v:
-                root[v] = root[root[v]]
-                v = root[v]
-            return v
-
-        links = np.zeros(len(part), dtype=np.int64)
-        for at in range(0, len(left), 512):
-            a = left[at : at + 512]
-            hit = x[a] @ x[right].T >= threshold
-            hit &= home[a][:, None] | home[right][None, :]  # two guests meet elsewhere
-            if i == j:
-                hit &= a[:, None] < right[None, :]
-            p, q = np.nonzero(hit)
-            np.add.at(links, a[p], copies[right[q]])
-            np.add.at(links, right[q], copies[a[p]])
-            for u, v in zip(a[p].tolist(), right[q].tolist()):
-                u, v = find(u), find(v)
-                if u != v:
-                    root[max(u, v)] = min(u, v)
-        linked = np.flatnonzero(links)
-        return pd.DataFrame({"vec_id": ids[linked], "links": links[linked], "least": [ids[find(v)] for v in linked.tolist()]})
-
-    found = pairs.groupBy("label", "cell", "i", "j").applyInPandas(compare, "vec_id long, links long, least long")
-    found, _ = scratch.table(found, "links", narrow=True)
-    roots = components(found.where("vec_id <> least").select(F.col("vec_id").alias("u"), F.col("least").alias("v")))
-    counts = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    classes = groups.join(counts, "vec_id", "left").join(roots.withColumnRenamed("id", "vec_id"), "vec_id", "left").select(
-        "label", "e", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    good = rows.where("sound").join(classes, ["label", "e"]).select("vec_id", "n_links", "component_id")
+        b, ids = part["b"].to_numpy(), part["g"].to_numpy()
+        left = np.flatnonzero(b == i)
+        right = left if i == j else np.flatnonzero(b == j)
+        links, mark = linked(np.array(part["unit"].tolist()), part["copies"].to_numpy(dtype=np.float64), left, right, part["home"].to_numpy(), threshold)
+        some = np.flatnonzero(links)
+        return pd.DataFrame({"g": ids[some], "links": links[some].astype(np.int64), "least": ids[mark[some]]})
+
+    found = pairs.groupBy("label", "cell", "i", "j").applyInPandas(compare, "g long, links long, least long")
+    found, _ = scratch.table(found, "links")
+    roots = components(found.where("g <> least").select(F.col("g").alias("u"), F.col("least").alias("v")))
+    counts = found.groupBy("g").agg(F.sum("links").alias("links"))
+    classes = groups.join(counts, "g", "left").join(roots.withColumnRenamed("id", "g"), "g", "left").select(
+        "label", "e", "vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "g").alias("c"))
+    classes, _ = scratch.table(classes, "classes")
+    names = classes.groupBy("c").agg(F.min("vec_id").alias("component_id"))
+    good = rows.where("sound").join(classes.join(names, "c").drop("vec_id", "c"), ["label", "e"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(alone).select("*", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

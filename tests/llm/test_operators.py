@@ -388,7 +388,7 @@ def test_components(spark):
 
 def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(8)
-    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 20)
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 10)
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     base = rng.normal(size=(30, 8))
     rows = []
@@ -399,6 +399,7 @@ def test_embeddings(spark, monkeypatch):
     rows += [(400, None, 0), (401, [0.0] * 8, 0), (402, [float("nan")] * 8, 0), (403, [None] * 8, 0), (404, rows[3][1], None), (405, [], 0), (406, [1.0, 2.0], 0), (407, [2.0, 4.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("kept", F.lit("clash"))
     got = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(df, 0.98).collect()}
+    assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
     edges = []
     good = [(i, np.array(e, float), c) for i, e, c in rows if c is not None and e and None not in e and np.isfinite(e).all() and any(e)]
     for a in range(len(good)):
@@ -410,7 +411,31 @@ def test_embeddings(spark, monkeypatch):
     assert len(got) == len(rows)
     for i, *_ in rows:
         assert (got[i]["n_links"], got[i]["component_id"]) == (links[i], comp.get(i, i)) and got[i]["kept"] == (got[i]["component_id"] == i)
-    assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
+
+
+def test_embeddings_of_one_id(spark):
+    """Rows of one vec_id are vectors of their own: links belong to a vector, not to its id."""
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [5.0, 0.0], 1), (1, [1.0, 0.02], 0)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 0, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3)]
+
+
+@pytest.mark.parametrize("density", [0.002, 0.02, 0.9])
+def test_parts_of_blocks(monkeypatch, density):
+    monkeypatch.setattr(embedding_dedup, "STRIP", 7)
+    rng = np.random.default_rng(int(density * 1000))
+    x = rng.normal(size=(60, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    threshold = float(np.quantile(x @ x.T, 1 - density))
+    home, copies = rng.random(60) < 0.6, rng.integers(1, 4, 60).astype(float)
+    side = rng.random(60) < 0.5
+    whole = np.arange(60)
+    for left, right in ((whole, whole), (np.flatnonzero(side), np.flatnonzero(~side))):
+        links, mark = embedding_dedup.linked(x, copies, left, right, home, threshold)
+        edges = [(a, b) for a in left for b in right if (a < b or left is not right) and (home[a] or home[b]) and x[a] @ x[b] >= threshold]
+        want = joined(edges)
+        assert [mark[i] for i in range(60)] == [want.get(i, i) for i in range(60)]
+        assert links.tolist() == [sum(copies[b] for a, b in edges if a == i) + sum(copies[a] for a, b in edges if b == i) for i in range(60)]
 
 
 def lcs(a, b):
