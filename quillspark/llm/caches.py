@@ -26,7 +26,12 @@ def claim(name: str) -> None:
         if other != name:
             clear()
     _owner[0] = name
+    trim()
+
+
+def trim() -> None:
+    """Hand freed memory back."""
     gc.collect()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # hand freed memory back, where the C library can
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library can
     if trim is not None:
         trim(0)

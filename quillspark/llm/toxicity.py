@@ -285,39 +285,49 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, chars: int = SAM
     toxic = sample["toxic"].to_numpy().astype(float)
     if not n or toxic.min() == toxic.max():
         return Model(pa.array([], pa.string()), np.zeros(0), None, np.zeros(0, int), toxic, float(toxic.mean()) if n else 0.5)
-    lists = sample["terms"].combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
-    coded = lists.flatten().dictionary_encode()
-    names, terms = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-    many = sample["counts"].combine_chunks().flatten().to_numpy()
+    sizes = np.diff(sample["terms"].combine_chunks().offsets.to_numpy())
+    coded = sample["terms"].combine_chunks().flatten().dictionary_encode()
+    names, terms = coded.dictionary, coded.indices.to_numpy()
+    many, ids = sample["counts"].combine_chunks().flatten().to_numpy(), sample["doc_id"].to_numpy()
+    del sample, coded
     rows, df = _frequencies(docs, names)
-    idf = np.log((rows + 1) / (df + 1)) + 1
-    example = np.repeat(np.arange(n), sizes)
+    weight = (np.log((rows + 1) / (df + 1)) + 1) * _relevance(terms, sizes, toxic, len(names))
+    order, starts, terms, many = _arranged(terms, many, sizes, weight)
+    bounds = list(zip(starts[:-1].tolist(), starts[1:].tolist()))
+    weights = np.concatenate([unit(weight[terms[a:b]], many[a:b]) for a, b in bounds])
+    del many
+    caches.trim()
+    model = Model(names, weight, Index(len(names), starts, terms, weights), ids[order], toxic[order], float(toxic.mean()))
+    votes = np.array([model.vote(terms[a:b], weights[a:b], but=e)[0] for e, (a, b) in enumerate(bounds)])
+    model.curve = calibrate(votes, model.toxic)
+    del terms, weights
+    caches.trim()
+    return model
+
+
+def _relevance(terms: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, n_terms: int) -> np.ndarray:
+    """Squared log odds of a term between the classes, shrunk, plus the floor."""
     share = toxic.mean()
-    bad = np.bincount(terms, toxic[example], minlength=len(names))
-    clean = np.bincount(terms, minlength=len(names)) - bad
+    bad = np.bincount(terms, np.repeat(toxic, sizes), minlength=n_terms)
+    clean = np.bincount(terms, minlength=n_terms) - bad
     odds = np.log((bad + PRIOR * share) / (clean + PRIOR * (1 - share))) - math.log(share / (1 - share))
-    weight = idf * (odds * odds + FLOOR)
-    # Examples of like heaviest terms share blocks, which keeps the bounds tight.
-    heavy = np.lexsort((-weight[terms], example))
-    starts = np.concatenate(([0], np.cumsum(sizes)))
+    return odds * odds + FLOOR
+
+
+def _arranged(terms: np.ndarray, many: np.ndarray, sizes: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The examples' new order, and their starts, terms (ascending) and counts in it: like heaviest terms share blocks, which keeps bounds tight."""
+    n = len(sizes)
+    starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+    heavy = np.lexsort((-weight[terms], np.repeat(np.arange(n, dtype=np.int32), sizes))).astype(np.int32)
     key = np.full((4, n), -1)
     for place in range(4):
         there = sizes > place
-        key[place, there] = terms[heavy[starts[:-1][there] + place]]
-    order = np.lexsort((np.arange(n), *key[::-1]))  # the sample is in the order of a hash
-    at = _spread(starts[:-1][order], sizes[order])
-    sizes, terms, many = sizes[order], terms[at], many[at]
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    example = np.repeat(np.arange(n), sizes)
-    sort = np.lexsort((terms, example))
-    terms, many = terms[sort], many[sort]
-    weights = np.concatenate([unit(weight[terms[a:b]], many[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())])
-    index = Index(len(names), starts, terms, weights)
-    model = Model(names, weight, index, sample["doc_id"].to_numpy()[order], toxic[order], float(share))
-    votes = np.array([model.vote(terms[a:b], weights[a:b], but=e)[0] for e, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist()))])
-    model.curve = calibrate(votes, model.toxic)
-    return model
+        key[place, there] = terms[heavy[starts[there] + place]]
+    order = np.lexsort((np.arange(n), *key[::-1]))  # ties stay in the order of a hash
+    at = _spread(starts[order], sizes[order])
+    terms, many = terms[at], many[at]
+    sort = np.lexsort((terms, np.repeat(np.arange(n, dtype=np.int32), sizes[order])))
+    return order, np.concatenate(([0], np.cumsum(sizes[order]))), terms[sort], many[sort]
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:

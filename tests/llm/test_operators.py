@@ -584,6 +584,40 @@ def test_sharding_keeps_hubs_whole(spark, monkeypatch, cells):
     assert sum(len(s) > 1 for t, s in where.items() if t.startswith("pair")) <= 16
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_shards_cut_about_as_few_groups_as_brute_force(spark, seed):
+    """Against the best of all even assignments: no more than one group more is cut, and propagation beats the hashed start."""
+    rng = random.Random(seed)
+    texts = [f"group {rng.randint(0, 3)}" if rng.random() < 0.8 else f"alone {i}" for i in range(12)]
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(docs_of(spark, texts), 2).collect()}
+
+    def cut(shard_of):
+        where = defaultdict(set)
+        for i, t in enumerate(texts):
+            where[t].add(shard_of[i])
+        return sum(len(s) > 1 for s in where.values())
+
+    best = min(cut(dict(enumerate(map(int, f"{m:012b}")))) for m in range(1 << 12) if m.bit_count() == 6)
+    assert sorted(Counter(got.values()).values()) == [6, 6] and cut(got) <= best + 1
+
+
+def test_propagation_follows_the_votes(spark):
+    """Light groups with room go whole to the shard that most of their members start in."""
+    rows = [(i, 1, 0, f"g{i % 9}", (i // 9) % 4 if i // 9 < 3 else (i % 9) % 4) for i in range(63)]
+    light = spark.createDataFrame(rows, "doc_id long, size long, crc long, hub string, shard int")
+    light, path = scratch.table(light, "shard-light")
+    got, path = sharding._propagated(light, path, [63] * 4)
+    votes = defaultdict(Counter)
+    for _, _, _, hub, shard in rows:
+        votes[hub][shard] += 1
+    where = defaultdict(set)
+    for r in got.collect():
+        where[r["hub"]].add(r["shard"])
+    for hub, held in votes.items():
+        assert len(where[hub]) == 1 and held[next(iter(where[hub]))] == max(held.values())
+    scratch.drop(spark, path)
+
+
 def test_shard_grants_count_leavers():
     full = {(0, 0): {1: 5}, (1, 0): {0: 5}, (2, 0): {1: 9}}
     assert sorted(sharding._grants(full, [0, 0, 0])) == sorted(full)
