@@ -53,6 +53,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns is written before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs, _ = scratch.table(stage(spark, docs, sf_dir), name)
+        docs, path = scratch.table(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            scratch.drop(spark, before)  # its successor is written
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
