@@ -2,17 +2,12 @@
 
 Building is one shuffle on (term, book): partial aggregation collects a task's positions
 first. Document frequencies reuse the rows. Persisted layouts are versioned Parquet
-directories with a pointer file; an update writes the next version (or only touched
-buckets) and then moves the pointer, so readers never see half a batch.
+folders with a pointer; an update writes what it touches and then moves the pointer, so readers never see half a batch.
 """
 
 from __future__ import annotations
 
-import json
-import os
-import shutil
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +15,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import paths, text
 from quillspark.functions.fixed import STOP_WORDS
 from quillspark.schemas import POSTINGS
+from quillspark.sources.store import Store
 
 
 def build_postings(books: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
@@ -66,47 +62,66 @@ def refresh_frequencies(terms: DataFrame, old: DataFrame, new: DataFrame, merged
 
 
 class Index:
-    """A persisted index. ``layout``: monolithic, bucketed (27 directories) or clustered (sorted by term)."""
+    """A persisted index in one of three layouts, on any store that Spark writes.
+
+    ``monolithic``: one table; an update rewrites it. ``bucketed``: 27 folders by the term's first letter; an update rewrites those
+    that hold a term it adds or removes. ``clustered``: segments sorted by term, with a bloom filter; an update writes one more, as large as
+    the batch, and names the books that it replaces, whose rows in earlier segments no longer count. ``compact`` makes one
+    segment of all, and is run once there are more than ``SEGMENTS``.
+    """
 
     LAYOUTS = ("monolithic", "bucketed", "clustered")
+    SEGMENTS = 8
+    #: Writers of a bucket: its terms are dealt by hash, so that a frequent letter is not one task.
+    SALTS = 16
 
-    def __init__(self, spark: SparkSession, root: str, layout: str = "clustered", positions: bool = True) -> None:
+    def __init__(self, spark: SparkSession, root: str, layout: str = "clustered", positions: bool | None = True) -> None:
         if layout not in self.LAYOUTS:
             raise ValueError(f"unknown index layout {layout!r}")
-        self.spark, self.root, self.layout = spark, Path(root), layout
-        self.pointer = self.root / f"{layout}.json"
+        self.spark, self.store, self.layout = spark, Store(spark, root), layout
+        self.pointer = f"{layout}.json"
         if self.exists():
-            state = json.loads(self.pointer.read_text())
-            if positions is not None and state["positions"] != positions:
+            built = self._state()["positions"]
+            if positions is not None and built != positions:
                 raise ValueError("the index was built with another positions setting")
-            self.positions = state["positions"]
+            self.positions = built
         else:
             self.positions = True if positions is None else positions
 
     def exists(self) -> bool:
-        return self.pointer.exists()
-
-    def _point(self, version: str, files: list[str]) -> None:
-        part = self.pointer.with_suffix(".json.part")
-        with part.open("w") as f:
-            json.dump({"version": version, "positions": self.positions, "buckets": files}, f)
-            f.flush()
-            os.fsync(f.fileno())
-        part.replace(self.pointer)
+        return self.store.exists(self.pointer)
 
     def _state(self) -> dict:
         if not self.exists():
-            raise FileNotFoundError(f"no {self.layout} index in {self.root}")
-        return json.loads(self.pointer.read_text())
+            raise FileNotFoundError(f"no {self.layout} index in {self.store.root}")
+        return self.store.read(self.pointer)
+
+    def _switch(self, segments: list[dict], before: dict | None) -> None:
+        """Point to ``segments``; what the switch before this one left behind goes."""
+        live = {p for s in segments for p in [*s["postings"], s.get("books")]}
+        held = {p for s in before["segments"] for p in [*s["postings"], s.get("books")] if p} if before else set()
+        self.store.write(self.pointer, {"positions": self.positions, "segments": segments, "stale": sorted(held - live)})
+        if before:
+            self.store.drop(*before["stale"])
+
+    def _read(self, places: list[str]) -> DataFrame:
+        schema = POSTINGS + (", bucket string" if self.layout == "bucketed" else "")
+        if not places:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[self.store.at(p) for p in places])
 
     def postings(self) -> DataFrame:
-        state = self._state()
-        if self.layout == "bucketed":
-            places = [str(self.root / p) for p in state["buckets"]]
-            if not places:
-                return self.spark.createDataFrame([], POSTINGS + ", bucket string")
-            return self.spark.read.schema(POSTINGS + ", bucket string").parquet(*places)
-        return self.spark.read.schema(POSTINGS).parquet(str(self.root / state["version"]))
+        """All postings; of a book that several segments hold, those of the last."""
+        rows, replaced = None, None
+        for segment in reversed(self._state()["segments"]):
+            part = self._read(segment["postings"])
+            if replaced is not None:
+                part = part.join(replaced, "book_id", "left_anti").select(part.columns)
+            rows = part if rows is None else rows.unionByName(part)
+            if segment.get("books"):
+                ids = self.spark.read.schema("book_id long").parquet(self.store.at(segment["books"]))
+                replaced = ids if replaced is None else replaced.unionByName(ids)
+        return self._read([]) if rows is None else rows
 
     def of(self, terms: list[str]) -> DataFrame:
         """Postings of some terms; the bucket predicate is stated, as it is not derived from the term."""
@@ -124,50 +139,54 @@ class Index:
     def df(self, term: str) -> int:
         return self.of([term]).count()
 
+    def ordered(self) -> DataFrame:
+        """Every posting, terms and then books ascending."""
+        return self.postings().orderBy("term", "book_id")
+
+    def _write(self, rows: DataFrame, version: str) -> None:
+        if self.layout == "clustered":
+            rows = rows.repartitionByRange("term").sortWithinPartitions("term", "book_id")
+        rows.write.option("parquet.bloom.filter.enabled#term", "true").parquet(self.store.at(version))
+
     def add(self, books: DataFrame) -> None:
         """Index (book_id, body), replacing what the books had; one commit."""
         new = build_postings(books)
         if not self.positions:
             new = new.withColumn("positions", F.lit(None).cast("array<int>"))
         version = f"v-{uuid.uuid4().hex}"
+        before = self._state() if self.exists() else None
         if self.layout == "bucketed":
-            self._add_buckets(new, books, version)
-            return
-        merged = upsert_postings(self.postings(), new, books) if self.exists() else new
-        if self.layout == "clustered":
-            merged = merged.repartitionByRange("term").sortWithinPartitions("term", "book_id")
-        writer = merged.write.option("parquet.bloom.filter.enabled#term", "true")
-        writer.parquet(str(self.root / version))
-        before = self._state()["version"] if self.exists() else None
-        self._point(version, [])
-        if before:
-            shutil.rmtree(self.root / before, ignore_errors=True)
-
-    def _add_buckets(self, new: DataFrame, books: DataFrame, version: str) -> None:
-        """Rewrite only the buckets that hold a touched term; the pointer lists one directory for each bucket."""
+            self._add_buckets(new, books, version, before)
+        elif self.layout == "monolithic":
+            self._write(upsert_postings(self.postings(), new, books) if before else new, version)
+            self._switch([{"postings": [version]}], before)
+        else:
+            self._write(new, f"{version}/postings")
+            books.select("book_id").distinct().write.parquet(self.store.at(f"{version}/books"))
+            segments = before["segments"] if before else []
+            self._switch([*segments, {"postings": [f"{version}/postings"], "books": f"{version}/books"}], before)
+            if len(segments) >= self.SEGMENTS:
+                self.compact()
+
+    def compact(self) -> None:
+        """One segment of all; only ``clustered`` has more than one."""
+        before = self._state()
+        if len(before["segments"]) > 1:
+            version = f"v-{uuid.uuid4().hex}"
+            self._write(self.postings(), f"{version}/postings")
+            self._switch([{"postings": [f"{version}/postings"]}], before)
+
+    def _add_buckets(self, new: DataFrame, books: DataFrame, version: str, before: dict | None) -> None:
+        """Rewrite only the buckets that hold a touched term; the pointer lists one folder for each bucket."""
         new = new.withColumn("bucket", paths.bucket(F.col("term")))
-        kept = self._state()["buckets"] if self.exists() else []
+        kept = before["segments"][0]["postings"] if before else []
         if kept:
-            ids = books.select("book_id").distinct()
-            old = self.postings()
-            hit = old.join(ids, "book_id", "left_semi").select("bucket").unionByName(new.select("bucket")).distinct()
-            touched = {r["bucket"] for r in hit.collect()}  # 27 rows at most
+            hit = self.postings().join(books.select("book_id").distinct(), "book_id", "left_semi").select("bucket").unionByName(new.select("bucket")).distinct()
+            touched = {f"b={r['bucket']}" for r in hit.collect()}  # 27 rows at most
             stale = [p for p in kept if p.rsplit("/", 1)[1] in touched]
             if stale:
-                before = self.spark.read.schema(POSTINGS + ", bucket string").parquet(*[str(self.root / p) for p in stale])
-                new = upsert_postings(before, new, books)
+                new = upsert_postings(self._read(stale), new, books)
             kept = [p for p in kept if p not in stale]
-        target = self.root / version
-        new.withColumn("b", F.col("bucket")).repartition("bucket").sortWithinPartitions("term", "book_id").write.partitionBy("b").parquet(str(target))
-        written = sorted(f"{version}/{d.name}" for d in target.iterdir() if d.name.startswith("b="))
-        renamed = []
-        for place in written:
-            name = f"{version}/{place.rsplit('=', 1)[1]}"
-            (self.root / place).rename(self.root / name)
-            renamed.append(name)
-        self._point(version, kept + renamed)
-        live = {p.split("/")[0] for p in kept} | {version}
-        for d in self.root.glob("v-*"):
-            for b in d.iterdir() if d.name in live else ():
-                if b.is_dir() and f"{d.name}/{b.name}" not in kept + renamed:
-                    shutil.rmtree(b, ignore_errors=True)
+        dealt = new.withColumn("b", F.col("bucket")).repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(self.SALTS)))
+        dealt.sortWithinPartitions("bucket", "term", "book_id").write.partitionBy("b").parquet(self.store.at(version))
+        self._switch([{"postings": [*kept, *[f"{version}/{d}" for d in self.store.folders(version) if d.startswith("b=")]]}], before)

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import json
-import os
-import shutil
 import string
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import header
 from quillspark.schemas import BOOK_COLUMNS, BOOKS
+from quillspark.sources.store import Store
 
 #: A character that no LIKE pattern of ours holds, in place of Spark's backslash.
 _ESCAPE = "\x01"
@@ -85,13 +82,12 @@ class BookStore:
     """The books table as versioned Parquet with a pointer file; a batch is committed whole or not at all."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, Path(root)
-        self.pointer = self.root / "books.json"
+        self.spark, self.store = spark, Store(spark, root)
 
     def read(self) -> DataFrame:
-        if not self.pointer.exists():
+        if not self.store.exists("books.json"):
             return self.spark.createDataFrame([], BOOKS)
-        return self.spark.read.schema(BOOKS).parquet(str(self.root / json.loads(self.pointer.read_text())["version"]))
+        return self.spark.read.schema(BOOKS).parquet(self.store.at(self.store.read("books.json")["version"]))
 
     def upsert(self, new: DataFrame) -> int:
         """Rows written; identical records write nothing, not even a version."""
@@ -100,14 +96,9 @@ class BookStore:
         if not n:
             return 0
         version = f"books-{uuid.uuid4().hex}"
-        upsert(self.read(), todo).orderBy("title").write.option("parquet.bloom.filter.enabled#author", "true").parquet(str(self.root / version))
-        before = json.loads(self.pointer.read_text())["version"] if self.pointer.exists() else None
-        part = self.pointer.with_suffix(".json.part")
-        with part.open("w") as f:
-            json.dump({"version": version}, f)
-            f.flush()
-            os.fsync(f.fileno())
-        part.replace(self.pointer)
-        if before:
-            shutil.rmtree(self.root / before, ignore_errors=True)
+        upsert(self.read(), todo).orderBy("title").write.option("parquet.bloom.filter.enabled#author", "true").parquet(self.store.at(version))
+        before = self.store.read("books.json") if self.store.exists("books.json") else None
+        self.store.write("books.json", {"version": version, "stale": before["version"] if before else None})
+        if before and before["stale"]:
+            self.store.drop(before["stale"])
         return n

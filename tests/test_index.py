@@ -59,6 +59,27 @@ def test_layouts(spark, tmp_path, layout):
         Index(spark, str(tmp_path), layout, positions=False)
 
 
+def test_segments(spark, tmp_path, monkeypatch):
+    """An update writes its batch alone; readers of the state before keep their files; compaction changes no row."""
+    monkeypatch.setattr(Index, "SEGMENTS", 3)
+    index = Index(spark, f"file://{tmp_path}", "clustered")
+    bodies = dict(BODIES)
+    index.add(books(spark))
+    old = index.postings()
+    for i, body in ((11, "sea"), (44, "whale"), (22, ""), (44, "ship ship")):
+        written = set(p.name for p in tmp_path.iterdir())
+        bodies[i] = body
+        index.add(books(spark, {i: body}))
+        assert rows(index.postings()) == rows(build_postings(books(spark, bodies)))
+        assert len({p.name for p in tmp_path.iterdir() if p.is_dir()} - written) <= 2
+        if i == 11:
+            assert rows(old) == rows(build_postings(books(spark)))
+    assert len(index._state()["segments"]) < 3
+    index.compact()
+    assert len(index._state()["segments"]) == 1 and rows(index.postings()) == rows(build_postings(books(spark, bodies)))
+    assert [(r["term"], r["book_id"]) for r in index.ordered().collect()] == [(t, b) for t, b, *_ in rows(index.postings())]
+
+
 def test_scan_prunes_and_pushes(spark, tmp_path):
     index = Index(spark, str(tmp_path), "clustered")
     index.add(books(spark))
