@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 import os
+import secrets
 import socket
 import sys
 import time
+from collections import Counter
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -15,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import split
-from quillspark.functions.fixed import SPEC_VERSION
+from quillspark.functions.fixed import LANGUAGES, SPEC_VERSION, STOP_WORDS
 from quillspark.functions.text import query_terms
 from quillspark.operators import control, export, metadata, search
 from quillspark.operators.index import Index
@@ -31,11 +34,26 @@ def session() -> SparkSession:
 
 
 class Workspace:
-    def __init__(self, spark: SparkSession, root: str, layout: str = "hash", backend: str = "sqlite", now: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, root: str, layout: str = "time", backend: str = "json", now: str | None = None) -> None:
         self.spark, self.root, self.layout, self.now = spark, Path(root), layout, now
         self.lake = Lake(spark, root, layout)
         self.backend = BACKENDS[backend]
         self.control = self.root / "control"
+        #: What a command did, for its metrics record.
+        self.counts: Counter[str] = Counter()
+        # A workspace may bring word lists of its own.
+        lists = self.root / "spec"
+        own = lists / "stopwords_en.txt"
+        self.stop_words = tuple(sorted(r["term"] for r in files.read_lines(spark, str(own)).collect())) if own.is_file() else STOP_WORDS
+        own = lists / "language_map.txt"
+        self.languages = {r["name"]: r["code"] for r in files.read_pairs(spark, str(own)).collect()} if own.is_file() else LANGUAGES
+
+    def version_fault(self) -> str | None:
+        """Why this code must not touch the workspace: it was made by another version of the contract."""
+        made = self.control / "spec_version"
+        if made.is_file() and made.read_text().strip() != SPEC_VERSION:
+            return f"this workspace is of version {made.read_text().strip()}, this program of {SPEC_VERSION}"
+        return None
 
     def instant(self) -> datetime:
         found = datetime.fromisoformat(self.now) if self.now else datetime.now(UTC)
@@ -54,6 +72,7 @@ class Workspace:
         return metadata.BookStore(self.spark, str(self.root / "datamarts"))
 
     def fail(self, book_id: int, reason: str) -> None:
+        self.counts["docs_failed"] += 1
         files.append_line(self.control / "failed_books.txt", f"{book_id}\t{reason}\t{self.instant():%Y-%m-%dT%H:%M:%SZ}")
 
     def receipt(self, book_id: int, header: str, body: str, at: str) -> str:
@@ -75,6 +94,7 @@ class Workspace:
         self.receipt(book_id, header, body, stamp)
         if book_id not in self.known("downloaded"):
             files.append_line(self.control / "downloaded_books.txt", str(book_id))
+        self.counts["docs_processed"] += 1
         return True
 
     def meta_json(self, books: DataFrame) -> None:
@@ -86,6 +106,7 @@ class Workspace:
 
         done = self.known("downloaded")
         todo = [i for i in dict.fromkeys(wanted) if i not in done]
+        self.counts["docs_skipped"] += len(dict.fromkeys(wanted)) - len(todo)
         worst = set()
 
         def get(i: int) -> tuple[int, str | None, str]:
@@ -131,9 +152,11 @@ class Workspace:
         written = 0
         for at in range(0, len(ids), batch):
             part = rows.where(F.col("book_id").between(ids[at], ids[min(at + batch, len(ids)) - 1]))
-            written += self.books().upsert(metadata.records(part))
+            written += self.books().upsert(metadata.records(part, self.languages))
             if self.layout == "book":
                 self.meta_json(part)
+        self.counts["docs_processed"] += len(ids)
+        self.counts["records_written"] += written
         print(f"records written: {written}", file=sys.stderr)
         return 0
 
@@ -146,14 +169,16 @@ class Workspace:
             return 2
         todo = [r[0] for r in control.pending(self.ids("downloaded"), self.ids("indexed")).collect()]
         if wanted is not None:
+            self.counts["docs_skipped"] += len(set(wanted) - set(todo))
             todo = [i for i in todo if i in wanted]
-        lake, missing = self.lake.books().select("book_id", "body"), 0
+        missing = 0
         for at in range(0, len(todo), batch):
             ids = todo[at : at + batch]
-            books = lake.where(F.col("book_id").isin(*ids))
+            books = self.lake.bodies(ids)  # only the batch's files are read
             there = {r[0] for r in books.select("book_id").collect()}
             if there:
-                index.add(books)
+                index.add(books, self.stop_words)
+            self.counts["docs_processed"] += len(there)
             missing += len(ids) - len(there)
             for i in ids:
                 if i in there:
@@ -201,21 +226,21 @@ class Workspace:
         env = os.environ.get
         number = lambda k: int(env(k)) if env(k) else None
         files.append_line(out, json.dumps({
-            "run_id": env("BENCH_RUN_ID"), "spec_version": SPEC_VERSION, "language": "pyspark", "impl_version": env("BENCH_IMPL_VERSION"),
+            "run_id": env("BENCH_RUN_ID") or f"{started:%Y-%m-%dT%H-%M-%SZ}-{secrets.token_hex(2)}", "spec_version": SPEC_VERSION, "language": "pyspark", "impl_version": env("BENCH_IMPL_VERSION"),
             "experiment": env("BENCH_EXPERIMENT") or f"cli_{command}", "datalake_layout": self.layout, "index_backend": backend,
             "positions": aux.pop("positions", None), "corpus_size": number("BENCH_CORPUS_SIZE"), "workers": aux.pop("workers", None),
-            "batch_size": aux.pop("batch_size", None), "repetition": number("BENCH_REPETITION"), "metric": "wall_time", "value": seconds * 1000,
-            "unit": "ms", "aux": aux, "machine_id": env("BENCH_MACHINE_ID") or socket.gethostname(),
+            "batch_size": aux.pop("batch_size", None), "repetition": number("BENCH_REPETITION"), "metric": "wall_time", "value": round(seconds * 1000, 3),
+            "unit": "ms", "aux": aux | dict(self.counts), "machine_id": env("BENCH_MACHINE_ID") or socket.gethostname(),
             "started_at": f"{started:%Y-%m-%dT%H:%M:%S}.{started.microsecond // 1000:03d}Z"}))
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quillspark")
-    p.add_argument("--workspace", default=".")
-    p.add_argument("--datalake-layout", choices=LAYOUTS, default="hash")
-    p.add_argument("--index-backend", choices=[*BACKENDS, "mongo"], default="sqlite")
+    p.add_argument("--workspace")
+    p.add_argument("--datalake-layout", choices=LAYOUTS, default="time")
+    p.add_argument("--index-backend", choices=[*BACKENDS, "mongo"], default="json")
     p.add_argument("--metrics-out")
-    p.add_argument("--log-level", default="INFO")
+    p.add_argument("--log-level", choices=("error", "warn", "info", "debug"), default="info")
     p.add_argument("--seed", type=int, default=42)
     p.add_argument("--now")
     sub = p.add_subparsers(dest="command", required=True)
@@ -235,7 +260,7 @@ def parser() -> argparse.ArgumentParser:
             m.add_argument("--positions", action="store_true")
     q = sub.add_parser("query")
     q.add_argument("--terms", required=True)
-    q.add_argument("--mode", choices=("and", "or"), default="and")
+    q.add_argument("--mode", choices=("and", "or"), required=True)
     q.add_argument("--limit", type=int)
     sub.add_parser("lookup").add_argument("--book-id", type=int, required=True)
     sub.add_parser("scan-new").add_argument("--since")
@@ -273,7 +298,7 @@ def run(ws: Workspace, a: argparse.Namespace) -> int:
         if not index.exists():
             print(f"no index for {a.index_backend}", file=sys.stderr)
             return 1
-        terms = query_terms(a.terms)
+        terms = query_terms(a.terms, ws.stop_words)
         for r in search.search_terms(index.of(terms), terms, a.mode, a.limit).toLocalIterator():
             print(r["book_id"])
         return 0
@@ -311,6 +336,9 @@ def main(args: list[str] | None = None) -> int:
     if a.command == "version":
         print(SPEC_VERSION)
         return 0
+    if not a.workspace:
+        print("--workspace is required", file=sys.stderr)
+        return 2
     if a.index_backend == "mongo":
         print("mongo is not implemented", file=sys.stderr)
         return 2
@@ -319,11 +347,16 @@ def main(args: list[str] | None = None) -> int:
             datetime.fromisoformat(a.now)
         except ValueError:
             return 2
+    logging.getLogger("quillspark").setLevel(a.log_level.upper() if a.log_level != "warn" else "WARNING")
     ws = Workspace(session(), a.workspace, a.datalake_layout, a.index_backend, a.now)
+    if fault := ws.version_fault():
+        print(fault, file=sys.stderr)
+        return 1
     began, started = time.perf_counter(), datetime.now(UTC)
     try:
         if a.command in WRITERS:
             with files.writer_lock(ws.control / "run.lock"):
+                files.write_text(ws.control / "spec_version", SPEC_VERSION + "\n", if_changed=True)
                 code = run(ws, a)
         else:
             code = run(ws, a)

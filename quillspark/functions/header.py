@@ -31,9 +31,9 @@ def without_lifespan(author: Column) -> Column:
     return F.regexp_replace(author, ",\\s*\\d{4}\\s*[-–]\\s*\\d{4}\\s*$", "")
 
 
-def language(header: Column) -> Column:
+def language(header: Column, languages: dict[str, str] = LANGUAGES) -> Column:
     value = F.lower(field(header, "Language"))
-    codes = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    codes = F.create_map(*[F.lit(x) for pair in languages.items() for x in pair])
     return F.coalesce(F.try_element_at(codes, value), value)
 
 
@@ -43,8 +43,8 @@ def release_date(value: Column) -> Column:
     return F.date_format(F.try_to_date(F.nullif(bare, F.lit("")), "MMMM d, yyyy"), "yyyy-MM-dd")
 
 
-def parse(header: Column) -> Column:
+def parse(header: Column, languages: dict[str, str] = LANGUAGES) -> Column:
     """struct(title, author, language, release_date)."""
     return F.struct(
         title(header).alias("title"), without_lifespan(field(header, "Author")).alias("author"),
-        language(header).alias("language"), release_date(field(header, "Release date", wrapped=False)).alias("release_date"))
+        language(header, languages).alias("language"), release_date(field(header, "Release date", wrapped=False)).alias("release_date"))

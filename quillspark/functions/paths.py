@@ -56,6 +56,14 @@ def instant_text(instant: Column) -> Column:
     return F.date_format(F.date_trunc("second", instant), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def inside(workspace: str, path: Column) -> Column:
+    """A path below the workspace, relative to it; null for one that is not, or that climbs."""
+    root = workspace.rstrip("/") + "/"
+    bare = F.regexp_replace(path, "^file:/+", "/")
+    rest = F.when(F.startswith(bare, F.lit(root)), F.substr(bare, F.lit(len(root) + 1))).when(~F.startswith(bare, F.lit("/")), bare)
+    return F.when(~rest.rlike("(^|/)\\.\\.(/|$)"), rest)
+
+
 def parse_instant(text: Column) -> Column:
     """ISO 8601; without a zone it is UTC (the session's zone). Null if malformed."""
     return F.date_trunc("second", F.try_to_timestamp(text))

@@ -94,6 +94,15 @@ def query_terms(raw: str, stop_words: tuple[str, ...] = STOP_WORDS) -> list[str]
         t for t in found if MIN_LENGTH <= len(t) <= MAX_LENGTH and not regex.fullmatch("\\p{Nd}+", t) and t not in stop_words))
 
 
+def golden_differences(books: DataFrame, golden: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """(book_id, fault) for books of a token fixture that are MISSING here, or whose RAW count, KEPT count or DIGEST differs."""
+    mine = token_stats(books, stop_words).select("book_id", *[F.col(c).alias(f"my_{c}") for c in ("n_tokens_raw", "n_tokens_kept", "sha256_tokens")])
+    differs = lambda c: ~F.col(c).eqNullSafe(F.col(f"my_{c}"))
+    fault = (F.when(F.col("my_n_tokens_raw").isNull(), "MISSING").when(differs("n_tokens_raw"), "RAW")
+             .when(differs("n_tokens_kept"), "KEPT").when(differs("sha256_tokens"), "DIGEST"))
+    return golden.join(mine, "book_id", "left").select("book_id", fault.alias("fault")).where("fault IS NOT NULL")
+
+
 def token_stats(books: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """Raw and kept token counts and the digest of the kept tokens, per book, without a shuffle."""
     rows = books.select("book_id", tokens_of(F.col("body")).alias("raw"))

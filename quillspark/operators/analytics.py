@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions.fixed import END_MARKER, START_MARKER
+from quillspark.functions.header import field
 
 
 def summary(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -74,18 +75,35 @@ def ranked_vocabulary(terms: DataFrame, n: int = 500) -> DataFrame:
     return terms.orderBy(F.desc("df"), "term").limit(n).withColumn("rank", F.row_number().over(W.orderBy(F.desc("df"), "term")))
 
 
-def bands(terms: DataFrame, high: int = 500) -> DataFrame:
-    """band, terms, least and greatest df: the ``high`` most frequent; ``high`` around the first quarter; df of 2 or 3."""
-    total = terms.count()
-    start = max(high, total // 4)
-    ranked = terms.orderBy(F.desc("df"), "term").limit(start + high).withColumn("rank", F.row_number().over(W.orderBy(F.desc("df"), "term")))
-    parts = [("high", ranked.where(F.col("rank") <= high)), ("mid", ranked.where(F.col("rank") > start)), ("rare", terms.where(F.col("df").isin(2, 3)))]
-    return align([p.agg(F.count("*").alias("terms"), F.min("df").alias("least"), F.max("df").alias("most")).withColumn("band", F.lit(b)) for b, p in parts]).select("band", "terms", "least", "most")
+def _ranks(terms: DataFrame, sizes: list[tuple[int, int]], first: int, last: int) -> DataFrame:
+    """Terms of ranks ``first`` to ``last`` by (df descending, term). ``sizes``: terms of each df, descending.
 
+    Frequencies that lie within the ranks whole are a filter; of the one or two at the edges, a sorted stretch.
+    """
+    whole, parts, seen = [], [], 0
+    for df, n in sizes:
+        lo, hi = max(first, seen + 1), min(last, seen + n)
+        if lo == seen + 1 and hi == seen + n:
+            whole.append(df)
+        elif lo <= hi:
+            parts.append((df, lo - seen - 1, hi - lo + 1))
+        seen += n
+    found = [terms.where(F.col("df").between(min(whole), max(whole)) if whole else F.lit(False))]
+    return align([*found, *[terms.where(F.col("df") == df).orderBy("term").offset(skip).limit(n) for df, skip, n in parts]])
+
+
+def band_members(terms: DataFrame, high: int = 500) -> DataFrame:
+    """(band, term, df): the ``high`` most frequent; ``high`` after the first quarter; df of 2 or 3."""
+    # A row for each frequency that occurs: far fewer than terms.
+    sizes = sorted(((r["df"], r["n"]) for r in terms.groupBy("df").agg(F.count("*").alias("n")).collect()), reverse=True)
+    start = max(high, sum(n for _, n in sizes) // 4)
+    parts = [("high", _ranks(terms, sizes, 1, high)), ("mid", _ranks(terms, sizes, start + 1, start + high)), ("rare", terms.where(F.col("df").isin(2, 3)))]
+    return align([p.select(F.lit(b).alias("band"), "term", "df") for b, p in parts])
 
-def tier(ids: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """A sample of n ids; a smaller one is contained in a larger one of the same seed."""
-    return ids.select("book_id").distinct().orderBy(F.xxhash64("book_id", F.lit(seed)), "book_id").limit(n)
+
+def bands(terms: DataFrame, high: int = 500) -> DataFrame:
+    """band, terms, least and greatest df of the bands that have terms."""
+    return band_members(terms, high).groupBy("band").agg(F.count("*").alias("terms"), F.min("df").alias("least"), F.max("df").alias("most"))
 
 
 def profile(books: DataFrame, body: str = "body") -> DataFrame:
@@ -99,9 +117,67 @@ def profile(books: DataFrame, body: str = "body") -> DataFrame:
                         (F.length(t) - F.length(F.translate(t, "'’", ""))).cast("long").alias("apostrophes"))
 
 
-def round_robin(rows: DataFrame, category: str, size: str, n: int, per: int = 4) -> DataFrame:
-    """n picks, category by category, smallest first, none twice; candidates are the ``per * n`` smallest of each."""
-    w = W.partitionBy(category).orderBy(size, "book_id")
-    ranked = rows.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= per * n)
+def wrapped_fields(header: Column) -> Column:
+    """Names, in lower case and sorted, of fields whose value goes on in lines that are no field themselves."""
+    name = "^\\s*([A-Za-z][A-Za-z ]*?):"
+    lines = F.filter(F.split(header, "\r\n|[\n\r]"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
+    # A line's field is the last name met up to it; the fold keeps that and what was continued.
+    start = F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("more"))
+
+    def step(s: Column, x: Column) -> Column:
+        own = F.lower(F.btrim(F.regexp_extract(x, name, 1)))
+        more = F.when((own == "") & (s["last"] != ""), F.array_union(s["more"], F.array(s["last"]))).otherwise(s["more"])
+        return F.struct(F.when(own != "", own).otherwise(s["last"]).alias("last"), more.alias("more"))
+
+    return F.aggregate(lines, start, step, lambda s: F.array_sort(s["more"]))
+
+
+#: The categories of books that test an implementation, in their order.
+TRAPS = ("end_marker_quoted", "start_marker_repeated", "no_author", "wrapped_field", "no_release_date", "odd_release_date", "non_ascii_title", "astral", "replacement")
+EXTREMES = (("most_accents", "non_ascii", False), ("most_apostrophes", "apostrophes", False), ("shortest", "n_bytes", True), ("longest", "n_bytes", False))
+
+
+def categories(books: DataFrame, top: int = 5) -> DataFrame:
+    """(category, book_id) of (book_id, header, body): every book in each trap it sets, and the ``top`` of each extreme."""
+    h = F.col("header")
+    release = F.coalesce(field(h, "Release Date"), F.lit(""))
+    rows = books.select("book_id", "body", h, F.coalesce(field(h, "Author"), F.lit("")).alias("author"), F.coalesce(field(h, "Title"), F.lit("")).alias("title"), release.alias("release"))
+    measured = profile(books)
+    flagged = rows.join(measured, "book_id")
+    tests = (F.col("n_end") > 0, F.col("n_start") > 0, F.col("author") == "", F.size(wrapped_fields(F.col("header"))) > 0, F.col("release") == "",
+             (F.col("release") != "") & ~F.col("release").rlike("^[A-Z][a-z]+ [0-9]{1,2}, [0-9]{4} \\[eBook #[0-9]+\\]$"), F.col("title").rlike("[^\\x00-\\x7F]"),
+             F.col("astral") > 0, F.col("replacement") > 0)
+    named = F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in zip(TRAPS, tests)]))
+    out = [flagged.select("book_id", F.explode(named).alias("category")).select("category", "book_id")]
+    for name, column, rising in EXTREMES:
+        order = F.col(column).asc() if rising else F.col(column).desc()
+        out.append(measured.orderBy(order, "book_id").limit(top).select(F.lit(name).alias("category"), "book_id"))
+    return align(out)
+
+
+def approved(runs: DataFrame, rules: DataFrame) -> DataFrame:
+    """Runs that a row of the table of rules allows. Both have the rules' columns; a null in a rule allows any value."""
+    fits = F.lit(True)
+    for c in rules.columns:
+        fits = fits & (F.col(f"r.{c}").isNull() | (F.col(f"l.{c}") == F.col(f"r.{c}")))
+    # The first column of a rule is never null: an equi-join, and the others are checked on what meets.
+    key = rules.columns[0]
+    return runs.alias("l").join(rules.alias("r"), (F.col(f"l.{key}") == F.col(f"r.{key}")) & fits, "left_semi")
+
+
+def stable_sort(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """By several keys, nulls last; what ties is ordered by the other columns, so two runs agree."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.orderBy(*[F.col(c).asc_nulls_last() for c in [*keys, *rest]])
+
+
+def round_robin(rows: DataFrame, category: str, size: str, n: int) -> DataFrame:
+    """n picks, category by category, smallest first, none twice.
+
+    A category of n books alone fills n picks by its n-th turn, so no later turn can be picked and the n smallest of each
+    category are all that is looked at.
+    """
+    one = rows.groupBy(category, "book_id").agg(F.min(size).alias(size))
+    ranked = one.withColumn("turn", F.row_number().over(W.partitionBy(category).orderBy(size, "book_id"))).where(F.col("turn") <= n)
     first = ranked.groupBy("book_id").agg(F.min(F.struct("turn", category, size)).alias("p")).select("book_id", "p.*")
     return first.orderBy("turn", category).limit(n).select("book_id", category, size)

@@ -61,6 +61,17 @@ def refresh_frequencies(terms: DataFrame, old: DataFrame, new: DataFrame, merged
     return terms.join(touched, "term", "left_anti").select("term", "df").unionByName(counted)
 
 
+def read_canonical(spark: SparkSession, path: str) -> DataFrame:
+    """Postings of a canonical export. Records end where one term's entry does, so that one large line is still read in splits; a last comma does no harm."""
+    rows = spark.read.option("lineSep", ']},"').text(path)
+    bare = F.regexp_replace(F.regexp_replace("value", '^\\{"', ""), "\\]\\}\\},?\\s*$", "")
+    part = F.split(bare, '":\\{"df":[0-9]+,"postings":\\[', 2)
+    held = F.from_json(F.concat(F.lit("["), part[1], F.lit("]")), "array<array<string>>")
+    rows = rows.where(F.contains("value", F.lit('"postings":['))).select(part[0].alias("term"), F.explode(held).alias("p"))
+    return rows.select("term", F.col("p")[0].cast("long").alias("book_id"), F.col("p")[1].cast("int").alias("tf"),
+                       F.from_json(F.get("p", F.lit(2)), "array<int>").alias("positions"))
+
+
 class Index:
     """A persisted index in one of three layouts, on any store that Spark writes.
 
@@ -148,9 +159,9 @@ class Index:
             rows = rows.repartitionByRange("term").sortWithinPartitions("term", "book_id")
         rows.write.option("parquet.bloom.filter.enabled#term", "true").parquet(self.store.at(version))
 
-    def add(self, books: DataFrame) -> None:
+    def add(self, books: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> None:
         """Index (book_id, body), replacing what the books had; one commit."""
-        new = build_postings(books)
+        new = build_postings(books, stop_words)
         if not self.positions:
             new = new.withColumn("positions", F.lit(None).cast("array<int>"))
         version = f"v-{uuid.uuid4().hex}"

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import header
+from quillspark.functions.fixed import LANGUAGES
 from quillspark.schemas import BOOK_COLUMNS, BOOKS
 from quillspark.sources.store import Store
 
@@ -16,10 +17,10 @@ from quillspark.sources.store import Store
 _ESCAPE = "\x01"
 
 
-def records(books: DataFrame) -> DataFrame:
+def records(books: DataFrame, languages: dict[str, str] = LANGUAGES) -> DataFrame:
     """(book_id, header, body, header_path, body_path, ingested_at) to rows of ``BOOKS``."""
     return books.select(
-        "book_id", header.parse(F.col("header")).alias("m"), "header_path", "body_path",
+        "book_id", header.parse(F.col("header"), languages).alias("m"), "header_path", "body_path",
         F.octet_length("body").cast("long").alias("body_bytes"), F.sha2("body", 256).alias("sha256"), "ingested_at").select(
         "book_id", "m.title", "m.author", "m.language", "m.release_date", "header_path", "body_path", "body_bytes", "sha256", "ingested_at")
 

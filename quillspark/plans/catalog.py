@@ -6,6 +6,7 @@ characters of the text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import header, paths, split, text
 from quillspark.functions.fixed import END_MARKER, LANGUAGES, START_MARKER, STOP_WORDS
-from quillspark.operators import analytics, control, index, metadata, search
+from quillspark.operators import analytics, control, digest, export, index, metadata, search, workload
 from quillspark.sources.spread import spread
+from quillspark.sources.store import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -495,12 +497,167 @@ def throughput(spark: SparkSession, sf: str) -> DataFrame:
     return analytics.throughput(_table(spark, sf, "part").select("p_partkey", "p_retailprice"), "p_retailprice").select("p_partkey", "per_second")
 
 
-@query("SELECT doc_id AS inside, 100::BIGINT AS small FROM documents WHERE false")
+_TIER = "SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT"
+
+
+@query(f"WITH s AS ({_TIER} 50), l AS ({_TIER} 150) SELECT doc_id AS book_id, doc_id IN (SELECT doc_id FROM s) AS in_small FROM l")
 def nested_tiers(spark: SparkSession, sf: str) -> DataFrame:
-    """The smaller tier less the larger one: nothing is left."""
-    docs = _docs(spark, sf)
-    left = analytics.tier(docs, 100).join(analytics.tier(docs, 200), "book_id", "left_anti")
-    return left.select(F.col("book_id").alias("inside"), F.lit(100).cast("long").alias("small"))
+    """The larger tier, and which of its ids are in the smaller one: all of that."""
+    docs = _table(spark, sf, "documents").select(F.col("doc_id").alias("book_id"))
+    small = workload.tier(docs, 50).withColumn("in_small", F.lit(True))
+    return workload.tier(docs, 150).join(small, "book_id", "full").select("book_id", F.coalesce("in_small", F.lit(False)).alias("in_small"))
+
+
+def _mixes_sql() -> str:
+    rows = ", ".join(f"('{w}', {line}, {part}, '{band}', {turn})" for w, line, part, band, turn in workload.slots())
+    return f"""{_K}, f AS (SELECT term, count(DISTINCT doc_id)::BIGINT AS df FROM k GROUP BY term),
+    r AS (SELECT *, row_number() OVER (ORDER BY df DESC, term) AS rank, greatest(500, count(*) OVER () // 4) AS start FROM f),
+    m AS (SELECT 'high' AS band, term FROM r WHERE rank <= 500 UNION ALL SELECT 'mid', term FROM r WHERE rank > start AND rank <= start + 500
+          UNION ALL SELECT 'rare', term FROM r WHERE df IN (2, 3)),
+    d AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY md5('42:' || term), term) AS turn FROM m),
+    s AS (SELECT * FROM (VALUES {rows}) v(workload, line, part, band, turn)),
+    l AS (SELECT workload, line::INT AS line, string_agg(term, ' ' ORDER BY part) AS query FROM s JOIN d USING (band, turn) GROUP BY workload, line
+          HAVING count(*) = CASE workload WHEN 'and3' THEN 3 WHEN 'and2' THEN 2 ELSE 1 END),
+    i AS (SELECT i, translate(md5('42:absent ' || i), '0123456789', 'ghijklmnop')[1:7 + i % 5] AS term FROM range({10 * workload.ABSENT}) t(i)),
+    a AS (SELECT term, min(i) AS i FROM i WHERE term NOT IN ({_STOP}) AND term NOT IN (SELECT term FROM f) GROUP BY term ORDER BY min(i) LIMIT {workload.ABSENT})
+    SELECT * FROM l UNION ALL SELECT 'absent', (row_number() OVER (ORDER BY i) - 1)::INT, term FROM a"""
+
+
+@query(_mixes_sql())
+def workload_builder(spark: SparkSession, sf: str) -> DataFrame:
+    """Single, two-term and three-term queries from the bands, and terms that no text has."""
+    return workload.build(index_df(spark, sf))
+
+
+@query(f"""{_B}, v AS (SELECT 'author' AS kind, author AS value, 100 AS n FROM b UNION ALL SELECT 'book_id', book_id::VARCHAR, 100 FROM b
+    UNION ALL SELECT 'prefix', title[1:10], 100 FROM b WHERE length(title) >= 10 UNION ALL SELECT 'language', language, 10 FROM b)
+    SELECT kind, value FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY md5('42:' || value), value) AS r FROM (SELECT DISTINCT * FROM v WHERE value IS NOT NULL)) WHERE r <= n""")
+def metadata_parameters(spark: SparkSession, sf: str) -> DataFrame:
+    return workload.metadata_parameters(_books(spark, sf))
+
+
+@query(r"""WITH d AS (SELECT doc_id AS book_id, text AS t, strlen(text) AS n, strlen(regexp_replace(text, '[\x00-\x7F]+', '', 'g')) AS accents, length(text) - length(translate(text, '''’', '')) AS apostrophes FROM documents),
+    x AS (SELECT 'astral' AS category, book_id FROM d WHERE regexp_matches(t, '[\x{10000}-\x{10FFFF}]') UNION ALL SELECT 'replacement', book_id FROM d WHERE contains(t, chr(65533))
+          UNION ALL SELECT 'wrapped_field', book_id FROM d WHERE book_id % 3 = 0 UNION ALL SELECT 'no_author', book_id FROM d WHERE book_id % 5 = 0
+          UNION ALL SELECT 'no_release_date', book_id FROM d WHERE book_id % 7 = 0 UNION ALL SELECT 'odd_release_date', book_id FROM d WHERE book_id % 7 = 1
+          UNION ALL SELECT 'non_ascii_title', book_id FROM d WHERE book_id % 4 = 0),
+    e AS (SELECT *, row_number() OVER (ORDER BY accents DESC, book_id) AS a, row_number() OVER (ORDER BY apostrophes DESC, book_id) AS p, row_number() OVER (ORDER BY n, book_id) AS s, row_number() OVER (ORDER BY n DESC, book_id) AS l FROM d)
+    SELECT * FROM x UNION ALL SELECT 'most_accents', book_id FROM e WHERE a <= 5 UNION ALL SELECT 'most_apostrophes', book_id FROM e WHERE p <= 5
+    UNION ALL SELECT 'shortest', book_id FROM e WHERE s <= 5 UNION ALL SELECT 'longest', book_id FROM e WHERE l <= 5""")
+def book_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """Headers are spoiled by id; each trap and extreme names its books."""
+    i = F.col("doc_id")
+    head = F.concat(F.lit("Title: Book"), F.when(i % 4 == 0, " é").otherwise(""), F.when(i % 3 == 0, "\n    and more").otherwise(""), F.when(i % 5 == 0, "").otherwise("\nAuthor: A"),
+                    F.when(i % 7 == 0, "").when(i % 7 == 1, "\nRelease Date: 1999").otherwise("\nRelease Date: June 1, 1998 [eBook #5]"), F.lit("\n\n"))
+    return analytics.categories(_table(spark, sf, "documents").select(i.alias("book_id"), head.alias("header"), F.col("text").alias("body")))
+
+
+@query("SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') OR (o_orderstatus = 'O' AND o_orderpriority IN ('2-HIGH', '5-LOW')) OR o_orderstatus = 'P'")
+def approved_runs(spark: SparkSession, sf: str) -> DataFrame:
+    rules = spark.createDataFrame([("F", "1-URGENT"), ("O", "2-HIGH"), ("O", "5-LOW"), ("P", None)], "o_orderstatus string, o_orderpriority string")
+    return analytics.approved(_table(spark, sf, "orders"), rules).select("o_orderkey")
+
+
+@query("SELECT c_nationkey, count(*)::BIGINT AS n, CASE WHEN c_nationkey % 3 = 0 THEN NULL ELSE c_nationkey % 4 END AS grade FROM customer GROUP BY c_nationkey ORDER BY grade NULLS LAST, c_nationkey")
+def nulls_last_sort(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    return analytics.stable_sort(rows.withColumn("grade", F.when(F.col("c_nationkey") % 3 != 0, F.col("c_nationkey") % 4)), ["grade", "c_nationkey"])
+
+
+@query("""SELECT count(*)::BIGINT AS n, sha256(string_agg('[' || c_custkey || ', ' || to_json(c_name) || ', ' || c_nationkey || ', ' || coalesce(to_json(nullif(c_mktsegment, 'BUILDING'))::VARCHAR, 'null') || ']' || chr(10), '' ORDER BY c_custkey)) AS sha256 FROM customer""")
+def content_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows, ordered, as one digest."""
+    rows = _table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("c_mktsegment"))
+    return spark.createDataFrame([digest.content_digest(rows, "c_custkey")], "n long, sha256 string")
+
+
+# --- the persisted index
+
+
+_POSTINGS = f"{_K} SELECT term, doc_id AS book_id, count(*)::INT AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM k GROUP BY ALL"
+
+
+def _stored(spark: SparkSession, sf: str, layout: str, positions: bool = True) -> index.Index:
+    """An index on disk, built in two batches and then updated with one of them again."""
+    first, second = _halves(spark, sf)
+    built = index.Index(spark, scratch(spark), layout, positions)
+    built.add(first)
+    built.add(second)
+    built.add(first)
+    return built
+
+
+@query(_POSTINGS)
+def persisted_monolithic(spark: SparkSession, sf: str) -> DataFrame:
+    return _stored(spark, sf, "monolithic").postings().withColumn("positions", F.array_join("positions", ","))
+
+
+@query(_POSTINGS)
+def persisted_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    return _stored(spark, sf, "bucketed").postings().select("term", "book_id", "tf", F.array_join("positions", ",").alias("positions"))
+
+
+@query(_POSTINGS + " ORDER BY term, book_id")
+def persisted_clustered(spark: SparkSession, sf: str) -> DataFrame:
+    return _stored(spark, sf, "clustered").ordered().withColumn("positions", F.array_join("positions", ","))
+
+
+@query(f"{_K} SELECT term, doc_id AS book_id, count(*)::INT AS tf FROM k GROUP BY ALL")
+def persisted_without_positions(spark: SparkSession, sf: str) -> DataFrame:
+    return _stored(spark, sf, "clustered", False).postings().where("positions IS NULL").select("term", "book_id", "tf")
+
+
+@query(_and("erre", "shed"))
+def persisted_and2(spark: SparkSession, sf: str) -> DataFrame:
+    """Two terms by the stored index: the terms are pushed to the scan."""
+    terms = text.query_terms("the erre SHED erre")
+    return search.search_terms(_stored(spark, sf, "clustered").of(terms), terms)
+
+
+@query(f"{_K} SELECT DISTINCT doc_id AS book_id FROM k WHERE term IN ('erre', 'mente', 'nosuchterm') ORDER BY book_id")
+def persisted_or(spark: SparkSession, sf: str) -> DataFrame:
+    terms = text.query_terms("erre mente nosuchterm")
+    return search.search_terms(_stored(spark, sf, "bucketed").of(terms), terms, "or")
+
+
+@query(f"{_K} SELECT doc_id AS book_id, count(*)::INT AS tf FROM k WHERE term = 'erre' GROUP BY doc_id ORDER BY book_id")
+def persisted_postings_of(spark: SparkSession, sf: str) -> DataFrame:
+    """The postings of one term, books ascending."""
+    return _stored(spark, sf, "monolithic").of(["erre"]).select("book_id", "tf").orderBy("book_id")
+
+
+@query(f"{_K} SELECT term, count(DISTINCT doc_id)::BIGINT AS df FROM k GROUP BY term")
+def persisted_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return _stored(spark, sf, "bucketed").terms()
+
+
+@query(f"{_K} SELECT DISTINCT term FROM k ORDER BY term")
+def persisted_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    return _stored(spark, sf, "clustered").vocabulary()
+
+
+@query(f"""{_K}, p AS (SELECT term, doc_id, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS ps FROM k GROUP BY ALL),
+    e AS (SELECT term, to_json(term)::VARCHAR || ':{{"df":' || count(*) || ',"postings":[' || string_agg('[' || doc_id || ',' || tf || ',[' || ps || ']]', ',' ORDER BY doc_id) || ']}}' AS line FROM p GROUP BY term)
+    SELECT 'canonical' AS export, sha256('{{' || string_agg(line, ',' ORDER BY term) || '}}') AS sha256 FROM e""")
+def export_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """The digest of the canonical export of a stored index; its bytes are fixed."""
+    found = hashlib.sha256()
+    for piece in export.canonical_chunks(_stored(spark, sf, "clustered").postings()):
+        found.update(piece.encode())
+    return spark.createDataFrame([("canonical", found.hexdigest())], "export string, sha256 string")
+
+
+@query(_POSTINGS)
+def canonical_load(spark: SparkSession, sf: str) -> DataFrame:
+    """A canonical export written as one text, and read back into postings."""
+    place = scratch(spark)
+    lines = index.entries(index.build_postings(_docs(spark, sf))).select(
+        "term", F.concat(digest.json_value(F.col("term")), F.lit(':{"df":'), F.col("df").cast("string"), F.lit(',"postings":['), F.col("postings"), F.lit("]}")).alias("line"))
+    # Parts of the one object: a comma after each, its braces at the ends.
+    first, last = lines.agg(F.min("term"), F.max("term")).first()
+    said = F.concat(F.when(F.col("term") == first, "{").otherwise(""), F.col("line"), F.when(F.col("term") == last, "}").otherwise(""))
+    lines.orderBy("term").select(said.alias("value")).coalesce(1).write.option("lineSep", ",").text(place)
+    return index.read_canonical(spark, place).withColumn("positions", F.array_join("positions", ","))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -101,6 +101,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(line.alias("term")).where((F.col("term") != "") & ~F.col("term").startswith("#"))
 
 
+def read_golden(spark: SparkSession, path: str) -> DataFrame:
+    """Token fixtures, a JSON line for each book."""
+    return spark.read.schema("book_id long, n_tokens_raw long, n_tokens_kept long, sha256_tokens string").json(path)
+
+
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """name=code lines."""
     lines = read_lines(spark, path).where(F.col("term").contains("="))

@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions.paths import inside, parse_instant
 from quillspark.functions.split import decode
 from quillspark.sources.files import write_text
 
@@ -55,18 +56,26 @@ class Lake:
 
     def _found(self, part: str, since: str | None = None) -> DataFrame:
         reader = self.spark.read.format("binaryFile")
-        place = self.workspace / "datalake"
+        place = self.workspace.resolve() / "datalake"
         if not any(place.glob(_GLOBS[self.layout].format(part=part))):
             return self.spark.createDataFrame([], "book_id long, path string, modified timestamp, d1 string, d2 string, content binary")
-        files = reader.load(f"{place}/{_GLOBS[self.layout].format(part=part)}")
+        wanted = [f"{place}/{_GLOBS[self.layout].format(part=part)}"]
+        if since is not None and self.layout == "time":  # folders of hours before it are not even listed
+            from_ = self.spark.range(1).select(F.date_format(parse_instant(F.lit(since)), "yyyyMMddHH")).first()[0] or ""
+            days = [d for d in place.glob("[0-9]*") if d.name >= from_[:8]]
+            hours = [h for d in days for h in d.glob("[0-9][0-9]") if d.name + h.name >= from_]
+            wanted = [f"{h}/*.{part}.txt" for h in hours if any(h.glob(f"*.{part}.txt"))]
+            if not wanted:
+                return self._found(part).limit(0)
+        files = reader.load(wanted)
         rows = files.select(*[F.regexp_extract("path", _IDS[self.layout], i).alias(n) for i, n in ((1, "d1"), (2, "d2"), (3, "id"))], "path", "modificationTime", "content").where("id <> ''")
-        rows = rows.select(F.col("id").cast("long").alias("book_id"), F.regexp_extract("path", "(datalake/.*)$", 1).alias("path"),
+        rows = rows.select(F.col("id").cast("long").alias("book_id"), inside(str(self.workspace.resolve()), F.col("path")).alias("path"),
                            F.col("modificationTime").alias("modified"), "d1", "d2", "content")
         if self.layout == "hash":  # a misplaced file is none
             six = F.lpad(F.col("book_id").cast("string"), 6, "0")
             rows = rows.where((F.col("d1") == F.substring(six, 1, 2)) & (F.col("d2") == F.substring(six, 3, 2)))
         if since is not None:
-            instant = F.lit(since).cast("timestamp")
+            instant = parse_instant(F.lit(since))
             if self.layout == "time":
                 hour = F.date_format(instant, "yyyyMMddHH")
                 rows = rows.where(F.concat("d1", "d2") >= hour)
@@ -82,6 +91,16 @@ class Lake:
         return both.groupBy("book_id").agg(F.max(F.struct("d1", "d2", "header_path", "body_path", "header", "body", "modified")).alias("x")).select(
             "book_id", "x.header_path", "x.body_path", "x.header", "x.body", "x.modified")
 
+    def bodies(self, ids: list[int]) -> DataFrame:
+        """(book_id, body) of a batch of complete books, from their files alone: the layout's rule names them."""
+        found = [(i, p) for i in ids if (p := self.lookup(i))]
+        if not found:
+            return self.spark.createDataFrame([], "book_id long, body string")
+        place = self.workspace.resolve()
+        files = self.spark.read.format("binaryFile").load([str(place / body) for _, (_, body) in found])
+        part = "/(\\d+)/body\\.txt$" if self.layout == "book" else "/(\\d+)\\.body\\.txt$"
+        return files.select(F.regexp_extract("path", part, 1).cast("long").alias("book_id"), decode(F.col("content")).alias("body"))
+
     def list_new(self, since: str | None = None) -> DataFrame:
         return self._found("body", since).select("book_id").distinct().orderBy("book_id")
 

@@ -8,6 +8,8 @@ makes stale is deleted by the next one: readers of the state before keep their f
 from __future__ import annotations
 
 import json
+import os
+import tempfile
 import uuid
 
 from pyspark import SparkContext
@@ -53,7 +55,29 @@ class Store:
         """Names of the folders within a folder, sorted."""
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(name)) if s.isDirectory())
 
+    def stats(self, name: str = "") -> dict[str, int]:
+        """files, dirs below, bytes, and allocated bytes: blocks of a local disk, or bytes with all replicas."""
+        if not self.exists(name):
+            return {"files": 0, "dirs": 0, "bytes": 0, "allocated_bytes": 0}
+        s = self.fs.getContentSummary(self._path(name))
+        allocated = s.getSpaceConsumed()
+        if self.fs.getScheme() == "file":
+            top = self._path(name).toUri().getPath()
+            allocated = sum(os.stat(p).st_blocks * 512 for d, _, files in os.walk(top) for p in [d, *[os.path.join(d, f) for f in files]])
+        return {"files": s.getFileCount(), "dirs": s.getDirectoryCount() - 1, "bytes": s.getLength(), "allocated_bytes": allocated}
+
     def drop(self, *names: str) -> None:
         for name in names:
             self.fs.delete(self._path(name), True)
 
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; a temporary one in a local session that names none."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="quillspark-core-")
+    return f"{named}/quill-core-{uuid.uuid4().hex}"
