@@ -59,17 +59,18 @@ def encode(ids: np.ndarray) -> np.ndarray:
         bits = np.where(high > 0, 30 + np.frexp(high)[1], np.frexp(low)[1]).astype(np.int8)
     # The selector of most ids that can start at a place wins.
     selector = np.full(n, 15, dtype=np.int8)
-    over = np.zeros(n + 1, dtype=np.int32)
     for s in range(14, -1, -1):
         count, width = COUNTS[s], (0 if s < 2 else 60 // COUNTS[s])
-        wide = bits > width
-        if count > n or n - np.count_nonzero(wide) < count:
-            break  # nor does any selector of more, narrower ids
-        np.cumsum(wide, dtype=np.int32, out=over[1:])
-        ok = over[count:] == over[:-count]
+        if count > n:
+            break  # nor does any selector of more, narrower ids fit
+        ok, held = bits <= width, 1  # whether the next ``held`` ids are narrow
+        while 2 * held <= count:
+            ok, held = ok[:-held] & ok[held:], 2 * held
+        if held < count:
+            ok = ok[: n - count + 1] & ok[count - held :]
         if not ok.any():
             break
-        selector[: n - count + 1][ok] = s
+        np.copyto(selector[: n - count + 1], s, where=ok)
     step = np.array(COUNTS, dtype=np.uint8)[selector].tobytes()
     starts, at = [], 0
     while at < n:

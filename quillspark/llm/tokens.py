@@ -28,7 +28,7 @@ BYTE_CHUNKS = f" ?{_WORD}| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 #: ... a word tokenizer drops it, so ASCII white space alone is enough to cut at.
 WORD_CHUNKS = f"{_WORD}|[^\t-\r ]+"
 
-CACHE_LIMIT = 650_000
+CACHE_LIMIT = 900_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -67,7 +67,10 @@ class ChunkEncoder(dict):
             kept = dict(islice(self.items(), self.limit // 2))
             self.clear()
             self.update(kept)
-        if self.word(chunk):  # one word before the merges: the model alone will do
+        rest = chunk[1:]
+        if chunk.isascii() and rest.isalpha() and (chunk[0] == " " or chunk[0].isalpha()):  # the usual word
+            ids = [t.id for t in self.model.tokenize(chunk.lower() if self.lower else self.space + rest if chunk[0] == " " else chunk)]
+        elif self.word(chunk):  # one word before the merges: the model alone will do
             word = chunk.lower() if self.lower else chunk
             word = word.replace(" ", self.space) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
             ids = [t.id for t in self.model.tokenize(word)]
