@@ -297,6 +297,7 @@ def _open(rows: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, class_id (least doc_id of its class) and kept, for every row."""
     spark = docs.sparkSession
+    caches.trim()  # what an operator before this one left on the driver
     docs = _single(docs)
     with scratch.batches(spark, 1000):
         all_docs, _ = scratch.table(sketch(docs, least), "sketches")
