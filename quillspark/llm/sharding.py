@@ -38,10 +38,13 @@ def _buckets(rows: int) -> int:
     return min(4096, max(64, rows // 2_000))
 
 
-def _ranked(df: DataFrame, keys: list[str], buckets: int, together: Column | None = None) -> DataFrame:
-    """Append ``rank``: gapless from 0 within ``keys``, by bucket, doc_id and hub; first the light hubs ``together``, each in one piece."""
+def _ranked(df: DataFrame, keys: list[str], buckets: int, together: Column | None = None, salt: int = 0) -> DataFrame:
+    """Append ``rank``: gapless from 0 within ``keys``, by bucket, doc_id and hub; first the light hubs ``together``, each in one piece.
+
+    Ranks follow buckets, so shards that were cut by a rank need another ``salt``: with the same one a shard would hold few buckets, whole.
+    """
     spark = df.sparkSession
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets))
+    bucket = F.pmod(F.xxhash64(F.lit(salt), "doc_id", "hub"), F.lit(buckets))
     order = [F.col("doc_id").asc_nulls_first(), F.col("hub")]
     if together is not None:
         bucket = F.when(together, F.pmod(F.xxhash64("hub"), F.lit(buckets))).otherwise(bucket + buckets)
@@ -192,6 +195,6 @@ def shard_documents(docs: DataFrame, shards: int = 8, hub: Column | None = None)
     done = done.unionByName(placed.where("stays").select(*columns)).unionByName(fill.withColumn("shard", to.cast("int")).select(*columns))
     done, _ = scratch.table(done, "shard-done", narrow=True)
     scratch.drop(spark, state_path, placed_path)
-    return _ranked(done, ["shard"], buckets).select(
+    return _ranked(done, ["shard"], buckets, salt=1).select(
         "doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard",
         F.col("rank").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
