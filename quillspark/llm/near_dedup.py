@@ -13,7 +13,8 @@ most (a + b) / 9 from the diagonal, so only that band is searched, without loss.
 Documents of equal words are one row first. Within a bucket, candidates are not expanded into
 pairs: a bucket's members are compared with its least document, what is linked is joined,
 and then only documents outside the bucket's main component lead further rounds, about
-``LEADERS`` at a time and each in two, eight, then all of its buckets, until the bucket lies in one component or all have led. So a group of n copies costs about n
+``LEADERS`` in the first of them, twice as many in each that follows, and each in two, eight, then all of its buckets, until the bucket lies in one component or
+all have led. So rounds grow with the logarithm of the largest bucket, not with its size. A group of n copies costs about n
 comparisons, and every candidate pair is either compared, or already linked, or cannot reach 0.8:
 after the first two rounds, the shingles that only one of the remaining documents has are counted, and
 bound what it can share with any partner of its bucket. Sizes and least documents are partial aggregates, returned by an
@@ -50,7 +51,7 @@ from quillspark.llm.components import components
 SHINGLE, BANDS, ROWS, KEPT = 5, 28, 2, 3
 #: Up to so many shingles, candidates are found exactly.
 SHORT = 32
-#: So many documents of a bucket, about, lead in a round.
+#: So many documents of a bucket, about, lead in the round after the first; then twice as many in each round.
 LEADERS = 64
 WORD_CACHE = 150_000
 
@@ -321,10 +322,12 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
         sizes = sizes.select("band", (-F.col("top.neg")).alias("main"), (F.col("size") - F.col("top.k")).alias("others"), "low", "size")
         # First the least document of each bucket leads; then documents outside its main component do, some at
         # a time, and each in a few of its smallest buckets only: once it is linked, the others need no more.
-        lead = F.col("doc") == F.col("low") if turn == 0 else (F.col("c") != F.col("main")) & (F.pmod(F.xxhash64("doc"), F.ceil(F.col("others") / LEADERS)) == 0)
-        leaders = active.join(sizes, "band").where(lead | (F.col("doc") == F.when(F.col("others") > LEADERS, F.col("low"))))
+        step = max(1, min(turn, 24))  # its powers are longs
+        many = LEADERS * 2 ** (step - 1)
+        lead = F.col("doc") == F.col("low") if turn == 0 else (F.col("c") != F.col("main")) & (F.pmod(F.xxhash64("doc"), F.ceil(F.col("others") / many)) == 0)
+        leaders = active.join(sizes, "band").where(lead | (F.col("doc") == F.when(F.col("others") > many, F.col("low"))))
         if turn:
-            leaders = leaders.withColumn("at", F.row_number().over(W.partitionBy("doc").orderBy("size", "band"))).where(F.col("at") <= 2 ** (2 * turn - 1))
+            leaders = leaders.withColumn("at", F.row_number().over(W.partitionBy("doc").orderBy("size", "band"))).where(F.col("at") <= 2 ** (2 * step - 1))
         leaders = leaders.select("band", F.col("doc").alias("leader"), F.col("n").alias("ln"), F.col("free").alias("lfree"), F.col("c").alias("lc"))
         leaders, leaders_path = scratch.table(leaders, "leaders", narrow=True)
         members, leading = active, leaders

@@ -452,6 +452,28 @@ def grams(t):
     return [tuple(w[i : i + 5]) for i in range(len(w) - 4)] or ([tuple(w)] if w else [])
 
 
+def test_near_duplicates_of_a_bucket_that_never_joins(spark, monkeypatch):
+    """42 texts share a passage, none is similar to another: their bucket is open until all have led, in rounds that double."""
+    monkeypatch.setattr(near_dedup, "LEADERS", 4)
+    rounds, table = [], scratch.table
+
+    def counted(df, name, *a, **b):
+        rounds.append(name)
+        assert rounds.count("leaders") < 8
+        return table(df, name, *a, **b)
+
+    monkeypatch.setattr(scratch, "table", counted)
+
+    def passage(name):
+        return " ".join(f"{name}w{i}" for i in range(14))
+
+    texts = [" ".join((passage("all"), passage(f"a{i}"), passage(f"a{j}"))) for i in range(7) for j in range(7) if i != j]
+    near = texts[7] + " end"
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(docs_of(spark, [*texts, near])).collect()}
+    assert got == {i: i for i in range(len(texts))} | {len(texts): 7}
+    assert rounds.count("leaders") > 2  # the bucket went on
+
+
 def test_near_duplicates(spark):
     rng = random.Random(12)
     texts = [prose(rng, 120) for _ in range(12)]
