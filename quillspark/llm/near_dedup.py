@@ -16,8 +16,9 @@ and then only documents outside the bucket's main component lead further rounds,
 ``LEADERS`` in the first of them, twice as many in each that follows, and each in two, eight, then all of its buckets, until the bucket lies in one component or
 all have led. So rounds grow with the logarithm of the largest bucket, not with its size. A group of n copies costs about n
 comparisons, and every candidate pair is either compared, or already linked, or cannot reach 0.8:
-after the first two rounds, the shingles that only one of the remaining documents has are counted, and
-bound what it can share with any partner of its bucket. Sizes and least documents are partial aggregates, returned by an
+after the first two rounds, the shingles that few of the remaining documents have (one, or up to ``SELDOM`` where a bucket is large) are set apart. Pairs that
+reach 0.8 only with those are found by a join on them and compared at once; the others of a document bound what it can
+share with any partner of its bucket, so a large cluster's looser variants, which chance edits in common, lead no rounds. Sizes and least documents are partial aggregates, returned by an
 equi-join that adaptive execution splits; no bucket is gathered into a task.
 
 Recall is exact where the shorter text has at most ``SHORT`` shingles: such texts meet by the prefix filter, since
@@ -53,6 +54,8 @@ SHINGLE, BANDS, ROWS, KEPT = 5, 28, 2, 3
 SHORT = 32
 #: So many documents of a bucket, about, lead in the round after the first; then twice as many in each round.
 LEADERS = 64
+#: Shingles that at most so many remaining documents have, and at most one in ``SELDOM_OF`` of the largest bucket's number, are met by a join of their own.
+SELDOM, SELDOM_OF = 32, 64
 WORD_CACHE = 150_000
 
 _words = re.compile(r"[^\W_]+").findall
@@ -264,8 +267,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     return joined.select("doc", "leader", "a", "b").mapInPandas(run, "doc long, leader long").distinct()
 
 
-def _unshared(active: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc, alone: the shingles that no other active document has. No partner can align with those."""
+def _seldom(active: DataFrame, docs: DataFrame, most: int) -> tuple[DataFrame, str]:
+    """s, doc, many: the shingles that at most ``most`` active documents have, and how many have them."""
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,9 +277,24 @@ def _unshared(active: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc": batch["doc"], "s": [labelled(shingles(words(t))).view(np.int64) for t in batch["text"].tolist()]})
 
-    rows = texts.join(active.select("doc").distinct(), "doc", "left_semi").mapInPandas(run, "doc long, s array<long>")
-    seen = rows.select("doc", F.explode("s").alias("s")).groupBy("s").agg(F.min("doc").alias("doc"), F.max("doc").alias("other"))
-    return seen.where("doc = other").groupBy("doc").agg(F.count("*").alias("alone"))
+    with scratch.batches(spark, 1000):
+        rows, path = scratch.table(texts.join(active.select("doc").distinct(), "doc", "left_semi").mapInPandas(run, "doc long, s array<long>"), "shingles")
+    rows = rows.select("doc", F.explode("s").alias("s"))
+    many = rows.groupBy("s").agg(F.count("*").alias("many")).where(F.col("many") <= most)
+    seldom, seldom_path = scratch.table(rows.join(many, "s").select("s", "doc", "many"), "seldom", narrow=True)
+    scratch.drop(spark, path)
+    return seldom, seldom_path
+
+
+def _by_seldom(seldom: DataFrame, free: DataFrame, least: float) -> DataFrame:
+    """Those pairs (doc, leader) that reach ``least`` only with shingles that few have, and share enough of them: no row of another pair is made."""
+    need = least / (1 + least)
+    own = seldom.where("many > 1").select("s", "doc")
+    shared = own.join(own.select("s", F.col("doc").alias("leader")), "s").where("doc > leader").groupBy("doc", "leader").agg(F.count("*").alias("shared"))
+    sizes = free.select("doc", "n", "free", "c").distinct()
+    both = shared.join(sizes, "doc").join(sizes.toDF("leader", "ln", "lfree", "lc"), "leader")
+    return both.where(f"c <> lc AND least(n, ln) >= greatest(n, ln) * {least - 1e-9} AND least(free, lfree) < {need} * (n + ln) - 1e-6"
+                      f" AND least(free, lfree) + shared >= {need} * (n + ln) - 1e-6").select("doc", "leader")
 
 
 def _single(docs: DataFrame) -> DataFrame:
@@ -295,6 +314,14 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.join(spans, "band", "left_semi")
 
 
+def _joined(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """The components after the links that were found."""
+    if found.isEmpty():
+        return roots
+    links = found.select(F.col("doc").alias("u"), F.col("leader").alias("v"))
+    return components(links.unionByName(roots.select(F.col("id").alias("u"), F.col("component").alias("v"))))
+
+
 def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, class_id (least doc_id of its class) and kept, for every row."""
     spark = docs.sparkSession
@@ -307,7 +334,7 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
     chosen = all_docs.where("bands IS NOT NULL").join(reps, (all_docs["key"] == reps["key"]) & (all_docs["doc_id"] == reps["rep"]), "left_semi")
     rows = chosen.select(F.col("doc_id").alias("doc"), "n", F.explode("bands").alias("band"))
     met = rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band", F.col("c").alias("size"))
-    # free: the shingles of a document that a partner may have. c: its component.
+    # free: the shingles of a document that any partner may have. c: its component.
     active, active_path = scratch.table(rows.join(met, "band").distinct().select("band", "doc", "n", F.col("n").alias("free"), F.col("doc").alias("c"), F.col("size").alias("all")), "buckets", narrow=True)
     roots = spark.createDataFrame([], "id long, component long")
     every, _ = scratch.table(active.groupBy("doc").agg(F.collect_list("band").alias("every")), "bands-of", narrow=True)  # at most BANDS each
@@ -343,9 +370,7 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
         pairs, pairs_path = scratch.table(pairs, "pairs", narrow=True)
         with scratch.batches(spark, 1000):
             found, found_path = scratch.table(_verify(pairs, docs, least), "found")
-        if not found.isEmpty():
-            links = found.select(F.col("doc").alias("u"), F.col("leader").alias("v"))
-            roots = components(links.unionByName(roots.select(F.col("id").alias("u"), F.col("component").alias("v"))))
+        roots = _joined(found, roots)
         # A leader has met all others. A bucket goes on while it spans several components.
         left = active.where("all > 2") if turn == 0 else active  # two have met
         left = left.drop("c").join(leaders.select("band", F.col("leader").alias("doc")), ["band", "doc"], "left_anti")
@@ -355,14 +380,23 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
         scratch.drop(spark, active_path, found_path, leaders_path, pairs_path, left_path)
         active_path = rest_path
         if turn < 2 and not rest.isEmpty():
-            # A document goes on if its shared shingles are enough for a partner of its bucket.
-            lone = _unshared(rest, docs)
-            free = rest.join(lone, "doc", "left").select("band", "doc", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("free"), "c", "all")
+            # Pairs that need shingles which few have are found by those, now. A document goes on if its others
+            # are enough for a partner of its bucket.
+            most = max(1, min(SELDOM, rest.agg(F.max("all")).first()[0] // SELDOM_OF))
+            seldom, seldom_path = _seldom(rest, docs, most)
+            free = rest.join(seldom.groupBy("doc").agg(F.count("*").alias("few")), "doc", "left").select(
+                "band", "doc", "n", (F.col("n") - F.coalesce("few", F.lit(0))).alias("free"), "c", "all")
             free, free_path = scratch.table(free, "free", narrow=True)
+            if most > 1:
+                pairs, pairs_path = scratch.table(_by_seldom(seldom, free, least), "pairs", narrow=True)
+                with scratch.batches(spark, 1000):
+                    found, found_path = scratch.table(_verify(pairs, docs, least), "found")
+                roots = _joined(found, roots)
+                scratch.drop(spark, pairs_path, found_path)
             shortest = free.groupBy("band").agg(F.min("n").alias("low"))
             able = free.join(shortest, "band").where(f"free >= {need} * (n + greatest(low, {least} * n)) - 1e-6").select("band", "doc", "n", "free", "c", "all")
             rest, active_path = scratch.table(able, "buckets", narrow=True)
-            scratch.drop(spark, rest_path, free_path)
+            scratch.drop(spark, rest_path, free_path, seldom_path)
         active, turn = rest, turn + 1
     classes = reps.join(roots, reps["rep"] == roots["id"], "left").select("key", F.coalesce("component", "rep").alias("class_id"))
     out = all_docs.where("doc_id IS NOT NULL").select("doc_id", "key").join(classes, "key").select("doc_id", "class_id")

@@ -452,6 +452,35 @@ def grams(t):
     return [tuple(w[i : i + 5]) for i in range(len(w) - 4)] or ([tuple(w)] if w else [])
 
 
+def test_loose_variants_of_a_large_cluster_are_not_all_compared(spark, monkeypatch):
+    """40 variants of a text, each too far from it and from the others, whose edits come by twos: no edit is any variant's own, yet few pairs can reach 0.8."""
+    monkeypatch.setattr(near_dedup, "SELDOM_OF", 8, raising=False)
+    compared, verify = [], near_dedup._verify
+
+    def counted(pairs, *a):
+        compared.append(pairs.count())
+        return verify(pairs, *a)
+
+    monkeypatch.setattr(near_dedup, "_verify", counted)
+    base = [f"w{i}" for i in range(200)]
+
+    def variant(*edits):
+        return " ".join(f"e{dict(edits)[i]}" if i in dict(edits) else w for i, w in enumerate(base))
+
+    # Edit k of variant i is also that of one other variant, another one for each k.
+    texts = [" ".join(base)] + [variant(*((20 + 30 * k, f"{k}x{min(i, i ^ 2 ** k)}") for k in range(5)), (5, f"5x{i // 2}")) for i in range(40)]
+    twin = texts[9].replace("w199", "end")
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in [*texts, twin]]
+    like = {(i, j) for i in range(42) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    classes = list(range(42))
+    for i, j in sorted(like):
+        classes = [min(classes[i], classes[j]) if c in (classes[i], classes[j]) else c for c in classes]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(docs_of(spark, [*texts, twin])).collect()}
+    assert got == dict(enumerate(classes))
+    assert (41, 9) in like and len(like) < 60
+    assert sum(compared) < 300  # of 861, most of them in the first round
+
+
 def test_near_duplicates_of_a_bucket_that_never_joins(spark, monkeypatch):
     """42 texts share a passage, none is similar to another: their bucket is open until all have led, in rounds that double."""
     monkeypatch.setattr(near_dedup, "LEADERS", 4)
