@@ -17,7 +17,8 @@ and then only documents outside the bucket's main component lead further rounds,
 all have led. So rounds grow with the logarithm of the largest bucket, not with its size. A group of n copies costs about n
 comparisons, and every candidate pair is either compared, or already linked, or cannot reach 0.8:
 after the first two rounds, the shingles that few of the remaining documents have (one, or up to ``SELDOM`` where a bucket is large) are set apart. Pairs that
-reach 0.8 only with those are found by a join on them and compared at once; the others of a document bound what it can
+reach 0.8 only with those are found by a join on them, where both have the shingle among their rarest (the prefix filter: what they share lies at or
+after that place in both), and compared at once; the others of a document bound what it can
 share with any partner of its bucket, so a large cluster's looser variants, which chance edits in common, lead no rounds. Sizes and least documents are partial aggregates, returned by an
 equi-join that adaptive execution splits; no bucket is gathered into a task.
 
@@ -268,7 +269,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
 
 
 def _seldom(active: DataFrame, docs: DataFrame, most: int) -> tuple[DataFrame, str]:
-    """s, doc, many: the shingles that at most ``most`` active documents have, and how many have them."""
+    """doc, few: its shingles that at most ``most`` active documents have, as (many, s), the rarest first."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
 
@@ -281,20 +282,33 @@ def _seldom(active: DataFrame, docs: DataFrame, most: int) -> tuple[DataFrame, s
         rows, path = scratch.table(texts.join(active.select("doc").distinct(), "doc", "left_semi").mapInPandas(run, "doc long, s array<long>"), "shingles")
     rows = rows.select("doc", F.explode("s").alias("s"))
     many = rows.groupBy("s").agg(F.count("*").alias("many")).where(F.col("many") <= most)
-    seldom, seldom_path = scratch.table(rows.join(many, "s").select("s", "doc", "many"), "seldom", narrow=True)
+    few = rows.join(many, "s").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("many", "s"))).alias("few"))
+    seldom, seldom_path = scratch.table(few, "seldom")
     scratch.drop(spark, path)
     return seldom, seldom_path
 
 
+def _rarest(seldom: DataFrame, free: DataFrame, least: float) -> DataFrame:
+    """s, doc, n, free, c, at: the shingles by which a document can meet a partner first (the prefix filter), if another has them."""
+    rows = free.select("doc", "n", "free", "c").distinct().join(seldom, "doc")
+    first = F.expr(f"slice(few, 1, cast(n - ceil({least} * n - 1e-9) + 1 AS int))")
+    return rows.select("doc", "n", "free", "c", F.posexplode(first).alias("at", "x")).where("x.many > 1").select("x.s", "doc", "n", "free", "c", "at")
+
+
+def _meet(rarest: DataFrame, least: float) -> DataFrame:
+    """Rows (doc, leader) for shingles at which the two can meet first and still share enough: rarest first, what two share lies at or after that place in both."""
+    enough = f"{least / (1 + least)} * (n + ln) - 1e-6"
+    return rarest.join(rarest.toDF("s", "leader", "ln", "lfree", "lc", "lat"), "s").where(
+        f"doc > leader AND c <> lc AND least(n, ln) >= greatest(n, ln) * {least - 1e-9} AND least(free, lfree) < {enough} AND least(n - at, ln - lat) >= {enough}")
+
+
 def _by_seldom(seldom: DataFrame, free: DataFrame, least: float) -> DataFrame:
-    """Those pairs (doc, leader) that reach ``least`` only with shingles that few have, and share enough of them: no row of another pair is made."""
-    need = least / (1 + least)
-    own = seldom.where("many > 1").select("s", "doc")
-    shared = own.join(own.select("s", F.col("doc").alias("leader")), "s").where("doc > leader").groupBy("doc", "leader").agg(F.count("*").alias("shared"))
-    sizes = free.select("doc", "n", "free", "c").distinct()
-    both = shared.join(sizes, "doc").join(sizes.toDF("leader", "ln", "lfree", "lc"), "leader")
-    return both.where(f"c <> lc AND least(n, ln) >= greatest(n, ln) * {least - 1e-9} AND least(free, lfree) < {need} * (n + ln) - 1e-6"
-                      f" AND least(free, lfree) + shared >= {need} * (n + ln) - 1e-6").select("doc", "leader")
+    """Those pairs (doc, leader) that reach ``least`` only with shingles that few have, and share enough of them."""
+    rarest, _ = scratch.table(_rarest(seldom, free, least), "rarest", narrow=True)
+    met = _meet(rarest, least).select("doc", "leader", (F.col("n") + F.col("ln")).alias("both"), F.least("free", "lfree").alias("free")).distinct()
+    few = seldom.select("doc", F.col("few.s").alias("few"))
+    return met.join(few, "doc").join(few.toDF("leader", "lfew"), "leader").where(
+        f"free + size(array_intersect(few, lfew)) >= {least / (1 + least)} * both - 1e-6").select("doc", "leader")
 
 
 def _single(docs: DataFrame) -> DataFrame:
@@ -384,7 +398,7 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
             # are enough for a partner of its bucket.
             most = max(1, min(SELDOM, rest.agg(F.max("all")).first()[0] // SELDOM_OF))
             seldom, seldom_path = _seldom(rest, docs, most)
-            free = rest.join(seldom.groupBy("doc").agg(F.count("*").alias("few")), "doc", "left").select(
+            free = rest.join(seldom.select("doc", F.size("few").alias("few")), "doc", "left").select(
                 "band", "doc", "n", (F.col("n") - F.coalesce("few", F.lit(0))).alias("free"), "c", "all")
             free, free_path = scratch.table(free, "free", narrow=True)
             if most > 1:

@@ -481,6 +481,39 @@ def test_loose_variants_of_a_large_cluster_are_not_all_compared(spark, monkeypat
     assert sum(compared) < 300  # of 861, most of them in the first round
 
 
+def rows_of_joins(plan):
+    """Rows that the joins of a plan made, which has run."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return rows_of_joins(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return rows_of_joins(plan.plan())
+    below = plan.children()
+    return ("Join" in name and plan.metrics().apply("numOutputRows").value()) + sum(rows_of_joins(below.apply(i)) for i in range(below.size()))
+
+
+def test_variants_that_share_an_edit_are_joined_only_where_they_can_reach_the_least(spark, monkeypatch):
+    """40 variants of a text, four edits of each its own and four those of one other variant: 80 pairs share an edit, one pair is similar."""
+    monkeypatch.setattr(near_dedup, "SELDOM_OF", 8)
+    made, by_seldom = [], near_dedup._by_seldom
+
+    def counted(*a):
+        pairs = by_seldom(*a)
+        pairs.collect()
+        made.append(rows_of_joins(pairs._jdf.queryExecution().executedPlan()))
+        return pairs
+
+    monkeypatch.setattr(near_dedup, "_by_seldom", counted)
+    texts = []
+    for i in range(40):
+        edits = {10 + 40 * k: f"{k}o{i}" for k in range(4)} | {30 + 40 * k: f"{k}x{min(i, i ^ 2 ** k)}" for k in range(4)}
+        texts.append(" ".join(edits.get(j, f"w{j}") for j in range(200)))
+    texts.append(texts[9].replace("w199", "end"))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(docs_of(spark, texts)).collect()}
+    assert got == {i: i for i in range(40)} | {40: 9}
+    assert made and sum(made) < 100
+
+
 def test_near_duplicates_of_a_bucket_that_never_joins(spark, monkeypatch):
     """42 texts share a passage, none is similar to another: their bucket is open until all have led, in rounds that double."""
     monkeypatch.setattr(near_dedup, "LEADERS", 4)
