@@ -339,7 +339,7 @@ def _joined(found: DataFrame, roots: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, class_id (least doc_id of its class) and kept, for every row."""
     spark = docs.sparkSession
-    caches.trim()  # what an operator before this one left on the driver
+    scratch.tidy(spark)  # what an operator before this one left on the driver
     docs = _single(docs)
     with scratch.batches(spark, 1000):
         all_docs, _ = scratch.table(sketch(docs, least), "sketches")
@@ -351,7 +351,9 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
     # free: the shingles of a document that any partner may have. c: its component.
     active, active_path = scratch.table(rows.join(met, "band").distinct().select("band", "doc", "n", F.col("n").alias("free"), F.col("doc").alias("c"), F.col("size").alias("all")), "buckets", narrow=True)
     roots = spark.createDataFrame([], "id long, component long")
-    every, _ = scratch.table(active.groupBy("doc").agg(F.collect_list("band").alias("every")), "bands-of", narrow=True)  # at most BANDS each
+    every, every_path = scratch.table(active.groupBy("doc").agg(F.collect_list("band").alias("every")), "bands-of", narrow=True)  # at most BANDS each
+    # Texts that meet no other are not read again.
+    docs, docs_path = scratch.table(docs.join(every.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"), "texts")
     need = least / (1 + least)
     fits = f"c <> lc AND doc <> leader AND least(n, ln) >= greatest(n, ln) * {least - 1e-9} AND least(free, lfree) >= {need} * (n + ln) - 1e-6"
     once = (" AND get(array_intersect(led, every), 0) = band AND size(array_except(array_intersect(every, levery), now)) = 0"
@@ -412,6 +414,8 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
             rest, active_path = scratch.table(able, "buckets", narrow=True)
             scratch.drop(spark, rest_path, free_path, seldom_path)
         active, turn = rest, turn + 1
+        scratch.tidy(spark)
+    scratch.drop(spark, active_path, every_path, docs_path)
     classes = reps.join(roots, reps["rep"] == roots["id"], "left").select("key", F.coalesce("component", "rep").alias("class_id"))
     out = all_docs.where("doc_id IS NOT NULL").select("doc_id", "key").join(classes, "key").select("doc_id", "class_id")
     alone = all_docs.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"))

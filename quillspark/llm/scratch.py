@@ -14,6 +14,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.llm import caches
+
 
 def root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a fresh temporary one if unset, which only a local session may do."""
@@ -60,3 +62,9 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = hadoop(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: only then does Spark delete what finished plans have shuffled and broadcast."""
+    caches.trim()  # plans that Python still names
+    spark._jvm.System.gc()

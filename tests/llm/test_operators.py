@@ -481,6 +481,22 @@ def test_loose_variants_of_a_large_cluster_are_not_all_compared(spark, monkeypat
     assert sum(compared) < 300  # of 861, most of them in the first round
 
 
+def test_texts_that_meet_no_other_are_not_read_to_compare(spark, monkeypatch):
+    read, verify = [], near_dedup._verify
+
+    def counted(pairs, texts, *a):
+        read.append(texts.count())
+        return verify(pairs, texts, *a)
+
+    monkeypatch.setattr(near_dedup, "_verify", counted)
+    alone = [" ".join(f"a{i}x{k}" for k in range(60)) for i in range(30)]
+    base = [f"b{k}" for k in range(60)]
+    texts = [*alone, " ".join(base), " ".join([*base, "end"])]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(docs_of(spark, texts)).collect()}
+    assert got == {i: min(i, 30) for i in range(32)}
+    assert read and max(read) == 2
+
+
 def rows_of_joins(plan):
     """Rows that the joins of a plan made, which has run."""
     name = plan.getClass().getSimpleName()
