@@ -57,6 +57,8 @@ SHORT = 32
 LEADERS = 64
 #: Shingles that at most so many remaining documents have, and at most one in ``SELDOM_OF`` of the largest bucket's number, are met by a join of their own.
 SELDOM, SELDOM_OF = 32, 64
+#: Bits of a sieve for each id, and at most: 8 MB. It bounds what is broadcast, not what is found.
+SIEVE, SIEVE_MOST = 32, 1 << 26
 WORD_CACHE = 150_000
 
 _words = re.compile(r"[^\W_]+").findall
@@ -253,9 +255,27 @@ def sketch(docs: DataFrame, least: float = 0.8) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, key binary, n long, bands array<long>")
 
 
+def _sieved(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose id is among ``ids`` and, by chance, a few others; texts are read where they lie, none is shuffled.
+
+    Hashed ids are bits of a bitmap that is broadcast in blocks. Of the others one in ``SIEVE`` passes, and more above ``SIEVE_MOST / SIEVE`` ids:
+    what needs the ids exactly joins on them afterwards.
+    """
+    n = ids.agg(F.approx_count_distinct("id")).first()[0]
+    place = F.pmod(F.xxhash64("id"), F.lit(min(SIEVE_MOST, 1 << max(15, (SIEVE * n).bit_length())))) + 1
+    # Dealt out by block first: a task then holds a block's bitmap once, and ids are shuffled, not bitmaps.
+    places = ids.select(F.bitmap_bucket_number(place).alias("block"), F.bitmap_bit_position(place).alias("bit")).repartition("block")
+    blocks = places.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    there = F.col("id").isNotNull() & (F.bitmap_bucket_number(place) == F.col("block")) & (F.getbit(byte, (bit % 8).cast("int")) == 1)
+    return texts.join(F.broadcast(blocks), there, "left_semi")
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """Those pairs (doc, leader) whose texts align."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = _sieved(texts, pairs.select(F.explode(F.array("doc", "leader")).alias("id")))
     joined = (pairs.join(texts.withColumnsRenamed({"id": "doc", "text": "a"}), "doc")
               .join(texts.withColumnsRenamed({"id": "leader", "text": "b"}), "leader"))
 
@@ -353,7 +373,8 @@ def near_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
     roots = spark.createDataFrame([], "id long, component long")
     every, every_path = scratch.table(active.groupBy("doc").agg(F.collect_list("band").alias("every")), "bands-of", narrow=True)  # at most BANDS each
     # Texts that meet no other are not read again.
-    docs, docs_path = scratch.table(docs.join(every.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"), "texts")
+    docs = _sieved(docs.withColumnRenamed("doc_id", "id"), every.select(F.col("doc").alias("id"))).withColumnRenamed("id", "doc_id")
+    docs, docs_path = scratch.table(docs, "texts")
     need = least / (1 + least)
     fits = f"c <> lc AND doc <> leader AND least(n, ln) >= greatest(n, ln) * {least - 1e-9} AND least(free, lfree) >= {need} * (n + ln) - 1e-6"
     once = (" AND get(array_intersect(led, every), 0) = band AND size(array_except(array_intersect(every, levery), now)) = 0"

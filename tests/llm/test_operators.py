@@ -497,6 +497,51 @@ def test_texts_that_meet_no_other_are_not_read_to_compare(spark, monkeypatch):
     assert read and max(read) == 2
 
 
+def shuffled(spark, run):
+    """What ``run`` gives, and the bytes that its stages shuffled; tables join by shuffle unless a broadcast is asked for, as large ones do."""
+    jvm, sc = spark._jvm, spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    before, key = written(), "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "-1")
+    try:
+        got = run()
+    finally:
+        spark.conf.unset(key)
+    return got, sum(n for stage, n in written().items() if stage not in before)
+
+
+def test_texts_are_not_shuffled_to_find_those_that_are_compared(spark):
+    """102 texts of which 2 are similar: few bytes move to set those apart, and to compare them among all."""
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.getrandbits(60):x}" for _ in range(2000)) for _ in range(101)]
+    docs = docs_of(spark, [*texts, texts[7] + " end"])
+    whole = sum(map(len, texts))
+    got, moved = shuffled(spark, lambda: {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(docs).collect()})
+    assert got == {i: i for i in range(101)} | {101: 7}
+    assert moved < whole / 4
+    pairs = spark.createDataFrame([(101, 7), (8, 3)], "doc long, leader long")
+    got, moved = shuffled(spark, lambda: near_dedup._verify(pairs, docs, 0.8).collect())
+    assert [tuple(r) for r in got] == [(101, 7)]
+    assert moved < whole / 4
+
+
+def test_a_sieve_passes_every_id_asked_for(spark, monkeypatch):
+    """All of them, whatever the size of its bitmap; a null never; a sieve that is not full passes few others."""
+    ids = [*range(-50, 50), 2**63 - 1, -(2**63)]
+    rows = spark.createDataFrame([(i,) for i in [*ids, *range(1000, 3000), None]], "id long")
+    asked = spark.createDataFrame([(i,) for i in ids + ids[:7]], "id long")
+    for most, others in ((1 << 26, 100), (64, 2000)):
+        monkeypatch.setattr(near_dedup, "SIEVE_MOST", most)
+        got = [r["id"] for r in near_dedup._sieved(rows, asked).collect()]
+        assert set(ids) <= set(got) <= {*ids, *range(1000, 3000)} and len(got) == len(set(got)) <= len(ids) + others
+    assert near_dedup._sieved(rows, asked.limit(0)).count() == 0
+
+
 def rows_of_joins(plan):
     """Rows that the joins of a plan made, which has run."""
     name = plan.getClass().getSimpleName()
