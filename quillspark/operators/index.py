@@ -104,7 +104,8 @@ def refresh_frequencies(terms: DataFrame, old: DataFrame, new: DataFrame, merged
     """Frequencies after an upsert; only terms of replaced or new rows are counted again."""
     ids = new.select("book_id").distinct()
     touched = new.select("term").unionByName(old.join(ids, "book_id", "left_semi").select("term")).distinct()
-    counted = document_frequency(merged.join(touched, "term", "left_semi"))
+    # Counted first: partial counts are shuffled, not postings.
+    counted = document_frequency(merged).join(touched, "term", "left_semi").select("term", "df")
     return terms.join(touched, "term", "left_anti").select("term", "df").unionByName(counted)
 
 
